@@ -26,6 +26,9 @@ from tessella.llm.common import binary, column, id_and_text, written
 #: Counters of a summary, and so the most digests that are broadcast.
 COUNTERS = 512
 
+#: Candidates, k for each task at most, that are broadcast to be counted; beyond that they are joined by a shuffle.
+MOST_CANDIDATES = 200_000
+
 DIGESTS = pa.schema([("row", pa.int64()), ("id", pa.int64()), ("digest", pa.binary())])
 SUMMARY = pa.schema([("digest", pa.binary())])
 
@@ -67,7 +70,9 @@ def frequent_digests(digests: DataFrame, k: int = COUNTERS) -> list:
     total = digests.count()
     if not total:
         return []
-    candidates = digests.select("digest").mapInArrow(_summaries(k), "digest binary").distinct()
+    candidates = written(digests.select("digest").mapInArrow(_summaries(k), "digest binary").distinct(), "candidates")
+    if candidates.count() <= MOST_CANDIDATES:
+        candidates = F.broadcast(candidates)
     counted = digests.join(candidates, "digest", "left_semi").groupBy("digest").agg(F.max(_order()).alias("top"), F.count(F.lit(1)).alias("n"))
     return counted.filter(F.col("n") * k >= total).filter(F.col("n") > 1).collect()
 
