@@ -40,11 +40,15 @@ def encoder(path: str) -> "WordEncoder | ByteEncoder":
 
 
 class _Encoder:
+    #: What of the file's settings is left out for pre-tokens.
+    shortened: dict = {}
+
     def __init__(self, path: str, spec: dict):
         quiet_tokenizers()
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
+        self.plain_model = Tokenizer.from_str(json.dumps(spec | self.shortened))
         self.specials = [x["content"] for x in spec["added_tokens"]]
         self.pieces: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
@@ -54,7 +58,8 @@ class _Encoder:
         return np.array(self.model.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+        """Ids of pre-tokens that need no normalisation, side by side."""
+        return np.array(self.plain_model.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian unsigned 32-bit integers."""
@@ -105,9 +110,19 @@ class _Encoder:
         return {w: raw[a:b] for w, a, b in zip(words, cuts, cuts[1:])}
 
 
+#: The letters among the SIMPLE characters.
+LETTERS = "A-Za-zªµºÀ-ÖØ-öø-į"
+
+
 def as_re(pattern: str) -> re.Pattern:
-    """A pre-token pattern for re, which finds the same in texts of SIMPLE characters."""
-    for theirs, ours in ((r"[^\s\p{L}\p{N}]", r"(?:[^\s\w]|_)"), (r"[\p{L}]", r"[^\W\d_]"), (r"\p{L}", r"[^\W\d_]"), (r"[\p{N}]", r"\d"), (r"\p{N}", r"\d")):
+    """A pre-token pattern for re, which finds the same in texts of SIMPLE characters.
+
+    No other alternative can begin where a run of letters does, so that one is tried first.
+    """
+    parts = pattern.split("|")
+    parts.sort(key=lambda p: not p.endswith(r"\p{L}+") and not p.endswith(r"[\p{L}]+"))
+    pattern = "|".join(parts)
+    for theirs, ours in ((r"[^\s\p{L}\p{N}]", rf"[^\s{LETTERS}0-9]"), (r"[\p{L}]", f"[{LETTERS}]"), (r"\p{L}", f"[{LETTERS}]"), (r"[\p{N}]", "[0-9]"), (r"\p{N}", "[0-9]")):
         pattern = pattern.replace(theirs, ours)
     return re.compile(pattern)
 
@@ -115,6 +130,11 @@ def as_re(pattern: str) -> re.Pattern:
 class WordEncoder(_Encoder):
     """Lower-casing BPE with word ends: white space separates and is dropped."""
 
+    shortened = {
+        "normalizer": None,
+        "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+    }
+
     def __init__(self, path: str, spec: dict):
         super().__init__(path, spec)
         self.pattern = as_re(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
