@@ -34,6 +34,12 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm.wavelet import tokens_read_back
+
+    return tokens_read_back(table(spark, sf_dir, "documents"), default_tokenizer("byte_bpe_50k.json"), 2)
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page's outcome is the quality label of the document with its number, where there is one."""
     from pyspark.sql import functions as F
@@ -75,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_toxicity": op4_toxicity,
+    "op5_wavelet": op5_wavelet,
     "op6_url_filter": op6_url_filter,
     "op7_prefix_bpe": op7_prefix_bpe,
     "op8_fingerprints": op8_fingerprints,
