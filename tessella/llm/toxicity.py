@@ -9,7 +9,7 @@ common state and works through its own rows; the states are then averaged by
 coordinate, so no task or driver sees all rows.
 
 Training uses a bounded sample, about MOST_ROWS labelled rows by a hash
-of their text, that is, independent of how the table is stored.  Everything else
+of their id, that is, independent of how the table is stored.  Everything else
 reads all rows.  Scores see the text alone.  Null and empty texts have no
 features and get the score of the bias.  Repeated rows score alike; an empty
 table, or one without labelled rows, gives scores of 0.5 or no rows.
@@ -126,17 +126,23 @@ def dense(state: tuple) -> tuple[np.ndarray, np.ndarray]:
     return tuple(out)
 
 
-def train(labelled: DataFrame, r: Rates = Rates(), most_rows: int = MOST_ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """Non-zero weights, as (coordinates, values), from columns text and y (0 or 1).
+def sampled_marks(labels: DataFrame, most_rows: int = MOST_ROWS) -> DataFrame:
+    """Columns doc_id, y of the labelled rows that may be learnt from: about ``most_rows`` by a hash of the id, 1.2 times that at most."""
+    marks = labels.filter(~held_out()).filter(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("y"))
+    share = most_rows / max(1, marks.count())
+    if share >= 1:
+        return marks
+    return marks.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))).limit(int(1.2 * most_rows))
+
+
+def train(labelled: DataFrame, r: Rates = Rates()) -> tuple[np.ndarray, np.ndarray]:
+    """Non-zero weights, as (coordinates, values), from columns text and y (0 or 1); the rows are a bounded sample.
 
     The driver holds three numbers for each of 2^18 coordinates at most.
     """
     spark = labelled.sparkSession
     rows = labelled.filter(F.col("y").isNotNull()).select(F.coalesce("text", F.lit("")).alias("text"), F.col("y").cast("double").alias("y"))
-    share = most_rows / max(1, rows.count())
-    if share < 1:
-        rows = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    rows = rows.withColumn("h", F.xxhash64("text", F.lit(1))).repartition(SHARDS, "h").sortWithinPartitions("h", "y").select("text", "y").cache()
+    rows = rows.repartition(SHARDS).sortWithinPartitions(F.xxhash64("text", F.lit(1)), "y").cache()  # as many shards at any size
     state = (np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(0))
     try:
         for _ in range(r.rounds):
@@ -182,8 +188,8 @@ def held_out(id_col: str = "doc_id"):
 
 def learnt_scores(docs: DataFrame, labels: DataFrame, rates: Rates = Rates(), most_rows: int = MOST_ROWS) -> DataFrame:
     """``docs`` with a column ``score`` of a model learnt from the labelled rows that aren't held out."""
-    marks = labels.filter(~held_out()).filter(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("y"))
-    model = train(docs.select("doc_id", "text").join(marks, "doc_id"), rates, most_rows)
+    marks = F.broadcast(sampled_marks(labels, most_rows))  # 1.2 times most_rows rows at most
+    model = train(docs.select("doc_id", "text").join(marks, "doc_id"), rates)
     return toxicity_scores(docs, model)
 
 
