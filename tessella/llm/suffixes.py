@@ -49,7 +49,9 @@ def sampled(buffer: bytes, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     least[np.cumsum(crossing)[: len(least)] > 0] = 0
     pad = np.zeros(REACH - 1, dtype=np.uint32)
     at = np.flatnonzero(short == _slide(np.concatenate((pad, least, pad)), REACH, np.maximum)[:n])
-    return at, h[at] >> np.uint64(8)
+    h = h[at]  # the least of many: mixed again, so that shares by the highest bits are alike
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+    return at, (h ^ (h >> np.uint64(32))) >> np.uint64(8)
 
 
 @dataclass
