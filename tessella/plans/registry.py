@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import labels as lab
 from tessella.functions import names, rings
-from tessella.operators import embeddings, grid, metrics, quality, reports, review, sampling, spatial, splits
+from tessella.operators import embeddings, grid, index, metrics, quality, reports, review, sampling, spatial, splits
 from tessella.plans import views as V
 from tessella.streaming import streams
 
@@ -698,3 +698,157 @@ def head_scores(spark, sf_dir):
     e = e.withColumn("pooled", embeddings.pooled(embeddings.sub_vectors(F.col("embedding"), 4, 16), 16))
     model = embeddings.fit_head(e, "pooled", "y")
     return embeddings.head_scores(e, model, "pooled").select("vec_id", "y", "prob")
+
+
+# The tile index
+
+
+TILED = """SELECT event_id AS tile_id, concat('p', event_id) AS png_path, concat('A', user_id % 5, '_', user_id % 40) AS stem, concat('P', event_id % 60, '_cut000') AS cut_name, CASE WHEN event_id % 2 = 0 THEN 512 ELSE 1024 END AS tile_size,
+ CAST(event_id % 3 AS INT) AS n_oocytes, CAST(value AS DOUBLE) / 500 AS tissue_fraction, CASE WHEN event_id % 4 = 0 THEN 0.0 ELSE CAST((event_id * 37) % 100 AS DOUBLE) / 100 END AS area_fraction FROM {events}"""
+SLIDES = "SELECT DISTINCT concat('A', user_id % 5, '_', user_id % 40) AS stem, concat('A', user_id % 5) AS location, CASE user_id % 40 % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'val' ELSE 'test' END AS split FROM {events}"
+INDEXED = f"""SELECT tile_id, png_path, stem, cut_name, tile_size, n_oocytes, tissue_fraction, area_fraction AS oocyte_area_fraction, CASE WHEN area_fraction >= 0.05 AND area_fraction > 0 THEN 'positive' WHEN area_fraction > 0 THEN 'ambiguous' ELSE 'negative' END AS label,
+ area_fraction > 0 AND area_fraction < 0.05 AS is_ambiguous, split FROM ({TILED}) t JOIN ({SLIDES}) s USING (stem) WHERE tissue_fraction >= 0.1 AND cut_name NOT IN (SELECT cut_name FROM ({LISTED}) l WHERE status = 'excluded')"""
+
+
+def _index(spark, sf_dir):
+    return index.tile_index(of(spark, sf_dir, TILED), of(spark, sf_dir, SLIDES), of(spark, sf_dir, LISTED), 0.05, "area", 0.1)
+
+
+@query(INDEXED)
+def tile_index(spark, sf_dir):
+    return _index(spark, sf_dir)
+
+
+@query(f"SELECT tile_id, stem, label, CASE WHEN label = 'positive' THEN 1 ELSE 0 END::BIGINT AS target FROM ({INDEXED}) i WHERE split = 'train' AND NOT is_ambiguous")
+def training_rows(spark, sf_dir):
+    return index.training_rows(_index(spark, sf_dir), "train").select("tile_id", "stem", "label", "target")
+
+
+@query(f"SELECT cut_name, count_if(tissue_fraction >= 0.3) AS n_kept, count_if(NOT tissue_fraction >= 0.3) AS n_dropped FROM ({TILED}) t GROUP BY cut_name")
+def tissue_counts(spark, sf_dir):
+    return index.tissue_counts(of(spark, sf_dir, TILED), "cut_name", 0.3)
+
+
+@query("SELECT CASE WHEN p_size % 9 = 0 THEN 'unlabelled' WHEN p_size % 9 <= 4 THEN 'kept' ELSE 'out of range' END AS fate, count(*) AS n FROM {part} GROUP BY ALL")
+def stage_rejects(spark, sf_dir):
+    return index.stage_rejects(of(spark, sf_dir, "SELECT CASE WHEN p_size % 9 = 0 THEN NULL ELSE p_size % 9 END AS stage FROM {part}"))
+
+
+@query(f"WITH i AS ({INDEXED}), f AS (SELECT DISTINCT stem FROM i WHERE split = 'train' ORDER BY stem LIMIT 3) SELECT tile_id, stem, split FROM i WHERE split <> 'train' OR stem IN (SELECT stem FROM f)")
+def first_train_slides(spark, sf_dir):
+    return index.first_slides(_index(spark, sf_dir), "train", 3).select("tile_id", "stem", "split")
+
+
+@query(f"""WITH l AS ({LISTED}), c AS (SELECT DISTINCT cut_name FROM ({TILED}) t), a AS (SELECT DISTINCT cut_name FROM ({TILED}) t WHERE area_fraction > 0.5 AND tile_id % 60 < 50)
+SELECT 'listed but no cut' AS "check", cut_name AS detail FROM l WHERE cut_name NOT IN (SELECT cut_name FROM c)
+UNION ALL SELECT 'known empty but annotated', cut_name FROM l WHERE status = 'known_empty' AND cut_name IN (SELECT cut_name FROM a)
+UNION ALL SELECT 'not annotated and not listed', cut_name FROM c WHERE cut_name NOT IN (SELECT cut_name FROM a) AND cut_name NOT IN (SELECT cut_name FROM l)""")
+def exclusion_breaks(spark, sf_dir):
+    t = of(spark, sf_dir, TILED)
+    return index.exclusion_breaks(t, t.filter("area_fraction > 0.5 AND tile_id % 60 < 50"), of(spark, sf_dir, LISTED))
+
+
+@query("SELECT user_id AS k, count(*) AS n, count(DISTINCT event_type) AS n_sizes FROM {events} GROUP BY user_id HAVING count(*) > 1 OR count(DISTINCT event_type) > 1")
+def key_breaks(spark, sf_dir):
+    return index.key_breaks(of(spark, sf_dir, "SELECT user_id AS k, event_type FROM {events}"), "k", "event_type")
+
+
+@query(f"WITH i AS ({INDEXED}) SELECT tile_id, label, row_number() OVER (PARTITION BY label ORDER BY tile_id) - 1 AS position FROM i")
+def class_positions(spark, sf_dir):
+    return index.class_positions(_index(spark, sf_dir), "tile_id", "label").select("tile_id", "label", F.col("position").cast("long").alias("position"))
+
+
+@query(f"WITH i AS ({INDEXED}), p AS ({V.PRED}) SELECT i.tile_id, i.label, round(prob, 6) AS prob FROM i LEFT JOIN (SELECT tile_id, prob FROM p WHERE split = 'test') q USING (tile_id)")
+def prediction_join(spark, sf_dir):
+    return index.prediction_join(_index(spark, sf_dir), of(spark, sf_dir, V.PRED).filter("split = 'test'")).select("tile_id", "label", *r6("prob"))
+
+
+@query(f"""WITH i AS ({INDEXED}), p AS (SELECT tile_id, split, CASE WHEN y = 1 THEN 'positive' ELSE 'negative' END AS label FROM ({V.PRED}) v)
+SELECT count_if(i.split IS NULL) AS n_unknown, count_if(i.split <> p.split) AS n_other_split, count_if(i.label <> p.label) AS n_other_label FROM p LEFT JOIN i USING (tile_id)""")
+def prediction_mismatches(spark, sf_dir):
+    p = of(spark, sf_dir, V.PRED).withColumn("label", F.when(F.col("y") == 1, "positive").otherwise("negative"))
+    return index.prediction_mismatches(_index(spark, sf_dir), p)
+
+
+@query(f"WITH i AS ({INDEX}) SELECT tile_id, specimen, specimen IN (SELECT specimen FROM i WHERE tile_id % 5 = 0) AS leaks FROM i WHERE split = 'test'")
+def leakage_flags(spark, sf_dir):
+    i = of(spark, sf_dir, INDEX)
+    return index.leakage_flags(i.filter("split = 'test'"), i.filter("tile_id % 5 = 0")).select("tile_id", "specimen", "leaks")
+
+
+@query(f"""WITH p AS ({V.PRED}), m AS (SELECT *, specimen IN (SELECT specimen FROM p WHERE tile_id % 5 = 0) AS leaks FROM p WHERE split = 'test'), t AS (SELECT leaks, prob, sum(y) AS tp, sum(1 - y) AS fp FROM m GROUP BY ALL),
+r AS (SELECT *, sum(tp) OVER w AS ctp, sum(fp) OVER w AS cfp, sum(tp) OVER (PARTITION BY leaks) AS p, sum(fp) OVER (PARTITION BY leaks) AS n FROM t WINDOW w AS (PARTITION BY leaks ORDER BY prob DESC))
+SELECT leaks, CASE WHEN max(p) > 0 AND max(n) > 0 THEN round(sum(tp::DOUBLE / nullif(p, 0) * ctp / (ctp + cfp)), 6) END AS average_precision, CASE WHEN max(p) > 0 AND max(n) > 0 THEN round(sum(fp * (ctp - tp / 2.0))::DOUBLE / nullif(max(p) * max(n), 0), 6) END AS roc_auc FROM r GROUP BY leaks""")
+def scores_by_leakage(spark, sf_dir):
+    p = of(spark, sf_dir, V.PRED)
+    return metrics.ranking_scores(index.leakage_flags(p.filter("split = 'test'"), p.filter("tile_id % 5 = 0")), ["leaks"]).select("leaks", *r6("average_precision", "roc_auc"))
+
+
+@query("SELECT p_partkey AS run, round(p_retailprice, 6) AS recorded, round(p_retailprice + CASE WHEN p_partkey % 50 = 0 THEN 0.5 ELSE 0 END, 6) AS recomputed FROM {part} WHERE p_partkey % 50 = 0")
+def metric_differences(spark, sf_dir):
+    a = of(spark, sf_dir, "SELECT p_partkey AS run, p_retailprice AS value FROM {part}")
+    b = of(spark, sf_dir, "SELECT p_partkey AS run, p_retailprice + CASE WHEN p_partkey % 50 = 0 THEN 0.5 ELSE 0 END AS value FROM {part}")
+    return index.metric_differences(a, b, ["run"], 1e-9).select("run", *r6("recorded", "recomputed"))
+
+
+@query(f"WITH i AS ({INDEXED}) SELECT tile_size, count_if(split = 'train' AND is_ambiguous) AS ambiguous_train, count_if(split = 'val' AND is_ambiguous) AS ambiguous_val, count_if(split = 'test' AND is_ambiguous) AS ambiguous_test FROM i GROUP BY tile_size")
+def ambiguous_per_split(spark, sf_dir):
+    return index.ambiguous_per_split(_index(spark, sf_dir))
+
+
+@query(f"WITH i AS ({INDEXED}) SELECT split, count(*) AS n_tiles, count_if(label = 'positive') AS n_positive, count(DISTINCT stem) AS n_slides, count(DISTINCT split_part(stem, '_', 1)) AS n_specimens FROM i WHERE NOT is_ambiguous GROUP BY split")
+def train_summary(spark, sf_dir):
+    return index.train_summary(_index(spark, sf_dir))
+
+
+@query(f"WITH s AS ({V.STEM}) SELECT stem, (s_suppkey % 7 + 1)::INT AS expected, 3::BIGINT AS found FROM s WHERE s_suppkey % 7 + 1 <> 3")
+def cut_reconciliation(spark, sf_dir):
+    s = of(spark, sf_dir, V.STEM).select("stem", F.explode(F.array(*map(F.lit, range(3)))).alias("cut_index"))
+    return index.cut_reconciliation(s)
+
+
+@query(f"""WITH m AS ({SLIDES}), s AS (SELECT stem FROM m WHERE stem <> 'A1_1'), g AS (SELECT location FROM m GROUP BY location HAVING count(DISTINCT split) < 3)
+SELECT 'not a slide' AS "check", stem AS detail FROM m WHERE stem = 'A1_1' UNION ALL SELECT 'scarce outside train', stem FROM m WHERE stem LIKE '%7' AND split <> 'train' UNION ALL SELECT 'a site misses a split', location FROM g""")
+def split_breaks(spark, sf_dir):
+    m = of(spark, sf_dir, SLIDES)
+    return index.split_breaks(m, m.filter("stem <> 'A1_1'"), F.col("stem").endswith("7"))
+
+
+@query("SELECT CAST(extract(day FROM ts) AS INT) AS epoch, round(avg(value), 6) AS loss_by_batch, round(sum(value * (event_id % 7 + 1)) / sum(event_id % 7 + 1), 6) AS loss_by_row FROM {events} GROUP BY ALL")
+def epoch_means(spark, sf_dir):
+    return index.epoch_means(of(spark, sf_dir, "SELECT day(ts) AS epoch, value AS loss, event_id % 7 + 1 AS n FROM {events}")).select("epoch", *r6("loss_by_batch", "loss_by_row"))
+
+
+@query(f"""WITH s AS (SELECT DISTINCT stem FROM ({SLIDES}) v), n AS (SELECT count(*) AS n FROM s), o AS (SELECT stem, row_number() OVER (ORDER BY {HASH.format(seed=4, key='stem')}, stem) AS k FROM s)
+SELECT stem, CASE WHEN k <= greatest(1, floor(n * 0.2)) THEN 'val' WHEN k <= greatest(1, floor(n * 0.2)) + greatest(1, floor(n * 0.1)) THEN 'test' ELSE 'train' END AS split FROM o, n""")
+def random_lists(spark, sf_dir):
+    return index.random_lists(of(spark, sf_dir, SLIDES).select("stem"), {"val": 0.2, "test": 0.1}, 4)
+
+
+@query(f"""WITH {GRID}, p AS ({V.POINT}), hit AS (SELECT t.cut_name, t.tile_size, x0 + t.tile_size > x1 OR y0 + t.tile_size > y1 AS padded, count(cx) AS n FROM tile t LEFT JOIN p ON t.cut_name = p.cut_name AND cx BETWEEN x0 AND x1 AND cy BETWEEN y0 AND y1 GROUP BY t.cut_name, t.tile_size, t."row", t.col, x0, y0, x1, y1)
+SELECT cut_name, tile_size, count(*) AS n, count_if(n > 0) AS n_annotated, count_if(padded) AS n_padded FROM hit GROUP BY ALL""")
+def manifest_counts(spark, sf_dir):
+    cuts, tiles = _tiles(spark, sf_dir)
+    return index.manifest_counts(spatial.tiles_with_points(tiles, of(spark, sf_dir, V.POINT), cuts, SIZES))
+
+
+@query(f"""WITH cut AS ({V.CUT}), p AS ({V.POINT}), ys AS (SELECT *, unnest(range(0, height, 256)) AS y0 FROM cut), g AS (SELECT *, unnest(range(0, width, 256)) AS x0 FROM ys),
+t AS (SELECT cut_name, x0, y0, least(x0 + 256, width) AS x1, least(y0 + 256, height) AS y1 FROM g), f AS (SELECT * FROM t WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.cut_name = t.cut_name AND cx BETWEEN x0 - 32 AND x1 + 32 AND cy BETWEEN y0 - 32 AND y1 + 32))
+SELECT cut_name, x0, y0 FROM f QUALIFY row_number() OVER (PARTITION BY cut_name ORDER BY {HASH.format(seed=6, key="concat(x0, ':', y0)")}, concat(x0, ':', y0)) <= 2""")
+def negative_review_tiles(spark, sf_dir):
+    cuts = of(spark, sf_dir, V.CUT)
+    free = spatial.tiles_without_points(grid.tile_grid(cuts, [256], 0.0), of(spark, sf_dir, V.POINT), cuts, [256], 0.0, 32)
+    return quality.sample_per_group(free.withColumn("at", F.concat_ws(":", "x0", "y0")), "cut_name", "at", 2, 6).select("cut_name", "x0", "y0")
+
+
+@query(f"""WITH c AS ({V.CUT}), p AS ({V.POINT}), r AS (SELECT cut_name, id, stage, greatest(0, least(round_even(cx - 64, 0)::BIGINT, width - 128)) AS x0, greatest(0, least(round_even(cy - 64, 0)::BIGINT, height - 128)) AS y0 FROM p JOIN c USING (cut_name))
+SELECT cut_name, id, x0, y0, x0 + 128 AS x1, y0 + 128 AS y1 FROM r QUALIFY row_number() OVER (PARTITION BY stage ORDER BY {HASH.format(seed=8, key="concat(cut_name, ':', id)")}, concat(cut_name, ':', id)) <= 10""")
+def positive_review_tiles(spark, sf_dir):
+    p = of(spark, sf_dir, V.POINT).join(of(spark, sf_dir, V.CUT), "cut_name")
+    b = rings.centred_box(F.col("cx"), F.col("cy"), 128, F.col("width"), F.col("height"))
+    return quality.sample_per_group(p.withColumns({"b": b, "key": F.concat_ws(":", "cut_name", "id")}), "stage", "key", 10, 8).select("cut_name", "id", "b.*")
+
+
+@query(f"WITH p AS ({V.PRED}) SELECT split, count(DISTINCT specimen) AS n_specimens, count(*) AS n FROM p GROUP BY split")
+def sample_summary(spark, sf_dir):
+    return of(spark, sf_dir, V.PRED).groupBy("split").agg(F.countDistinct("specimen").alias("n_specimens"), F.count(F.lit(1)).alias("n"))
