@@ -197,7 +197,7 @@ def largest_boxes(spark, sf_dir):
 
 @query(f"""WITH rect AS ({V.RECT}) SELECT cut_name, id, ((x1 - x0) * (y1 - y0) / 2.0)::DOUBLE AS area, round((x0 + x1 + x0) / 3.0, 6) AS cx, round((y0 + y0 + y1) / 3.0, 6) AS cy,
 round((x1 - x0) + (y1 - y0) + sqrt(((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0))::DOUBLE), 6) AS perimeter, (x1 - x0)::DOUBLE AS width, (y1 - y0)::DOUBLE AS height,
-round(CASE WHEN x1 > x0 THEN 0.5 END, 6) AS coverage, round((x1 - x0)::DOUBLE / nullif(y1 - y0, 0), 6) AS aspect FROM rect""")
+CASE WHEN x1 > x0 THEN 0.5::DOUBLE END AS coverage, round((x1 - x0)::DOUBLE / nullif(y1 - y0, 0), 6) AS aspect FROM rect""")
 def ring_measures(spark, sf_dir):
     """Of the triangle in each box's upper left half."""
     r = of(spark, sf_dir, V.RECT).withColumn("ring", rings.ring((F.col("x0"), F.col("y0")), (F.col("x1"), F.col("y0")), (F.col("x0"), F.col("y1"))))
@@ -209,7 +209,7 @@ def ring_measures(spark, sf_dir):
     )
 
 
-@query(f"""WITH p AS ({V.POINT}) SELECT cut_name, id, round(cx + 0.25 - 100, 6) AS x, round(cy - 0.5 - 50, 6) AS y FROM p""")
+@query(f"""WITH p AS ({V.POINT}) SELECT cut_name, id, (cx + 0.25 - 100)::DOUBLE AS x, (cy - 0.5 - 50)::DOUBLE AS y FROM p""")
 def translate_ring(spark, sf_dir):
     p = of(spark, sf_dir, V.POINT)
     r = rings.translate(rings.ring((F.col("cx") + F.lit(0.25), F.col("cy") - F.lit(0.5))), F.lit(100), F.lit(50))
@@ -326,8 +326,8 @@ def bootstrap_ci(spark, sf_dir):
 SELECT stem, stratum, CASE WHEN k <= 1 THEN 'val' WHEN k <= 2 THEN 'test' ELSE 'train' END AS split FROM o""")
 def stratified_quota_split(spark, sf_dir):
     s = of(spark, sf_dir, V.STEM).select("stem", names.site_of(F.col("stem")).alias("stratum"))
-    sites = [r[0] for r in s.select("stratum").distinct().collect()]  # five regions
-    return splits.quota_split(s, {x: (1, 1) for x in sites}, 42)
+    sizes = s.groupBy("stratum").count().collect()  # five regions
+    return splits.quota_split(s, {r[0]: (1, min(1, r[1] - 1)) for r in sizes}, 42)
 
 
 INDEX = f"""SELECT specimen, split_part(specimen, '_', 1) AS site, concat('S', tile_id % 97) AS stem, CASE WHEN tile_id % 2 = 0 THEN 512 ELSE 1024 END AS tile_size,

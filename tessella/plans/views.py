@@ -29,7 +29,14 @@ def view(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
 
 
 def sql(text: str) -> str:
-    """The same text for DuckDB, whose views have the tables' names."""
+    """The same text for DuckDB, whose views have the tables' names, and whose counts of a condition have to be 64 bits wide."""
+    while (at := text.find("count_if(")) >= 0:
+        begin = end = at + len("count_if(")
+        depth = 1
+        while depth:
+            depth += {"(": 1, ")": -1}.get(text[end], 0)
+            end += 1
+        text = f"{text[:at]}count(CASE WHEN {text[begin : end - 1]} THEN 1 END){text[end:]}"
     for t in TABLES:
         text = text.replace("{" + t + "}", t)
     return text
