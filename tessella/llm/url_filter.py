@@ -62,10 +62,10 @@ def host_reputation(outcomes: DataFrame, strength: float = STRENGTH) -> DataFram
     hosts = _levels(outcomes.groupBy("host").agg(F.count("outcome").alias("n"), F.coalesce(F.sum("outcome"), F.lit(0)).cast("double").alias("good")))
     total = hosts.agg(F.coalesce(F.sum("good") / F.nullif(F.sum("n"), F.lit(0)), F.lit(0.5)).alias("overall"))
     counts = (F.sum("n").alias("n"), F.sum("good").alias("good"))
-    shrunk = lambda above: (F.col("good") + strength * F.col(above)) / (F.col("n") + strength)
-    suffixes = hosts.groupBy("suffix").agg(*counts).crossJoin(F.broadcast(total)).select("suffix", shrunk("overall").alias("suffix_mean"))  # one row
-    domains = hosts.groupBy("suffix", "domain").agg(*counts).join(suffixes, "suffix").select("domain", shrunk("suffix_mean").alias("domain_mean"))
-    found = hosts.join(domains, "domain").withColumn("mean", shrunk("domain_mean"))
+    shrunk = lambda above: (F.col("good") + strength * above) / (F.col("n") + strength)
+    suffixes = hosts.groupBy("suffix").agg(*counts).select("suffix", shrunk(total.scalar()).alias("suffix_mean"))
+    domains = hosts.groupBy("suffix", "domain").agg(*counts).join(suffixes, "suffix").select("domain", shrunk(F.col("suffix_mean")).alias("domain_mean"))
+    found = hosts.join(domains, "domain").withColumn("mean", shrunk(F.col("domain_mean")))
     spread = F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("n") + strength + 1))
     return found.select("host", "n", "mean", spread.alias("spread"))
 
