@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import binary, column, id_and_text, written
+from tessella.llm.common import binary, column, fresh, id_and_text, written
 
 #: Counters of a summary, and so the most digests that are broadcast.
 COUNTERS = 512
@@ -107,7 +107,8 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     ``docs`` must be a plain scan: its rows are numbered in scan order twice.
     """
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    rows = numbered.select(F.col("__row").alias("row"), F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    stays = exact_groups(rows, k).filter(F.col("row") == F.col("keep_row")).select(F.col("row").alias("__row"))
-    return numbered.join(stays, "__row", "left_semi").select(*docs.columns)
+    row = fresh(docs, "__row")
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    rows = numbered.select(F.col(row).alias("row"), F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    stays = exact_groups(rows, k).filter(F.col("row") == F.col("keep_row")).select(F.col("row").alias(row))
+    return numbered.join(stays, row, "left_semi").select(*docs.columns)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import binary, column, id_and_text, slices, written
+from tessella.llm.common import binary, column, fresh, id_and_text, slices, written
 from tessella.llm.components import connected_components
 
 #: Fingerprints of the sample that shapes a tree; points of a shard, about; of a cell.
@@ -239,9 +239,10 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     ``docs`` must be a plain scan: its rows are numbered in scan order twice.
     """
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    rows = numbered.select(F.col("__row").alias("row"), F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    row = fresh(docs, "__row")
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    rows = numbered.select(F.col(row).alias("row"), F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     groups = near_groups(rows, words, most)
     order = F.struct(F.col("id").isNull(), F.col("id"), F.col("row"))
-    stays = groups.groupBy("root").agg(F.min_by("row", order).alias("__row")).select("__row")
-    return numbered.join(stays, "__row", "left_semi").select(*docs.columns)
+    stays = groups.groupBy("root").agg(F.min_by("row", order).alias(row)).select(row)
+    return numbered.join(stays, row, "left_semi").select(*docs.columns)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import binary, column, slices, written
+from tessella.llm.common import binary, column, fresh, slices, written
 from tessella.llm.suffixes import LENGTH, Suffixes, cut_out, merge, open_run, pack_run, repeats, sampled, settle_copies, unfold
 
 #: Rows of a bucket; bytes of text for which there is one share of the prefixes; shares of a task's blocks at least.
@@ -225,32 +225,37 @@ def _cut(names: list[str], schema: pa.Schema, as_text: bool):
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", as_text: bool = False) -> DataFrame:
-    """The columns of ``docs`` but the text, and __n_bytes, __n_removed, __n_spans, __kept (what is left, as bytes or text).
+    """The columns of ``docs`` but the text, and four more: __n_bytes, __n_removed, __n_spans, __kept (what is left, as bytes or
+    text); with more underscores where ``docs`` has such a column.
 
     As text, a character of which a byte is gone goes altogether.  ``docs``
     must be a plain scan: its rows are numbered in scan order twice.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    spark = docs.sparkSession
     others = [c for c in docs.columns if c != text_col]
+    inner = {c: f"c{i}" for i, c in enumerate(others)}  # no outer name meets an inner one
+    given = [F.col(c).alias(n) for c, n in inner.items()]
     number = F.monotonically_increasing_id()  # the scan partition, and the row in it
-    rows = docs.select(*others, F.col(id_col).cast("long").alias("__sd_id"), F.coalesce(F.col(text_col), F.lit("")).alias("__sd_text")).withColumn("__sd_row", number)
+    rows = docs.select(*given, F.col(id_col).cast("long").alias("__sd_id"), F.coalesce(F.col(text_col), F.lit("")).alias("__sd_text")).withColumn("__sd_row", number)
     rows = rows.withColumn("__sd_bucket", F.shiftright("__sd_row", 33) * (1 << 33) + F.floor(F.col("__sd_row").bitwiseAND((1 << 33) - 1) / ROWS))
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     shares = max(LEAST_SHARES, -(-total // SHARE_BYTES))
     plain = rows.select(F.col("__sd_bucket").alias("bucket"), F.col("__sd_row").alias("row"), F.col("__sd_text").alias("text"))
     prefixes = plain.mapInArrow(_prefixes(shares), "share int, bucket long, block binary")
     shared = written(prefixes.groupBy("share").applyInArrow(_shared_prefixes, "bucket long, block binary"), "prefixes")
-    by = rows.groupBy("__sd_bucket")
-    runs = by.cogroup(shared.withColumnRenamed("bucket", "__sd_bucket").groupBy("__sd_bucket")).applyInArrow(_runs(shares), "share int, bucket long, run boolean, block binary")
+    named = shared.withColumnRenamed("bucket", "__sd_bucket").groupBy("__sd_bucket")
+    runs = rows.groupBy("__sd_bucket").cogroup(named).applyInArrow(_runs(shares), "share int, bucket long, run boolean, block binary")
     spans = runs.groupBy("share").applyInArrow(_merged, "bucket long, block binary")
-    out = T.StructType([docs.schema[c] for c in others] + [T.StructField(n, T.LongType()) for n in ("__n_bytes", "__n_removed", "__n_spans")] + [T.StructField("__kept", T.StringType() if as_text else T.BinaryType())])
-    spark_rows = rows.groupBy("__sd_bucket")
-    return spark_rows.cogroup(spans.withColumnRenamed("bucket", "__sd_bucket").groupBy("__sd_bucket")).applyInArrow(_cut(others, to_arrow_schema(out), as_text), out)
+    results = [(fresh(docs, n), t) for n, t in (("__n_bytes", T.LongType()), ("__n_removed", T.LongType()), ("__n_spans", T.LongType()), ("__kept", T.StringType() if as_text else T.BinaryType()))]
+    out = T.StructType([T.StructField(n, docs.schema[c].dataType) for c, n in inner.items()] + [T.StructField(f"r{i}", t) for i, (_, t) in enumerate(results)])
+    named = spans.withColumnRenamed("bucket", "__sd_bucket").groupBy("__sd_bucket")
+    done = rows.groupBy("__sd_bucket").cogroup(named).applyInArrow(_cut(list(inner.values()), to_arrow_schema(out), as_text), out)
+    return done.toDF(*others, *[n for n, _ in results])
 
 
 def removal_report(docs: DataFrame) -> DataFrame:
     """A row for each document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     out = suffix_dedup(docs.select("doc_id", "text"))
-    return out.select("doc_id", F.col("__n_bytes").alias("n_bytes"), F.col("__n_removed").alias("n_removed"), F.col("__n_spans").alias("n_spans"), F.sha2("__kept", 256).alias("kept_sha256"))
+    size, removed, spans, kept = out.columns[-4:]
+    return out.select("doc_id", F.col(size).alias("n_bytes"), F.col(removed).alias("n_removed"), F.col(spans).alias("n_spans"), F.sha2(kept, 256).alias("kept_sha256"))

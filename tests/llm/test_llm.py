@@ -36,7 +36,7 @@ def texts() -> list[tuple]:
 
 @pytest.fixture(scope="module")
 def docs(spark, tmp_path_factory):
-    rows = [(i, t, *["clash"] * 3, 1, 2, "d", 3, "k") for i, t in texts()]
+    rows = [(i, t, *["clash"] * 3, 1, 2, "d", 3, "k") for i, t in texts()]  # columns that clash with inner ones
     path = str(tmp_path_factory.mktemp("docs") / "t")
     spark.createDataFrame(rows, f"doc_id long, text string, {EXTRA}").repartition(4).write.parquet(path)
     return spark.read.parquet(path)
@@ -202,7 +202,7 @@ def test_exact_dedup(docs):
     assert collections.Counter((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in rows) == want
     assert sum(r.kept for r in rows) == len(by) and all(r.doc_id == r.keep_id for r in rows if r.kept)
     kept = exact_dedup.without_copies(docs, k=4)
-    assert kept.columns == docs.columns and kept.count() == len(by)
+    assert kept.columns == docs.columns and kept.count() == len(by) and {r["__row"] for r in kept.collect()} == {1}
 
 
 def test_misra_gries_misses_no_frequent_value():
@@ -431,6 +431,8 @@ def test_suffix_dedup(docs, none, monkeypatch):
     got = suffix_dedup.removal_report(docs).collect()
     assert collections.Counter(map(tuple, got)) == collections.Counter(removed(body(docs)))
     assert suffix_dedup.removal_report(none).count() == 0
+    again = suffix_dedup.suffix_dedup(docs.withColumns({"__kept": F.lit("mine"), "__sd_row": F.lit("mine")}))
+    assert again.columns[-4:] == ["__n_bytes", "__n_removed", "__n_spans", "___kept"] and {(r["__kept"], r["__sd_row"]) for r in again.collect()} == {("mine", "mine")}
     kept = suffix_dedup.suffix_dedup(docs, as_text=True)
     assert kept.columns[:2] == ["doc_id", "row"] and kept.count() == docs.count()
 
