@@ -44,8 +44,9 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Strings of 50 bytes that a document of smaller id has are taken out; a text that is then blank goes."""
     ship(spark)
     out = suffix_dedup(docs, as_text=True)
-    kept = {"text": F.col("__kept"), "n_chars": F.char_length("__kept").cast("long")}
-    out = out.filter((F.col("__n_removed") == 0) | (F.trim("__kept") != ""))
+    removed, left = out.columns[-3], out.columns[-1]
+    kept = {"text": F.col(left), "n_chars": F.char_length(left).cast("long")}
+    out = out.filter((F.col(removed) == 0) | (F.trim(left) != ""))
     return out.select(*[kept[c].alias(c) if c in kept else F.col(c) for c in docs.columns])
 
 
