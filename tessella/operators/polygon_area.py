@@ -20,7 +20,8 @@ def _edges(rings: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _crossings(e: np.ndarray) -> np.ndarray:
-    """The heights at which two edges meet."""
+    """The heights at which two edges meet; a level edge's own height is known without."""
+    e = e[e[:, 1] != e[:, 3]]
     d = e[:, 2:] - e[:, :2]
     cross = d[:, None, 0] * d[None, :, 1] - d[:, None, 1] * d[None, :, 0]
     gap = e[None, :, :2] - e[:, None, :2]
@@ -49,19 +50,23 @@ def union_area(rings: list[np.ndarray], x0: float, y0: float, x1: float, y1: flo
         heights.append((e[:, 1] + t * d[:, 1])[(t >= 0) & (t <= 1) & (d[:, 0] != 0)])
     ys = np.unique(np.concatenate(heights))
     ys = ys[(ys >= y0) & (ys <= y1)]
-    total = 0.0
-    for low, high in zip(ys, ys[1:]):
-        mid = (low + high) / 2
-        spans = (e[:, 1] > mid) != (e[:, 3] > mid)
-        if not spans.any():
-            continue
-        x = e[spans, 0] + (mid - e[spans, 1]) / d[spans, 1] * d[spans, 0]
-        by = np.lexsort((x, owner[spans]))
-        pairs = np.clip(x[by].reshape(-1, 2), x0, x1)  # each ring is crossed an even number of times
-        pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
-        reach = np.maximum.accumulate(np.concatenate(([x0], pairs[:, 1])))[:-1]
-        total += float(np.maximum(0.0, pairs[:, 1] - np.maximum(pairs[:, 0], reach)).sum()) * float(high - low)
-    return total
+    if len(ys) < 2:
+        return 0.0
+    # all slabs at once: a row for each, a column for each edge
+    mid = ((ys[:-1] + ys[1:]) / 2)[:, None]
+    spans = (e[:, 1] > mid) != (e[:, 3] > mid)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        x = np.where(spans, e[:, 0] + (mid - e[:, 1]) / d[:, 1] * d[:, 0], x1)
+    by = np.lexsort((x, np.where(spans, owner, len(rings))))  # a ring is crossed an even number of times
+    x = np.clip(np.take_along_axis(x, by, axis=1), x0, x1)
+    if x.shape[1] % 2:
+        x = np.hstack((x, np.full((len(x), 1), x1)))
+    begin, end = x[:, 0::2], x[:, 1::2]
+    by = np.argsort(begin, axis=1, kind="stable")
+    begin, end = np.take_along_axis(begin, by, axis=1), np.take_along_axis(end, by, axis=1)
+    reach = np.hstack((np.full((len(x), 1), x0), np.maximum.accumulate(end, axis=1)[:, :-1]))
+    width = np.maximum(0.0, end - np.maximum(begin, reach)).sum(axis=1)
+    return float(width @ np.diff(ys))
 
 
 @F.pandas_udf(T.DoubleType())
