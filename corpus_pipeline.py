@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from tessella.llm.common import default_tokenizer, new_path, table
 from tessella.llm.exact_dedup import without_copies
+from tessella.llm.near_copies import without_similar
 from tessella.llm.packing import packed_pieces
-from tessella.llm.simhash import without_near_copies
 from tessella.llm.suffix_dedup import suffix_dedup
 from tessella.llm.toxicity import learnt_scores
 from tessella.session import ship
@@ -35,9 +35,9 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the document with the least id stays."""
+    """Documents are linked at a five-word similarity of 0.8; of each group the document with the least id stays."""
     ship(spark)
-    return without_near_copies(docs)
+    return without_similar(docs)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +59,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("toxicity", toxicity),
     ("exact dedup", exact_dedup),
-    ("SimHash near-dedup", near_dedup),
+    ("near-dedup", near_dedup),
     ("suffix-array dedup", suffix_array_dedup),
     ("packing", packing),
 ]
