@@ -68,15 +68,20 @@ def composition(batches: DataFrame, by: list[str], y: str = "y") -> DataFrame:
     return batches.groupBy(*by).agg(F.count(F.lit(1)).alias("batch_size"), F.count_if(F.col(y) == 1).alias("n_positive"), F.count_if(F.col(y) == 0).alias("n_negative"))
 
 
-def display_order(tiles: DataFrame, key: str, size: str, label: str, tries: int, session: str = "session") -> DataFrame:
+def display_order(tiles: DataFrame, key: str, size: str, label: str, tries: int = 512, session: str = "session", twice: bool = False) -> DataFrame:
     """Of ``tries`` seeded orders of each session the one with fewest neighbours of equal size or label: columns session, key, position, conflicts.
 
-    A session is what one reviewer is shown.
+    A session is what one reviewer is shown.  Two neighbours equal in both are
+    one conflict, with ``twice`` two.
     """
     at = tiles.select(session, key, size, label, F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("try"))
     order = Window.partitionBy(session, "try").orderBy(F.md5(F.concat_ws(":", F.col("try").cast("string"), F.col(key).cast("string"))), key)
-    clash = (F.col(size) == F.lag(size).over(order)).cast("int") + (F.col(label) == F.lag(label).over(order)).cast("int")
-    at = at.withColumns({"position": F.row_number().over(order), "clash": F.coalesce(clash, F.lit(0))})
+    if twice:
+        clash = F.coalesce(sum((F.col(c) == F.lag(c).over(order)).cast("int") for c in (size, label)), F.lit(0))
+    else:
+        same = [F.col(c).eqNullSafe(F.lag(c).over(order)) for c in (size, label)]
+        clash = ((F.row_number().over(order) > 1) & (same[0] | same[1])).cast("int")
+    at = at.withColumns({"position": F.row_number().over(order), "clash": clash})
     best = at.groupBy(session, "try").agg(F.sum("clash").alias("conflicts")).groupBy(session).agg(F.min(F.struct("conflicts", "try")).alias("b"))
     best = best.select(session, F.col("b.try").alias("try"), F.col("b.conflicts").alias("conflicts"))
     return at.join(best, [session, "try"]).select(session, key, "position", "conflicts")

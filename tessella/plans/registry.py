@@ -319,6 +319,13 @@ def bootstrap_ci(spark, sf_dir):
     return metrics.bootstrap_interval(p, "specimen", 0.4, 20, 7).select("n_usable", "metric", *r6("low", "high"))
 
 
+@query()
+def bootstrap_ci_2000(spark, sf_dir):
+    """The whole interval: 2000 replicates."""
+    p = of(spark, sf_dir, V.PRED).filter("split = 'test'")
+    return metrics.bootstrap_interval(p, "specimen", 0.4, 2000, 7).select("n_usable", "metric", *r6("low", "high"))
+
+
 # Splits
 
 
@@ -461,7 +468,13 @@ SHOWN = "SELECT doc_id AS tile_id, doc_id % 23 AS session, CASE doc_id % 4 WHEN
 c AS (SELECT session, t, sum(clash) AS conflicts FROM o GROUP BY ALL), b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY session ORDER BY conflicts, t) = 1)
 SELECT o.session, tile_id, position, CAST(conflicts AS BIGINT) AS conflicts FROM o JOIN b ON o.session = b.session AND o.t = b.t""")
 def display_order(spark, sf_dir):
-    return sampling.display_order(of(spark, sf_dir, SHOWN), "tile_id", "tile_size", "label", 8)
+    return sampling.display_order(of(spark, sf_dir, SHOWN), "tile_id", "tile_size", "label", 8, twice=True)
+
+
+@query()
+def display_order_512(spark, sf_dir):
+    """The whole search: 512 orders, one conflict for each pair of neighbours."""
+    return sampling.display_order(of(spark, sf_dir, SHOWN), "tile_id", "tile_size", "label")
 
 
 @query(f"""WITH s AS ({SHOWN}), k AS (SELECT tile_size, least(4, count_if(label = 1), count_if(label <> 1)) AS m FROM s GROUP BY tile_size)
