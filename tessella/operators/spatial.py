@@ -18,6 +18,8 @@ from tessella.operators.polygon_area import clip_ring, covered_area
 
 RING = f"array<{rings.POINT}>"
 CELL = ["cut_name", "tile_size", "row", "col"]
+#: Different boxes of a cell whose union is taken at once.
+DENSE = 256
 
 
 def _cells(df: DataFrame, sizes: list[int], overlap: float, low: tuple[str, str], high: tuple[str, str]) -> DataFrame:
@@ -112,11 +114,46 @@ def assign_to_cuts(annotations: DataFrame, cuts: DataFrame) -> DataFrame:
     return pairs.select("stem", "id", F.when(ok, F.col("cut_index")).alias("cut_index"), F.when(ok, F.col("cut_name")).alias("cut_name"), method.alias("method"))
 
 
+def _united(boxes: DataFrame, group: str) -> DataFrame:
+    """For each group the area of its boxes' union, as summed over disjoint cells of at most DENSE different clipped boxes.
+
+    A fuller cell is cut at the medians of the edges inside it.  Each cut halves
+    those edges, and a box without an edge inside is the whole cell, so the
+    rounds grow with the logarithm of a group's size.
+    """
+    c = F.col
+    sides = {"x0": F.least("x0", "x1"), "y0": F.least("y0", "y1"), "x1": F.greatest("x0", "x1"), "y1": F.greatest("y0", "y1")}
+    rest = boxes.select(c(group).alias("__g"), *[v.cast("double").alias(k) for k, v in sides.items()]).filter("x0 < x1 AND y0 < y1").distinct()
+    whole = rest.groupBy("__g").agg(F.min("x0").alias("a"), F.min("y0").alias("b"), F.max("x1").alias("c"), F.max("y1").alias("d"))
+    rest = rest.alias("r").join(whole.alias("w"), c("r.__g").eqNullSafe(c("w.__g"))).select("r.*", "a", "b", "c", "d")
+    cell, box = ["__g", "a", "b", "c", "d"], ["x0", "y0", "x1", "y1"]
+    ring = F.array(*[F.struct(c(x).alias("x"), c(y).alias("y")) for x, y in (("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1"))])
+    areas = None
+    while True:
+        rest = rest.persist()
+        same = lambda l, r: F.expr(" AND ".join(f"{l}.{k} <=> {r}.{k}" for k in cell))
+        sums = rest.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.expr("x0 = a AND y0 = b AND x1 = c AND y1 = d")).alias("full"))
+        full = sums.filter("full").select("__g", ((c("c") - c("a")) * (c("d") - c("b"))).alias("area"))
+        few = rest.alias("r").join(sums.filter(f"NOT full AND n <= {DENSE}").alias("s"), same("r", "s"), "left_semi")
+        some = few.groupBy(*cell).agg(F.collect_list(ring).alias("rings")).select("__g", covered_area("rings", "a", "b", "c", "d").alias("area"))
+        areas = full.unionByName(some) if areas is None else areas.unionByName(full).unionByName(some)
+        dense = rest.alias("r").join(sums.filter(f"NOT full AND n > {DENSE}").alias("s"), same("r", "s"), "left_semi")
+        if dense.isEmpty():
+            return areas.groupBy("__g").agg(F.sum("area").alias("united"))
+        edges = dense.select(*cell, F.explode(F.array(F.struct(c("x0").alias("x"), c("y0").alias("y")), F.struct(c("x1").alias("x"), c("y1").alias("y")))).alias("e"))
+        middle = lambda e, lo, hi: F.coalesce(F.percentile_approx(F.when((c(e) > c(lo)) & (c(e) < c(hi)), c(e)), 0.5), (F.first(lo) + F.first(hi)) / 2)
+        cuts = edges.groupBy(*cell).agg(middle("e.x", "a", "c").alias("mx"), middle("e.y", "b", "d").alias("my"))
+        parts = dense.alias("r").join(cuts.alias("s"), same("r", "s")).select("r.*", "mx", "my")
+        quarters = F.array(*[F.struct(F.expr(p).alias("p"), F.expr(q).alias("q"), F.expr(u).alias("u"), F.expr(v).alias("v")) for p, u in (("a", "mx"), ("mx", "c")) for q, v in (("b", "my"), ("my", "d"))])
+        parts = parts.select("__g", *box, F.inline(quarters)).filter("x0 < u AND x1 > p AND y0 < v AND y1 > q")
+        clip = [F.greatest("x0", "p").alias("x0"), F.greatest("y0", "q").alias("y0"), F.least("x1", "u").alias("x1"), F.least("y1", "v").alias("y1")]
+        rest = parts.select("__g", *clip, c("p").alias("a"), c("q").alias("b"), c("u").alias("c"), c("v").alias("d")).distinct()
+
+
 def box_overlap(boxes: DataFrame, group: str) -> DataFrame:
     """For each group: summed box area, area of their union, and the share that overlaps."""
-    r = F.array(*[F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")) for x, y in (("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1"))])
-    per = boxes.groupBy(group).agg(F.sum((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).cast("double").alias("total"), F.collect_list(r).alias("rings"), F.min("x0").alias("a"), F.min("y0").alias("b"), F.max("x1").alias("c"), F.max("y1").alias("d"))
-    per = per.withColumn("united", covered_area("rings", "a", "b", "c", "d"))
+    per = boxes.groupBy(group).agg(F.sum((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).cast("double").alias("total"))
+    per = per.join(_united(boxes, group), F.col(group).eqNullSafe(F.col("__g")), "left").withColumn("united", F.coalesce("united", F.lit(0.0)))
     return per.select(group, "total", "united", (1 - F.col("united") / F.nullif(F.col("total"), F.lit(0.0))).alias("overlap_fraction"))
 
 
