@@ -5,7 +5,8 @@ planes, the highest first; behind each plane the ids with a 0 come before those
 with a 1.  With the number of ones before each block, rank and select answer
 from a few bits of each plane: the token at a place, how often a token occurs,
 and where.  A file is one value: a header, the documents' ids and first places,
-block counts, and planes, compressed together.  Executors can't write to a
+and planes, compressed together; opening it reads all of it, and block counts
+are rebuilt from the planes when first asked for.  Executors can't write to a
 store that only Spark reaches, so files travel as rows of a Parquet table, one
 row for each shard.
 
