@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import default_tokenizer, new_path, table
+from tessella.llm.common import default_tokenizer, new_path, small_batches, table
 from tessella.llm.exact_dedup import without_copies
 from tessella.llm.near_copies import without_similar
 from tessella.llm.packing import packed_pieces
@@ -21,28 +21,33 @@ from tessella.session import ship
 TOXIC = 0.3
 
 
+def _prepare(spark: SparkSession) -> None:
+    ship(spark)
+    small_batches(spark)
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go; it learns from the labelled ones that aren't held out."""
-    ship(spark)
-    names = docs.columns
-    return learnt_scores(docs, table(spark, sf_dir, "labels")).filter(F.col("score") < TOXIC).select(*names)
+    _prepare(spark)
+    scored = learnt_scores(docs, table(spark, sf_dir, "labels"))
+    return scored.filter(F.col(scored.columns[-1]) < TOXIC).select(*docs.columns)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the largest id stays."""
-    ship(spark)
+    _prepare(spark)
     return without_copies(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are linked at a five-word similarity of 0.8; of each group the document with the least id stays."""
-    ship(spark)
+    _prepare(spark)
     return without_similar(docs)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Strings of 50 bytes that a document of smaller id has are taken out; a text that is then blank goes."""
-    ship(spark)
+    _prepare(spark)
     out = suffix_dedup(docs, as_text=True)
     removed, left = out.columns[-3], out.columns[-1]
     kept = {"text": F.col(left), "n_chars": F.char_length(left).cast("long")}
@@ -52,7 +57,7 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 2048 tokens."""
-    ship(spark)
+    _prepare(spark)
     return packed_pieces(docs, default_tokenizer("word_bpe_49k.json"), 1)
 
 

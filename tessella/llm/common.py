@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import os
+import re
 import tempfile
 import uuid
 
@@ -18,11 +20,14 @@ SLICE_CHARS = 1_000_000
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where it is unset (tests on one machine) a temporary folder is made
-    and recorded in the session, so that later calls find the same one.
+    Only where it is unset and Spark runs in one process, as in tests, a
+    temporary folder is made and recorded in the session, so that later calls
+    find the same one.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -32,16 +37,44 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, paths: list[str] | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again.
 
     This cuts the lineage: what follows survives the loss of any executor.
+    ``paths`` gets the folder, for ``remove``.
     """
     path = new_path(df.sparkSession, name)
+    if paths is not None:
+        paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Delete folders that ``new_path`` named, once nothing reads them any more."""
+    for path in paths:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let batches to Python hold ``rows`` rows at most, unless the session has a number of its own.
+
+    By default they hold 10,000, which for whole texts is much memory on both sides.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """``docs``, written with a column ``name`` that numbers its rows.
+
+    The numbers are read again and never made again, so they are the same in
+    every pass, wherever the rows came from and whatever becomes of executors.
+    """
+    return written(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -94,5 +127,56 @@ def default_tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class Cache:
+    """What a Python worker remembers by a string, in two generations of bounded size.
+
+    ``young`` takes what is new.  Once that holds half of ``most`` bytes it
+    becomes the old one, whose entries come back when they are asked for.
+    """
+
+    #: Bytes of an entry besides its key and value, about.
+    ENTRY = 200
+
+    def __init__(self, most: int = 64_000_000):
+        self.most, self.bytes = most, 0
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def recall(self, keys) -> list:
+        """Take up those of ``keys`` that the old generation holds; gives the others, each once."""
+        new = []
+        for k in dict.fromkeys(keys):
+            if (x := self.old.get(k)) is None:
+                new.append(k)
+            else:
+                self.add(k, x)
+        return new
+
+    def add(self, key, value, size: int = 0) -> None:
+        self.bytes += self.ENTRY + len(key) + size
+        self.young[key] = value
+
+    def turn(self) -> None:
+        """Between two slices: let the older generation go if the younger one is full."""
+        if self.bytes > self.most // 2:
+            self.old, self.young, self.bytes = self.young, {}, 0
+
+
+_KEPT: dict[str, dict] = {}
+
+
+def kept(owner: str) -> dict:
+    """What an operator keeps in this Python worker from task to task; what others kept is let go.
+
+    Workers live through all stages of an application, so without that every
+    operator's models and caches would add up.
+    """
+    if owner not in _KEPT:
+        _KEPT.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+    return _KEPT.setdefault(owner, {})
+
+
 def quiet_tokenizers() -> None:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"

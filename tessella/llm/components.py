@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import written
+from tessella.llm.common import new_path, remove
+
+EDGES = "a long, b long"
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -33,10 +35,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
     start when an executor is lost.  A node with very many neighbours meets
     only sums and joins, never a collected list.
     """
-    now = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    spark = edges.sparkSession
+    path = new_path(spark, "edges")
+    edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().write.parquet(path)
+    now = spark.read.schema(EDGES).parquet(path)
     mark = _mark(now)
     while mark[0]:
-        now = written(_small(_large(now)), "edges")
+        last, path = path, new_path(spark, "edges")
+        _small(_large(now)).write.parquet(path)
+        remove(spark, last)
+        now = spark.read.schema(EDGES).parquet(path)
         before, mark = mark, _mark(now)
         if mark == before:
             break

@@ -14,10 +14,10 @@ import re
 
 import numpy as np
 
-from tessella.llm.common import quiet_tokenizers
+from tessella.llm.common import Cache, kept, quiet_tokenizers
 
-#: Most entries of a worker's two caches, pre-tokens and other white-space pieces; a full cache is emptied.
-MOST_WORDS, MOST_PIECES = 900_000, 200_000
+#: Bytes of a worker's two caches, of pre-tokens and of other white-space pieces.
+WORD_BYTES, PIECE_BYTES = 96_000_000, 24_000_000
 
 #: Characters whose only normalisation is lower-casing, and whose classes re and the library agree on.
 SIMPLE = re.compile(r"[\t\n\r\x20-\x7e¡-±´-¸º»¿-į]*")
@@ -28,15 +28,15 @@ RUN = re.compile(r"[^\S ] [^\S ]| \Z|[\x1c-\x1f\x85\u180e]")
 #: No text holds a lone surrogate; it marks a text's first piece.
 FIRST = "\ud800"
 
-_OPEN: dict = {}
-
 
 def encoder(path: str) -> "WordEncoder | ByteEncoder":
     """The encoder of a tokenizer file, one for each Python worker."""
-    if path not in _OPEN:
-        spec = json.loads(open(path, encoding="utf-8").read())
-        _OPEN[path] = (ByteEncoder if spec["pre_tokenizer"]["type"] == "ByteLevel" else WordEncoder)(path, spec)
-    return _OPEN[path]
+    held = kept(f"encoding {path}")
+    if not held:
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        held["encoder"] = (ByteEncoder if spec["pre_tokenizer"]["type"] == "ByteLevel" else WordEncoder)(path, spec)
+    return held["encoder"]
 
 
 class _Encoder:
@@ -50,8 +50,7 @@ class _Encoder:
         self.model = Tokenizer.from_file(path)
         self.plain_model = Tokenizer.from_str(json.dumps(spec | self.shortened))
         self.specials = [x["content"] for x in spec["added_tokens"]]
-        self.pieces: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.pieces, self.words = Cache(PIECE_BYTES), Cache(WORD_BYTES)
 
     def whole(self, text: str) -> bytes:
         """What the library gives for the text as it is."""
@@ -65,8 +64,10 @@ class _Encoder:
         """Ids of each text, as little-endian unsigned 32-bit integers."""
         out: list = [None] * len(texts)
         waiting: list[tuple[int, list[str]]] = []
-        new: list[str] = []
-        get = self.words.get
+        missing: list[str] = []
+        self.words.turn()
+        self.pieces.turn()
+        get = self.words.young.get
         for i, text in enumerate(texts):
             if not SIMPLE.fullmatch(text) or any(s in text for s in self.specials):
                 out[i] = self._by_pieces(text)
@@ -74,17 +75,15 @@ class _Encoder:
             words = self.pre_tokens(text)
             found = list(map(get, words))
             if None in found:
-                new += [w for w, x in zip(words, found) if x is None]
+                missing += [w for w, x in zip(words, found) if x is None]
                 waiting.append((i, words))
             else:
                 out[i] = b"".join(found)
         if waiting:
-            fresh = list(dict.fromkeys(new))
-            if len(self.words) + len(fresh) > MOST_WORDS:
-                self.words.clear()
-                fresh = list({w for _, words in waiting for w in words})
-            self.words.update(self.encode_words(fresh))
-            known = self.words.__getitem__
+            if new := self.words.recall(missing):
+                for w, ids in self.encode_words(new).items():
+                    self.words.add(w, ids, len(ids))
+            known = self.words.young.__getitem__
             for i, words in waiting:
                 out[i] = b"".join(map(known, words))
         return out
@@ -93,14 +92,11 @@ class _Encoder:
         parts = self.cut(text)
         if parts is None:
             return self.whole(text)
-        known, out = self.pieces, []
-        for p in parts:
-            if (ids := known.get(p)) is None:
-                if len(known) >= MOST_PIECES:
-                    known.clear()
-                ids = known[p] = self.whole(self.as_text(p))
-            out.append(ids)
-        return b"".join(out)
+        known = self.pieces
+        for p in known.recall(p for p in parts if p not in known.young):
+            ids = self.whole(self.as_text(p))
+            known.add(p, ids, len(ids))
+        return b"".join(map(known.young.__getitem__, parts))
 
     def _apart(self, words: list[str], ids: np.ndarray, ends: np.ndarray) -> dict[str, bytes]:
         """Ids of several words, cut behind the given positions."""

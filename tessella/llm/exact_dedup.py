@@ -9,8 +9,8 @@ ordinary shuffle of digests, never of texts.
 
 Of equal texts the row with the largest doc_id stays; a null doc_id is smaller
 than any other, and of rows with equal doc_ids the last in scan order stays.
-Null and empty texts are equal.  An empty table gives no rows.  Extra columns
-are not read.
+Null and empty texts are equal.  A very long text is hashed as a whole, like any
+other.  An empty table gives no rows.  Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -18,10 +18,10 @@ from __future__ import annotations
 import hashlib
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import binary, column, fresh, id_and_text, written
+from tessella.llm.common import binary, column, fresh, id_and_text, kept, numbered, written
 
 #: Counters of a summary, and so the most digests that are broadcast.
 COUNTERS = 512
@@ -34,6 +34,7 @@ SUMMARY = pa.schema([("digest", pa.binary())])
 
 
 def _digests(batches):
+    kept("exact_dedup")
     for batch in batches:
         out = [hashlib.sha256(x.lower()).digest() for x in binary(batch, "text")]  # bytes.lower: A-Z alone
         yield pa.RecordBatch.from_arrays([column(batch, "row"), column(batch, "id"), pa.array(out, pa.binary())], schema=DIGESTS)
@@ -78,7 +79,7 @@ def frequent_digests(digests: DataFrame, k: int = COUNTERS) -> list:
 
 
 def _order():
-    """What decides which row of a group stays; as an array, for a window's maximum."""
+    """What decides which row of a group stays, by its maximum."""
     return F.struct(F.coalesce(F.col("id"), F.lit(-(2**63))).alias("o"), F.col("row").alias("row"), F.col("id").alias("id"))
 
 
@@ -89,8 +90,9 @@ def exact_groups(rows: DataFrame, k: int = COUNTERS) -> DataFrame:
     heavy = spark.createDataFrame(frequent_digests(digests, k), "digest binary, top struct<o: bigint, row: bigint, id: bigint>, n bigint")
     heavy = F.broadcast(heavy)  # k rows of 60 bytes at most
     settled = digests.join(heavy, "digest")
-    same = Window.partitionBy("digest")
-    others = digests.join(heavy, "digest", "left_anti").withColumns({"top": F.max(_order()).over(same), "n": F.count(F.lit(1)).over(same)})
+    others = digests.join(heavy, "digest", "left_anti")
+    tops = others.groupBy("digest").agg(F.max(_order()).alias("top"), F.count(F.lit(1)).alias("n"))  # summed up before the shuffle
+    others = others.join(tops, "digest")
     return settled.unionByName(others).select("row", "id", "digest", F.col("top.id").alias("keep_id"), F.col("top.row").alias("keep_row"), "n")
 
 
@@ -103,12 +105,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = COUNTERS) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns.
-
-    ``docs`` must be a plain scan: its rows are numbered in scan order twice.
-    """
+    """The rows of ``docs`` that stay, with all their columns, whatever ``docs`` is made of."""
     row = fresh(docs, "__row")
-    numbered = docs.withColumn(row, F.monotonically_increasing_id())
-    rows = numbered.select(F.col(row).alias("row"), F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    all_rows = numbered(docs, row)
+    rows = all_rows.select(F.col(row).alias("row"), F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     stays = exact_groups(rows, k).filter(F.col("row") == F.col("keep_row")).select(F.col("row").alias(row))
-    return numbered.join(stays, row, "left_semi").select(*docs.columns)
+    return all_rows.join(stays, row, "left_semi").select(*docs.columns)

@@ -8,8 +8,8 @@ texts, they are told apart by a number behind the digest, in order of the text.
 So equal canonical texts have equal fingerprints and different ones don't, and
 the likeness of two fingerprints is 1 or 0.
 
-Null and empty texts are equal.  Repeated rows and equal ids are ordered by
-their text.  A table of one row is its own next document.  Rows with a null id
+Null and empty texts are equal.  Very long texts are normalised whole.  Repeated
+rows and equal ids are ordered by their text.  A table of one row is its own next document.  Rows with a null id
 come first.  An empty table gives no rows; extra columns aren't read.
 """
 
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import written
+from tessella.llm.common import fresh, written
 
 #: Rows of a cell of neighbouring documents, about; cells at most; boundaries that are estimated at most.
 CELL_ROWS, MOST_CELLS, MOST_BOUNDS = 1000, 65_536, 1024
@@ -62,16 +62,19 @@ def collisions(docs: DataFrame, buckets: DataFrame, text: str = "text") -> DataF
 
 
 def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with a column ``fingerprint`` of whole texts."""
+    """``docs`` and one more, last column ``fingerprint`` of whole texts (with underscores before it where ``docs`` has one)."""
     names = docs.columns
-    withc = docs.withColumn("__canonical", normalised(F.coalesce(F.col(text), F.lit(""))))
-    h1, h2 = bucket(F.col("__canonical"))
-    withh = withc.withColumns({"__h1": h1, "__h2": h2})
-    mixed = written(collisions(docs, withh.select(F.col("__h1").alias("h1"), F.col("__h2").alias("h2")), text), "collisions")
+    inner = [F.col(c).alias(f"c{i}") for i, c in enumerate(names)]  # no outer name meets an inner one
+    withc = docs.select(*inner, normalised(F.coalesce(F.col(text), F.lit(""))).alias("canonical"))
+    h1, h2 = bucket(F.col("canonical"))
+    withh = withc.withColumns({"h1": h1, "h2": h2})
+    mixed = written(collisions(docs, withh.select("h1", "h2"), text), "collisions")
     if mixed.isEmpty():
-        return withh.select(*names, digest(F.col("__h1"), F.col("__h2")).alias("fingerprint"))
-    joined = withh.join(mixed, (F.col("__h1") == mixed.h1) & (F.col("__h2") == mixed.h2) & (F.col("__canonical") == mixed.canonical), "left")
-    return joined.select(*[F.col(c) for c in names], digest(F.col("__h1"), F.col("__h2"), F.col("variant")).alias("fingerprint"))
+        out = withh.withColumn("variant", F.lit(0))
+    else:
+        out = withh.join(mixed, ["h1", "h2", "canonical"], "left")
+    found = digest(F.col("h1"), F.col("h2"), F.col("variant")).alias(fresh(docs, "fingerprint"))
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], found)
 
 
 def _cells(ids: DataFrame) -> Column:

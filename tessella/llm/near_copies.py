@@ -1,18 +1,24 @@
-"""Near copies by exact set similarity: documents whose five-word shingles have a Jaccard similarity of 0.8 or more.
-
-No fingerprint radius finds every such pair, so candidates come from prefix
-filtering: with all shingles in one order, two sets that reach the similarity
-share one among the first ``n - ceil(0.8 n) + 1`` shingles of each.  Any order
-is right; frequent shingles, counted in a sample, come last, so that a common
-line is seldom a candidate.  The sample shapes the order, never the result.
-
-Every member of a shingle's list is first compared with the list's least row.
-What that links is one group; then all pairs of a list whose groups still
-differ are compared.  So a large group of near copies costs a comparison for
-each member and not for each pair, and nothing is capped.
+"""Near copies: documents whose five-word shingles have a Jaccard similarity of 0.8 or more.
+
+First come the pairs that the vantage-point trees of ``simhash`` link, by
+fingerprints of the same shingles; each is verified on the whole sets, so that
+like fingerprints alone never remove a document.  No fingerprint radius finds
+every pair of that similarity, so what the trees leave apart is completed by
+prefix filtering: with all shingles in one order, two sets that reach the
+similarity share one among the first ``n - ceil(0.8 n) + 1`` shingles of each.
+Any order is right; frequent shingles, counted in a sample, come last, so that a
+common line is seldom a candidate.  The sample shapes the order, never the
+result.
+
+Members of a shingle's list that aren't in one group yet are compared with the
+list's least row, and, while many pairs of different groups are left, with a few
+others, picked by how much of them the lists share and by a hash.  So a large group of near copies grows together by a
+few comparisons for each member and not for each pair.  In the end all pairs of
+a list whose groups still differ are compared, and nothing is capped.
 
 A text of fewer words is one shingle, as in ``simhash``; null and empty texts
-are equal.  Shingles are compared by 64-bit hashes.
+are equal.  Shingles are compared by 64-bit hashes.  Very long texts are sets as
+any others; an empty table gives no rows; other columns are handed through.
 """
 
 from __future__ import annotations
@@ -23,14 +29,21 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import binary, column, fresh, slices, written
+from tessella.llm.common import binary, column, fresh, kept, numbered, remove, slices, written
 from tessella.llm.components import connected_components
+from tessella.llm.simhash import fingerprints, linked
 
-#: Tenths of similarity that make a near copy.
-TENTHS = 8
+#: Tenths of similarity that make a near copy; differing bits at which the trees link two fingerprints.
+TENTHS, BITS = 8, 3
 #: Rows that are counted for the order, at least, and their share; rows of the sample that make a shingle frequent; frequent shingles, at most.
 SAMPLE, SHARE, FREQUENT, MOST = 20_000, 1 / 16, 3, 500_000
 
+#: Rows whose ids are broadcast to pick their texts, 8 bytes each; for more of them the texts are shuffled.
+MOST_BROADCAST = 1_000_000
+
+#: Members of a list that the others meet in one turn; turns at most; pairs that are left for each entry of a list, before all are compared.
+LEADERS, TURNS, MANY = 8, 6, 2
+
 SETS = pa.schema([("row", pa.int64()), ("n", pa.int32()), ("grams", pa.list_(pa.int64()))])
 
 
@@ -51,6 +64,7 @@ def shingle_sets(rows: DataFrame, words: int, last=None) -> DataFrame:
     ranks) the prefix that a similar set must meet, in order."""
 
     def run(batches):
+        kept("near_copies")
         for part in slices(batches):
             sets = [shingles(t, words) for t in binary(part, "text")]
             sizes = [len(s) for s in sets]
@@ -85,56 +99,94 @@ def _enough(shared: Column, na: Column, nb: Column) -> Column:
     return (10 + TENTHS) * shared.cast("long") >= TENTHS * (na.cast("long") + nb)
 
 
-def _similar(pairs: DataFrame, rows: DataFrame, words: int) -> DataFrame:
+def _similar(pairs: DataFrame, rows: DataFrame, words: int, paths: list[str]) -> DataFrame:
     """Those pairs of rows (a, b) that are near copies, found from their whole sets."""
-    named = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
-    sets = written(shingle_sets(rows.join(named, "row", "left_semi"), words), "sets")
+    named = written(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "named", paths)
+    if named.count() <= MOST_BROADCAST:
+        named = F.broadcast(named)
+    sets = written(shingle_sets(rows.join(named, "row", "left_semi"), words), "sets", paths)
     side = lambda k: sets.select(F.col("row").alias(k), F.col("n").alias(f"n{k}"), F.col("grams").alias(f"g{k}"))
     both = pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a")
     shared = F.size(F.array_intersect("ga", "gb"))
     return both.filter(_enough(shared, F.col("na"), F.col("nb"))).select("a", "b")
 
 
-def near_links(rows: DataFrame, words: int = 5) -> DataFrame:
+def fingerprint_pairs(rows: DataFrame, words: int, paths: list[str], most: int = BITS) -> DataFrame:
+    """Columns a, b: pairs of rows whose fingerprints the vantage-point trees link, or who share one."""
+    prints = written(fingerprints(rows.select("row", F.col("row").alias("id"), "text"), words), "prints", paths)
+    points = written(prints.groupBy("fp").agg(F.min("row").alias("first")), "points", paths)
+    same = prints.join(points, "fp").filter("row <> first").select(F.col("first").alias("a"), F.col("row").alias("b"))
+    end = lambda k: points.select(F.col("fp").alias(k), F.col("first").alias(f"of_{k}"))
+    near = linked(points, most).join(end("a"), "a").join(end("b"), "b")
+    return same.unionByName(near.select(F.least("of_a", "of_b").alias("a"), F.greatest("of_a", "of_b").alias("b")).distinct())
+
+
+def _left(apart: DataFrame) -> int:
+    """Pairs that share a list but no group, counted in each list."""
+    sizes = apart.groupBy("gram", "root").agg(F.count(F.lit(1)).alias("k"))
+    pairs = sizes.groupBy("gram").agg((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))).alias("twice"))
+    return (pairs.agg(F.sum("twice")).first()[0] or 0) // 2
+
+
+def near_links(rows: DataFrame, words: int, paths: list[str]) -> DataFrame:
     """Columns a, b: links that connect exactly the rows that pairs of near copies connect.
 
-    ``rows`` has row (long, unique) and text.
+    ``rows`` has row (long, unique) and text, and should be a written table;
+    ``paths`` gets the folders of the tables that are written on the way.
     """
+    sure = written(_similar(written(fingerprint_pairs(rows, words, paths), "pairs", paths), rows, words, paths), "links", paths)
+    groups = written(connected_components(sure), "groups", paths)
+    root = lambda df, k: df.join(groups.select(F.col("node").alias(k), F.col("root").alias(f"root_{k}")), k, "left").withColumn(f"root_{k}", F.coalesce(f"root_{k}", k))
     last = rows.sparkSession.sparkContext.broadcast(_frequent(rows, words))  # MOST shingles at most
     listed = shingle_sets(rows, words, last).select("row", "n", F.posexplode("grams").alias("at", "gram"))
     of = Window.partitionBy("gram")
     led = F.min(F.struct("row", "n", "at")).over(of)
     listed = listed.select("row", "n", "at", "gram", led.alias("first"), F.count(F.lit(1)).over(of).alias("c")).filter("c > 1")
-    listed = written(listed.select("row", "n", "at", "gram", "first"), "listed")
+    listed = written(listed.select("row", "n", "at", "gram", "first"), "listed", paths)
     # what follows a shared shingle bounds what two sets can share, if it is their first; at their first it always passes
     fits = lambda na, ia, nb, ib: _enough(F.least(na - ia, nb - ib), na, nb)
     c = F.col
     stars = listed.filter((c("row") != c("first.row")) & fits(c("first.n"), c("first.at"), c("n"), c("at")))
-    stars = written(stars.select(c("first.row").alias("a"), c("row").alias("b")).distinct(), "stars")
-    links = written(_similar(stars, rows, words), "links")
-    groups = connected_components(links)
-    apart = listed.join(groups.withColumnRenamed("node", "row"), "row", "left").select("gram", "row", "n", "at", F.coalesce("root", "row").alias("root"))
-    apart = written(apart, "apart")
+    stars = root(root(stars.select(c("first.row").alias("a"), c("row").alias("b")).distinct(), "a"), "b")
+    stars = written(stars.filter("root_a <> root_b").select("a", "b"), "stars", paths)
+    links = written(sure.unionByName(_similar(stars, rows, words, paths)), "links", paths)
+    # the more of a set's prefix others share, the nearer it is to what a group of copies comes from
+    share = written(listed.groupBy("row").agg((F.count(F.lit(1)) / F.first("n")).alias("share")), "share", paths)
+    most, before = MANY * listed.count(), None
+    for turn in range(TURNS + 1):
+        groups = connected_components(links)
+        apart = listed.join(groups.withColumnRenamed("node", "row"), "row", "left").join(share, "row").select("gram", "row", "n", "at", "share", F.coalesce("root", "row").alias("root"))
+        apart = written(apart, "apart", paths)
+        left = _left(apart)
+        if left <= most or turn == TURNS or before is not None and left > before * 0.9:
+            break
+        before = left
+        picked = lambda k: c("share") * (1 - F.pmod(F.xxhash64(F.lit(k), "row"), F.lit(1000)) / 4000)
+        picks = [F.max_by(F.struct("row", "n", "at", "root"), F.struct(picked(turn * LEADERS + k), "row")) for k in range(LEADERS)]
+        led = apart.groupBy("gram").agg(F.array_distinct(F.array(*picks)).alias("led"), (F.min("root") != F.max("root")).alias("several")).filter("several")
+        met = F.filter("led", lambda x: (x["root"] != c("root")) & fits(x["n"], x["at"], c("n"), c("at")))
+        met = apart.join(led, "gram").select("row", F.explode(met).alias("x")).select(F.least("row", "x.row").alias("a"), F.greatest("row", "x.row").alias("b"))
+        links = written(links.unionByName(_similar(written(met.distinct(), "pairs", paths), rows, words, paths)), "links", paths)
     pairs = apart.alias("x").join(apart.alias("y"), (c("x.gram") == c("y.gram")) & (c("x.row") < c("y.row")) & (c("x.root") != c("y.root")) & fits(c("x.n"), c("x.at"), c("y.n"), c("y.at")))
     pairs = pairs.select(c("x.row").alias("a"), c("y.row").alias("b")).distinct()
-    pairs = written(pairs.join(stars, ["a", "b"], "left_anti"), "pairs")
-    return links.unionByName(_similar(pairs, rows, words))
+    pairs = written(pairs.join(stars, ["a", "b"], "left_anti"), "pairs", paths)
+    return links.unionByName(_similar(pairs, rows, words, paths))
 
 
 def without_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
     """The rows of ``docs`` that stay, one of each group of linked near copies: that with the least id, of equal ids the
-    first in scan order; null ids only where all are null.
-
-    ``docs`` must be a plain scan: its rows are numbered in scan order several times.
+    first one written; null ids only where all are null.
     """
     row = fresh(docs, "__row")
-    numbered = docs.withColumn(row, F.monotonically_increasing_id())
-    rows = numbered.select(F.col(row).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    groups = written(connected_components(near_links(rows, words)), "groups")
+    all_rows = numbered(docs, row)
+    rows = all_rows.select(F.col(row).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    paths: list[str] = []
+    groups = written(connected_components(near_links(rows, words, paths)), "groups")
+    remove(docs.sparkSession, *paths)
     members = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
-    ids = numbered.select(F.col(row).alias("node"), F.col(id_col).cast("long").alias("id"))
+    ids = all_rows.select(F.col(row).alias("node"), F.col(id_col).cast("long").alias("id"))
     members = written(members.join(ids, "node"), "members")
     order = F.struct(F.col("id").isNull(), F.col("id"), F.col("node"))
     stays = members.groupBy("root").agg(F.min_by("node", order).alias("node")).select("node")
     goes = members.join(stays, "node", "left_anti").select(F.col("node").alias(row))
-    return numbered.join(goes, row, "left_anti").select(*docs.columns)
+    return all_rows.join(goes, row, "left_anti").select(*docs.columns)

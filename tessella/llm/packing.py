@@ -12,8 +12,10 @@ Each partition packs its own rows in one pass with a bounded number of waiting
 examples: there is no shuffle, and a lost task is simply run again.  Sequence
 ids hold the partition number, so they are unique and repeatable.
 
-Null or empty texts are one end token; repeated rows are packed as often as
-they occur; an empty table gives no rows.  Columns other than the named ones
+Null or empty texts are one end token; very long ones fill as many sequences as
+they need; of examples with equal products the one that has waited in front is
+taken; repeated rows are packed as often as they occur; an empty table gives no
+rows.  Columns other than the named ones
 are not read, so they can't clash.
 """
 

@@ -7,7 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessella.llm import url_filter
-from tessella.llm.common import default_tokenizer, table
+from tessella.llm.common import default_tokenizer, small_batches
+from tessella.llm.common import table as _table
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
+    return _table(spark, sf_dir, name)
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +73,7 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessella.llm.suffix_dedup import removal_report
 
-    return removal_report(table(spark, sf_dir, "documents"))
+    return removal_report(table(spark, sf_dir, "documents"), plain_scan=True)
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,12 +10,13 @@ behind it.  Within a shard the same recursion goes on down to small cells,
 where pairs are compared bit by bit.  The sample shapes the shards, never the
 result.
 
-Equal fingerprints are one point; a shard gives each of its points one link to
-its local group, not all pairs, and a distributed component search joins them.
+Equal fingerprints are one point; a shard gives the pairs that join two of its
+local groups, not all pairs, and a distributed component search joins them.
 
-Null and empty texts have the fingerprint zero.  Null ids are never the least
-of a group unless all are null.  Repeated rows share a fingerprint.  An empty
-table gives no rows; extra columns aren't read.
+Null and empty texts have the fingerprint zero.  A very long text has one
+fingerprint of all its shingles.  Null ids are never the least of a group unless
+all are null.  Repeated rows share a fingerprint.  An empty table gives no rows;
+extra columns aren't read.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import binary, column, fresh, id_and_text, slices, written
+from tessella.llm.common import binary, column, fresh, id_and_text, kept, numbered, slices, written
 from tessella.llm.components import connected_components
 
 #: Fingerprints of the sample that shapes a tree; points of a shard, about; of a cell.
@@ -63,6 +64,7 @@ def fingerprints(rows: DataFrame, words: int = 3) -> DataFrame:
     """Columns row, id, text to row, id, fp."""
 
     def run(batches):
+        kept("simhash")
         for part in slices(batches):
             fps = pa.array([fingerprint(t, words) for t in binary(part, "text")], pa.int64())
             yield pa.RecordBatch.from_arrays([column(part, "row"), column(part, "id"), fps], schema=PRINTS)
@@ -137,18 +139,17 @@ class Groups:
             i = int(of[i])
         return i
 
-    def join(self, members) -> None:
-        roots = {self.root(int(i)) for i in members}
-        self.of[list(roots)] = min(roots)
+    def join(self, i: int, j: int) -> bool:
+        """Whether the two were apart."""
+        a, b = self.root(i), self.root(j)
+        self.of[max(a, b)] = min(a, b)
+        return a != b
 
-    def flatten(self) -> np.ndarray:
-        while not np.array_equal(self.of, up := self.of[self.of]):
-            self.of = up
-        return self.of
+def link_cell(fps: np.ndarray, home: np.ndarray, visit: np.ndarray, most: int, groups: Groups, links: list) -> None:
+    """Compare home points with each other and with visitors, in blocks.
 
-
-def link_cell(fps: np.ndarray, home: np.ndarray, visit: np.ndarray, most: int, groups: Groups) -> None:
-    """Join home points with each other and with visitors at ``most`` differing bits or fewer, in blocks."""
+    ``links`` gets pairs of at most ``most`` differing bits, those that join two groups.
+    """
     every = np.concatenate((home, visit))
     values = fps[every]
     for k in range(0, len(home), BLOCK):
@@ -156,11 +157,13 @@ def link_cell(fps: np.ndarray, home: np.ndarray, visit: np.ndarray, most: int, g
         near = np.bitwise_count(fps[rows][:, None] ^ values[None, k:]) <= most
         near[np.arange(len(rows)), np.arange(len(rows))] = False
         for i in np.flatnonzero(near.any(axis=1)):
-            found = groups.of[every[k:][near[i]]]
-            groups.join([rows[i], *(found[:1] if len(found) == 1 else np.unique(found))])
+            found = every[k:][near[i]]
+            for j in found[np.unique(groups.of[found], return_index=True)[1]].tolist():
+                if groups.join(int(rows[i]), j):
+                    links.append((rows[i], j))
 
 
-def link(fps: np.ndarray, halves: np.ndarray, home: np.ndarray, visit: np.ndarray, most: int, groups: Groups) -> None:
+def link(fps: np.ndarray, halves: np.ndarray, home: np.ndarray, visit: np.ndarray, most: int, groups: Groups, links: list) -> None:
     """The recursion of a shard: split while that leaves less to compare, then compare."""
     if len(home) > CELL and (found := vantage(halves[home])) is not None:
         v, t = found
@@ -170,28 +173,27 @@ def link(fps: np.ndarray, halves: np.ndarray, home: np.ndarray, visit: np.ndarra
         to_left = visit[dv - radius <= t]
         to_right = np.concatenate((visit[dv + radius > t], home[(dh <= t) & (dh + radius > t)]))
         if len(left) * (len(left) + len(to_left)) + len(right) * (len(right) + len(to_right)) < 0.95 * len(home) * (len(home) + len(visit)):
-            link(fps, halves, left, to_left, most, groups)
-            link(fps, halves, right, to_right, most, groups)
+            link(fps, halves, left, to_left, most, groups, links)
+            link(fps, halves, right, to_right, most, groups, links)
             return
-    link_cell(fps, home, visit, most, groups)
+    link_cell(fps, home, visit, most, groups, links)
 
 
 def _shard_links(most: int):
     def run(table: pa.Table) -> pa.Table:
         fps = table["fp"].to_numpy().view(np.uint64)
         home = table["home"].to_numpy()
-        groups = Groups(len(fps))
-        link(fps, half(fps, table["tree"][0].as_py()), np.flatnonzero(home), np.flatnonzero(~home), most, groups)
-        of = groups.flatten()
-        at = np.flatnonzero(of != np.arange(len(fps)))
+        links: list = []
+        link(fps, half(fps, table["tree"][0].as_py()), np.flatnonzero(home), np.flatnonzero(~home), most, Groups(len(fps)), links)
+        a, b = np.array(links, dtype=np.int64).reshape(-1, 2).T
         signed = fps.view(np.int64)
-        return pa.table({"a": pa.array(signed[at]), "b": pa.array(signed[of[at]])})
+        return pa.table({"a": pa.array(signed[a]), "b": pa.array(signed[b])})
 
     return run
 
 
 def linked(distinct: DataFrame, most: int = 3) -> DataFrame:
-    """Columns a, b: links that connect exactly what pairs of at most ``most`` differing bits connect.
+    """Columns a, b: pairs of at most ``most`` differing bits that connect exactly what all such pairs connect.
 
     ``distinct`` has one column fp without repetition and should be a written table.
     """
@@ -235,14 +237,11 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, most: int = 3) -> DataFrame:
-    """The rows of ``docs`` that stay, one of each group: that with the least id, of equal ids the first in scan order.
-
-    ``docs`` must be a plain scan: its rows are numbered in scan order twice.
-    """
+    """The rows of ``docs`` that stay, one of each group: that with the least id, of equal ids the first one written."""
     row = fresh(docs, "__row")
-    numbered = docs.withColumn(row, F.monotonically_increasing_id())
-    rows = numbered.select(F.col(row).alias("row"), F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    all_rows = numbered(docs, row)
+    rows = all_rows.select(F.col(row).alias("row"), F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     groups = near_groups(rows, words, most)
     order = F.struct(F.col("id").isNull(), F.col("id"), F.col("row"))
     stays = groups.groupBy("root").agg(F.min_by("row", order).alias(row)).select(row)
-    return numbered.join(stays, row, "left_semi").select(*docs.columns)
+    return all_rows.join(stays, row, "left_semi").select(*docs.columns)

@@ -9,7 +9,7 @@ the library and remembered in a bounded worker cache.  Pre-tokens are never
 shuffled; only the summaries are, a fixed number of entries for each task.
 
 The counts don't depend on what the table holds.  Null and empty texts have no
-tokens.  Repeated rows count alike; an empty table gives no rows; other columns
+tokens; very long ones are counted whole.  Repeated rows count alike; an empty table gives no rows; other columns
 aren't read.
 """
 

@@ -11,8 +11,10 @@ coordinate, so no task or driver sees all rows.
 Training uses a bounded sample, about MOST_ROWS labelled rows by a hash
 of their id, that is, independent of how the table is stored.  Everything else
 reads all rows.  Scores see the text alone.  Null and empty texts have no
-features and get the score of the bias.  Repeated rows score alike; an empty
-table, or one without labelled rows, gives scores of 0.5 or no rows.
+features and get the score of the bias.  Repeated rows score alike, and so do
+texts of any length with the same features; whole texts are read, one at a time.
+An empty table gives no rows; without labelled rows every score is 0.5.  Labels
+other than 0 and 1 are none; of several for one document the largest counts.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import binary, column
+from tessella.llm.common import binary, column, fresh, kept
 
 BITS = 18
 SIZE = 1 << BITS
@@ -38,8 +40,6 @@ MOST_ROWS = 20_000
 SHARDS = 6
 #: Of a feature that a text has.
 VALUE = 0.5
-#: Entries of a worker's word cache; a full cache is emptied.
-MOST_WORDS = 600_000
 
 WORDS = re.compile(rb"[a-z0-9\x80-\xff']+")
 STATE = pa.schema([("coordinate", pa.int64()), ("z", pa.float64()), ("n", pa.float64())])
@@ -57,21 +57,10 @@ class Rates:
     epochs: int = 2
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MOST_WORDS:
-            self.clear()
-        found = self[word] = zlib.crc32(word)
-        return found
-
-
-_WORDS = _Words()
-
-
 def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Coordinates and values of a text's words, pairs and skip-pairs; coordinate 0 is the bias."""
     found = WORDS.findall(text.lower())
-    w = np.fromiter(map(_WORDS.__getitem__, found), dtype=np.uint64, count=len(found))
+    w = np.fromiter(map(zlib.crc32, found), dtype=np.uint64, count=len(found))
     mixed = [w, (w[:-1] * np.uint64(0x9E3779B1) + w[1:] * np.uint64(0x85EBCA77)), (w[:-2] * np.uint64(0xC2B2AE3D) + w[2:] * np.uint64(0x27D4EB2F))]
     h = np.concatenate(mixed)
     h ^= h >> np.uint64(29)
@@ -103,6 +92,7 @@ def ftrl(z: np.ndarray, n: np.ndarray, rows: list, r: Rates) -> None:
 
 def _pass(state, r: Rates):
     def run(batches):
+        kept("toxicity")
         z, n = (x.copy() for x in dense(state.value))
         rows = []
         for batch in batches:
@@ -161,14 +151,15 @@ def train(labelled: DataFrame, r: Rates = Rates()) -> tuple[np.ndarray, np.ndarr
 
 
 def toxicity_scores(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text_col: str = "text") -> DataFrame:
-    """``docs`` with a column ``score``, computed from the text alone."""
+    """``docs`` and one more, last column ``score`` (with underscores before it where ``docs`` has one), computed from the text alone."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.withColumn("score", _scorer(sent)(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
+    return docs.withColumn(fresh(docs, "score"), _scorer(sent)(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
 
 
 def _scorer(sent):
     @F.pandas_udf("double")
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        kept("toxicity")
         (w,) = dense(sent.value)
         for texts in parts:
             yield pd.Series([sigmoid(w, t) for t in texts], dtype="float64")
@@ -187,7 +178,7 @@ def held_out(id_col: str = "doc_id"):
 
 
 def learnt_scores(docs: DataFrame, labels: DataFrame, rates: Rates = Rates(), most_rows: int = MOST_ROWS) -> DataFrame:
-    """``docs`` with a column ``score`` of a model learnt from the labelled rows that aren't held out."""
+    """``docs`` and one more, last column with the score of a model learnt from the labelled rows that aren't held out."""
     marks = F.broadcast(sampled_marks(labels, most_rows))  # 1.2 times most_rows rows at most
     model = train(docs.select("doc_id", "text").join(marks, "doc_id"), rates)
     return toxicity_scores(docs, model)

@@ -13,7 +13,8 @@ row for each shard.
 Documents are ordered by a range exchange on the id; a partition's shards and
 the counts inside it are known to the task that writes them, and only one total
 for each partition is summed up afterwards.  Null ids come first; equal ids are
-ordered by their text.  Null and empty texts hold the end token alone.  An empty
+ordered by their text.  Null and empty texts hold the end token alone; a very long one makes
+a long shard.  An empty
 table gives no shard.  Other columns aren't read.
 """
 

@@ -164,9 +164,10 @@ def test_vantage_points_lose_no_link(seed):
             parts = [(at, home) for n, at, home in out if n == leaf]
             at = np.concatenate([a for a, _ in parts]) if parts else np.zeros(0, dtype=int)
             home = np.concatenate([h for _, h in parts]) if parts else np.zeros(0, dtype=bool)
-            groups = simhash.Groups(len(at))
-            simhash.link(fps[at], halves[at], np.flatnonzero(home), np.flatnonzero(~home), 3, groups)
-            edges |= {(int(at[i]), int(at[j])) for i, j in enumerate(groups.flatten()) if i != j}
+            links: list = []
+            simhash.link(fps[at], halves[at], np.flatnonzero(home), np.flatnonzero(~home), 3, simhash.Groups(len(at)), links)
+            assert all(int(fps[at[i]] ^ fps[at[j]]).bit_count() <= 3 for i, j in links)
+            edges |= {(int(at[i]), int(at[j])) for i, j in links}
     of = list(range(len(fps)))
     for _ in range(len(fps)):
         before = list(of)
@@ -338,13 +339,33 @@ def test_prefix_bpe(docs, none):
 
 
 def test_prefix_bpe_appends_and_edits():
+    rng = random.Random(1)
     b = prefix_bpe.PrefixBPE(prefix_bpe.ranks_of(MULTI))
     last, start = b.table(b"unbeliev")
     raw = b.append(b"unbeliev", last, start, b"ability")
     assert b.read(last, start) == b.read(*b.table(b"unbelievability"))
-    edited = raw[:6] + b"XY" + raw[8:]
-    b.edited(edited, last, start, 6)
-    assert b.read(last, start) == b.read(*b.table(edited))
+    for _ in range(300):
+        raw = bytes(rng.choice(b"abetnos 1") for _ in range(rng.randrange(200)))
+        last, start = b.table(raw)
+        at, put = rng.randrange(len(raw) + 1), bytes(rng.choice(b"abetnos 1") for _ in range(rng.randrange(5)))
+        removed = rng.randrange(min(5, len(raw) - at) + 1)
+        edited, _ = b.edited(raw, last, start, at, removed, put)
+        assert edited == raw[:at] + put + raw[at + removed :] and (last, start) == b.table(edited)
+    raw = bytes(rng.choice(b"abetnos") for _ in range(20_000))
+    last, start = b.table(raw)
+    assert b.edited(raw, last, start, 100, 3, b"xyz")[1] < 200  # the rest is taken over
+
+
+def test_prefix_bpe_has_the_library_s_classes():
+    """Over all code points, also those that are letters to one library and not to the other."""
+    import tiktoken
+
+    texts, rng = prefix_bpe.opened(MULTI, P.PATTERN), random.Random(2)
+    library = tiktoken.Encoding("plain", pat_str=P.PATTERN, mergeable_ranks=prefix_bpe.ranks_of(MULTI), special_tokens={})
+    points = [c for c in range(0x32000) if not 0xD800 <= c < 0xE000]
+    for k in range(0, len(points), 50):
+        text = "".join(chr(c) + rng.choice(["a", " ", "1", "", "\n", "'s"]) for c in points[k : k + 50])
+        assert texts.encode(text) == library.encode_ordinary(text)
 
 
 def test_token_counts(docs, none, spark):
