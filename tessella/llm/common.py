@@ -66,6 +66,15 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+#: Rows of a few numbers each that are broadcast at most; where there are more, the join shuffles.
+MOST_BROADCAST = 1_000_000
+
+
+def if_small(df: DataFrame, most: int | None = None) -> DataFrame:
+    """A written table of a few numbers a row, to be broadcast if it is small enough."""
+    return F.broadcast(df) if df.count() <= (MOST_BROADCAST if most is None else most) else df
+
+
 def numbered(docs: DataFrame, name: str) -> DataFrame:
     """``docs``, written with a column ``name`` that numbers its rows.
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import binary, column, fresh, id_and_text, kept, numbered, written
+from tessella.llm.common import binary, column, fresh, id_and_text, if_small, kept, numbered, written
 
 #: Counters of a summary, and so the most digests that are broadcast.
 COUNTERS = 512
@@ -109,5 +109,5 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     row = fresh(docs, "__row")
     all_rows = numbered(docs, row)
     rows = all_rows.select(F.col(row).alias("row"), F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    stays = exact_groups(rows, k).filter(F.col("row") == F.col("keep_row")).select(F.col("row").alias(row))
-    return all_rows.join(stays, row, "left_semi").select(*docs.columns)
+    goes = written(exact_groups(rows, k).filter(F.col("row") != F.col("keep_row")).select(F.col("row").alias(row)), "goes")
+    return all_rows.join(if_small(goes), row, "left_anti").select(*docs.columns)

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import binary, column, fresh, kept, numbered, remove, slices, written
+from tessella.llm.common import binary, column, fresh, if_small, kept, numbered, remove, slices, written
 from tessella.llm.components import connected_components
 from tessella.llm.simhash import fingerprints, linked
 
@@ -38,8 +38,6 @@ TENTHS, BITS = 8, 3
 #: Rows that are counted for the order, at least, and their share; rows of the sample that make a shingle frequent; frequent shingles, at most.
 SAMPLE, SHARE, FREQUENT, MOST = 20_000, 1 / 16, 3, 500_000
 
-#: Rows whose ids are broadcast to pick their texts, 8 bytes each; for more of them the texts are shuffled.
-MOST_BROADCAST = 1_000_000
 
 #: Members of a list that the others meet in one turn; turns at most; pairs that are left for each entry of a list, before all are compared.
 LEADERS, TURNS, MANY = 8, 6, 2
@@ -102,9 +100,7 @@ def _enough(shared: Column, na: Column, nb: Column) -> Column:
 def _similar(pairs: DataFrame, rows: DataFrame, words: int, paths: list[str]) -> DataFrame:
     """Those pairs of rows (a, b) that are near copies, found from their whole sets."""
     named = written(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "named", paths)
-    if named.count() <= MOST_BROADCAST:
-        named = F.broadcast(named)
-    sets = written(shingle_sets(rows.join(named, "row", "left_semi"), words), "sets", paths)
+    sets = written(shingle_sets(rows.join(if_small(named), "row", "left_semi"), words), "sets", paths)
     side = lambda k: sets.select(F.col("row").alias(k), F.col("n").alias(f"n{k}"), F.col("grams").alias(f"g{k}"))
     both = pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a")
     shared = F.size(F.array_intersect("ga", "gb"))
@@ -136,7 +132,7 @@ def near_links(rows: DataFrame, words: int, paths: list[str]) -> DataFrame:
     """
     sure = written(_similar(written(fingerprint_pairs(rows, words, paths), "pairs", paths), rows, words, paths), "links", paths)
     groups = written(connected_components(sure), "groups", paths)
-    root = lambda df, k: df.join(groups.select(F.col("node").alias(k), F.col("root").alias(f"root_{k}")), k, "left").withColumn(f"root_{k}", F.coalesce(f"root_{k}", k))
+    root = lambda df, k: df.join(if_small(groups.select(F.col("node").alias(k), F.col("root").alias(f"root_{k}"))), k, "left").withColumn(f"root_{k}", F.coalesce(f"root_{k}", k))
     last = rows.sparkSession.sparkContext.broadcast(_frequent(rows, words))  # MOST shingles at most
     listed = shingle_sets(rows, words, last).select("row", "n", F.posexplode("grams").alias("at", "gram"))
     of = Window.partitionBy("gram")
@@ -152,11 +148,12 @@ def near_links(rows: DataFrame, words: int, paths: list[str]) -> DataFrame:
     links = written(sure.unionByName(_similar(stars, rows, words, paths)), "links", paths)
     # the more of a set's prefix others share, the nearer it is to what a group of copies comes from
     share = written(listed.groupBy("row").agg((F.count(F.lit(1)) / F.first("n")).alias("share")), "share", paths)
-    most, before = MANY * listed.count(), None
+    most, before, gone = MANY * listed.count(), None, []
     for turn in range(TURNS + 1):
-        groups = connected_components(links)
-        apart = listed.join(groups.withColumnRenamed("node", "row"), "row", "left").join(share, "row").select("gram", "row", "n", "at", "share", F.coalesce("root", "row").alias("root"))
-        apart = written(apart, "apart", paths)
+        of = share.join(connected_components(links).withColumnRenamed("node", "row"), "row", "left").select("row", "share", F.coalesce("root", "row").alias("root"))
+        remove(rows.sparkSession, *gone)
+        gone = []
+        apart = written(listed.join(if_small(written(of, "roots", paths)), "row").select("gram", "row", "n", "at", "share", "root"), "apart", gone)
         left = _left(apart)
         if left <= most or turn == TURNS or before is not None and left > before * 0.9:
             break
@@ -168,6 +165,7 @@ def near_links(rows: DataFrame, words: int, paths: list[str]) -> DataFrame:
         met = apart.join(led, "gram").select("row", F.explode(met).alias("x")).select(F.least("row", "x.row").alias("a"), F.greatest("row", "x.row").alias("b"))
         links = written(links.unionByName(_similar(written(met.distinct(), "pairs", paths), rows, words, paths)), "links", paths)
     pairs = apart.alias("x").join(apart.alias("y"), (c("x.gram") == c("y.gram")) & (c("x.row") < c("y.row")) & (c("x.root") != c("y.root")) & fits(c("x.n"), c("x.at"), c("y.n"), c("y.at")))
+    paths += gone
     pairs = pairs.select(c("x.row").alias("a"), c("y.row").alias("b")).distinct()
     pairs = written(pairs.join(stars, ["a", "b"], "left_anti"), "pairs", paths)
     return links.unionByName(_similar(pairs, rows, words, paths))
@@ -188,5 +186,5 @@ def without_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = written(members.join(ids, "node"), "members")
     order = F.struct(F.col("id").isNull(), F.col("id"), F.col("node"))
     stays = members.groupBy("root").agg(F.min_by("node", order).alias("node")).select("node")
-    goes = members.join(stays, "node", "left_anti").select(F.col("node").alias(row))
-    return all_rows.join(goes, row, "left_anti").select(*docs.columns)
+    goes = written(members.join(stays, "node", "left_anti").select(F.col("node").alias(row)), "goes")
+    return all_rows.join(if_small(goes), row, "left_anti").select(*docs.columns)

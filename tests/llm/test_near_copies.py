@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from tessella.llm import near_copies, simhash
+from tessella.llm import common, near_copies, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 EXTRA = SCHEMA.replace("lang", "__row")
@@ -77,7 +77,7 @@ def test_near_dedup_finds_all_pairs(spark, tmp_path, monkeypatch, seed):
         monkeypatch.setattr(near_copies, "MOST", 0)
     if seed == 2:  # leaders are met, turn after turn, and texts are picked by a shuffle
         monkeypatch.setattr(near_copies, "MANY", 0)
-        monkeypatch.setattr(near_copies, "MOST_BROADCAST", 0)
+        monkeypatch.setattr(common, "MOST_BROADCAST", 0)
     out = c.near_dedup(spark, df, str(tmp_path))
     assert out.columns == df.columns
     assert sorted((r.doc_id for r in out.collect()), key=str) == staying(rows)
