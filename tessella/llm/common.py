@@ -37,6 +37,21 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Lets Spark delete the shuffle files of a write that has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def write(df: DataFrame, path: str) -> None:
+    """Write a table in between; its shuffle files go as soon as it stands, and not when the driver happens to collect garbage."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, "false")
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(CLEANUP, before)
+
+
 def written(df: DataFrame, name: str, paths: list[str] | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again.
 
@@ -46,7 +61,7 @@ def written(df: DataFrame, name: str, paths: list[str] | None = None) -> DataFra
     path = new_path(df.sparkSession, name)
     if paths is not None:
         paths.append(path)
-    df.write.parquet(path)
+    write(df, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

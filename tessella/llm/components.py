@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import new_path, remove
+from tessella.llm.common import new_path, remove, write
 
 EDGES = "a long, b long"
 
@@ -37,12 +37,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     spark = edges.sparkSession
     path = new_path(spark, "edges")
-    edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().write.parquet(path)
+    write(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), path)
     now = spark.read.schema(EDGES).parquet(path)
     mark = _mark(now)
     while mark[0]:
         last, path = path, new_path(spark, "edges")
-        _small(_large(now)).write.parquet(path)
+        write(_small(_large(now)), path)
         remove(spark, last)
         now = spark.read.schema(EDGES).parquet(path)
         before, mark = mark, _mark(now)
