@@ -40,7 +40,7 @@ SAMPLE, SHARE, FREQUENT, MOST = 20_000, 1 / 16, 3, 500_000
 
 
 #: Members of a list that the others meet in one turn; turns at most; pairs that are left for each entry of a list, before all are compared.
-LEADERS, TURNS, MANY = 8, 6, 2
+LEADERS, TURNS, MANY = 8, 6, 20
 
 SETS = pa.schema([("row", pa.int64()), ("n", pa.int32()), ("grams", pa.list_(pa.int64()))])
 
@@ -107,6 +107,14 @@ def _similar(pairs: DataFrame, rows: DataFrame, words: int, paths: list[str]) ->
     return both.filter(_enough(shared, F.col("na"), F.col("nb"))).select("a", "b")
 
 
+def _verified(pairs: DataFrame, rows: DataFrame, words: int, paths: list[str]) -> DataFrame:
+    """``_similar``, written; the sets go at once."""
+    own: list[str] = []
+    out = written(_similar(written(pairs, "pairs", own), rows, words, own), "links", paths)
+    remove(rows.sparkSession, *own)
+    return out
+
+
 def fingerprint_pairs(rows: DataFrame, words: int, paths: list[str], most: int = BITS) -> DataFrame:
     """Columns a, b: pairs of rows whose fingerprints the vantage-point trees link, or who share one."""
     prints = written(fingerprints(rows.select("row", F.col("row").alias("id"), "text"), words), "prints", paths)
@@ -130,7 +138,7 @@ def near_links(rows: DataFrame, words: int, paths: list[str]) -> DataFrame:
     ``rows`` has row (long, unique) and text, and should be a written table;
     ``paths`` gets the folders of the tables that are written on the way.
     """
-    sure = written(_similar(written(fingerprint_pairs(rows, words, paths), "pairs", paths), rows, words, paths), "links", paths)
+    sure = _verified(fingerprint_pairs(rows, words, paths), rows, words, paths)
     groups = written(connected_components(sure), "groups", paths)
     root = lambda df, k: df.join(if_small(groups.select(F.col("node").alias(k), F.col("root").alias(f"root_{k}"))), k, "left").withColumn(f"root_{k}", F.coalesce(f"root_{k}", k))
     last = rows.sparkSession.sparkContext.broadcast(_frequent(rows, words))  # MOST shingles at most
@@ -145,7 +153,7 @@ def near_links(rows: DataFrame, words: int, paths: list[str]) -> DataFrame:
     stars = listed.filter((c("row") != c("first.row")) & fits(c("first.n"), c("first.at"), c("n"), c("at")))
     stars = root(root(stars.select(c("first.row").alias("a"), c("row").alias("b")).distinct(), "a"), "b")
     stars = written(stars.filter("root_a <> root_b").select("a", "b"), "stars", paths)
-    links = written(sure.unionByName(_similar(stars, rows, words, paths)), "links", paths)
+    links = sure.unionByName(_verified(stars, rows, words, paths))
     # the more of a set's prefix others share, the nearer it is to what a group of copies comes from
     share = written(listed.groupBy("row").agg((F.count(F.lit(1)) / F.first("n")).alias("share")), "share", paths)
     most, before, gone = MANY * listed.count(), None, []
@@ -163,12 +171,11 @@ def near_links(rows: DataFrame, words: int, paths: list[str]) -> DataFrame:
         led = apart.groupBy("gram").agg(F.array_distinct(F.array(*picks)).alias("led"), (F.min("root") != F.max("root")).alias("several")).filter("several")
         met = F.filter("led", lambda x: (x["root"] != c("root")) & fits(x["n"], x["at"], c("n"), c("at")))
         met = apart.join(led, "gram").select("row", F.explode(met).alias("x")).select(F.least("row", "x.row").alias("a"), F.greatest("row", "x.row").alias("b"))
-        links = written(links.unionByName(_similar(written(met.distinct(), "pairs", paths), rows, words, paths)), "links", paths)
+        links = links.unionByName(_verified(met.distinct(), rows, words, paths))
     pairs = apart.alias("x").join(apart.alias("y"), (c("x.gram") == c("y.gram")) & (c("x.row") < c("y.row")) & (c("x.root") != c("y.root")) & fits(c("x.n"), c("x.at"), c("y.n"), c("y.at")))
     paths += gone
     pairs = pairs.select(c("x.row").alias("a"), c("y.row").alias("b")).distinct()
-    pairs = written(pairs.join(stars, ["a", "b"], "left_anti"), "pairs", paths)
-    return links.unionByName(_similar(pairs, rows, words, paths))
+    return links.unionByName(_verified(pairs.join(stars, ["a", "b"], "left_anti"), rows, words, paths))
 
 
 def without_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
