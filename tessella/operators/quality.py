@@ -30,7 +30,7 @@ def group_medians(df: DataFrame, by: str, values: list[str]) -> DataFrame:
 
 
 def flag_groups(groups: DataFrame, key: str, value: str, n: str, cutoff: float, least: int, listed: str | None = None) -> DataFrame:
-    """Flags by the ratio to the median of eligible groups: ``too few tiles``, ``possibly blurred`` or blank; blurred and undefined first.
+    """Flags by the ratio to the median of eligible groups: ``too few tiles``, ``blurred`` or blank; blurred and undefined first.
 
     Eligible: enough tiles, a value, and not ``listed``.  A median that isn't above 0 is an error.
     """
@@ -39,7 +39,7 @@ def flag_groups(groups: DataFrame, key: str, value: str, n: str, cutoff: float,
     middle = groups.agg(F.percentile(F.when(eligible, v), F.lit(0.5)).alias("__m"))
     known = F.when(F.col("__m") > 0, F.col("__m")).otherwise(F.raise_error(F.lit("the median of the eligible groups isn't above 0")).cast("double"))
     out = groups.crossJoin(F.broadcast(middle)).withColumn("ratio", v / known)  # one row
-    flag = F.when((F.col(n) < least) | v.isNull(), "too few tiles").when(F.col("ratio") < cutoff, "possibly blurred").otherwise("")
+    flag = F.when((F.col(n) < least) | v.isNull(), "too few tiles").when(F.col("ratio") < cutoff, "blurred").otherwise("")
     return out.withColumn("flag", flag).drop("__m").orderBy(F.asc_nulls_first("ratio"), F.asc(key))
 
 

@@ -423,7 +423,7 @@ def group_median(spark, sf_dir):
 
 
 @query(f"""WITH m AS ({MEDIANS}), c AS (SELECT quantile_cont(median_v, 0.5) AS c FROM m WHERE n_v >= 10 AND median_v IS NOT NULL AND user_id % 9 <> 0)
-SELECT user_id, round(median_v / c, 6) AS ratio, CASE WHEN n_v < 10 OR median_v IS NULL THEN 'too few tiles' WHEN median_v / c < 0.5 THEN 'possibly blurred' ELSE '' END AS flag FROM m, c""")
+SELECT user_id, round(median_v / c, 6) AS ratio, CASE WHEN n_v < 10 OR median_v IS NULL THEN 'too few tiles' WHEN median_v / c < 0.5 THEN 'blurred' ELSE '' END AS flag FROM m, c""")
 def flag_vs_median(spark, sf_dir):
     m = _medians(spark, sf_dir).withColumn("listed", F.col("user_id") % 9 == 0)
     return quality.flag_groups(m, "user_id", "median_v", "n_v", 0.5, 10, "listed").select("user_id", *r6("ratio"), "flag")
@@ -446,9 +446,10 @@ def stratified_subsample(spark, sf_dir):
     return sampling.stratified_subsample(of(spark, sf_dir, V.PRED), 500, 3, "tile_id").select("tile_id", "y")
 
 
-@query(f"WITH p AS ({V.PRED}), n AS (SELECT ceil(count(*) * 0.1) AS k FROM p) SELECT tile_id, round(prob, 6) AS prob FROM p, n QUALIFY row_number() OVER (ORDER BY prob DESC, tile_id) <= k")
+@query(f"WITH p AS (SELECT * FROM ({V.PRED}) WHERE y = 0), n AS (SELECT ceil(count(*) * 0.1) AS k FROM p) SELECT tile_id, round(prob, 6) AS prob FROM p, n QUALIFY row_number() OVER (ORDER BY prob DESC, tile_id) <= k")
 def hard_negative_pool(spark, sf_dir):
-    return sampling.hard_pool(of(spark, sf_dir, V.PRED), "prob", "tile_id", 0.1).select("tile_id", *r6("prob"))
+    """Of the negatives alone, those that score highest."""
+    return sampling.hard_pool(of(spark, sf_dir, V.PRED).filter("y = 0"), "prob", "tile_id", 0.1).select("tile_id", *r6("prob"))
 
 
 @query()
