@@ -19,10 +19,13 @@ def tile_index(tiles: DataFrame, splits: DataFrame, listed: DataFrame, threshold
     """One row for each tile of a listed slide outside the excluded cuts, with its label and split.
 
     ``tiles`` has the fraction and the number of centroids; the fraction is null
-    under the centroid rule.  A slide without a split is an error.
+    under the centroid rule.  A limit on tissue over 0 drops tiles with less, or
+    with none known.  A slide without a split is an error.
     """
     gone = listed.filter("status = 'excluded'").select("cut_name")
-    kept = tiles.join(gone, "cut_name", "left_anti").filter(F.col("tissue_fraction") >= tissue)
+    kept = tiles.join(gone, "cut_name", "left_anti")
+    if tissue > 0:
+        kept = kept.filter(F.col("tissue_fraction") >= tissue)
     known = kept.join(splits.select("stem", F.col("split").alias("__s")), "stem", "left")
     split = F.coalesce("__s", F.raise_error(F.concat(F.lit("a slide without a split: "), "stem")).cast("string"))
     fraction = F.col("area_fraction") if rule == "area" else F.lit(None).cast("double")

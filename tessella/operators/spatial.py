@@ -157,8 +157,9 @@ def box_overlap(boxes: DataFrame, group: str) -> DataFrame:
     return per.select(group, "total", "united", (1 - F.col("united") / F.nullif(F.col("total"), F.lit(0.0))).alias("overlap_fraction"))
 
 
-def suppress_boxes(boxes: DataFrame, group: str, most: float) -> DataFrame:
-    """Boxes that stay when, from the largest down, a box goes whose area lies by more than ``most`` in one that stayed.
+def suppress_boxes(boxes: DataFrame, group: str, most: float, larger: float = 2.0) -> DataFrame:
+    """Boxes that stay when, from the largest down, a box goes whose area lies by ``most`` or more in one that stayed and
+    is ``larger`` times as large at least.
 
     The order decides, so a group's boxes are folded one after the other; a
     group is one slide's boxes.
@@ -166,6 +167,7 @@ def suppress_boxes(boxes: DataFrame, group: str, most: float) -> DataFrame:
     box = F.struct((-(F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).cast("double").alias("size"), "id", *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")])
     per = boxes.groupBy(group).agg(F.sort_array(F.collect_list(box)).alias("all"))
     kind = "array<struct<size: double, id: bigint, x0: double, y0: double, x1: double, y1: double>>"
-    inside = lambda small, big: rings.overlap_area(small, big) / F.nullif(rings.box_area(small), F.lit(0.0)) > most
+    share = lambda small, big: F.coalesce(rings.overlap_area(small, big) / F.nullif(rings.box_area(small), F.lit(0.0)), F.lit(0.0))
+    inside = lambda small, big: (rings.box_area(big) >= larger * rings.box_area(small)) & (share(small, big) >= most)
     kept = F.aggregate("all", F.array().cast(kind), lambda s, v: F.when(F.exists(s, lambda k: inside(v, k)), s).otherwise(F.concat(s, F.array(v))))
     return per.select(group, F.inline(kept)).select(group, "id")
