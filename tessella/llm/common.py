@@ -42,7 +42,11 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def write(df: DataFrame, path: str) -> None:
-    """Write a table in between; its shuffle files go as soon as it stands, and not when the driver happens to collect garbage."""
+    """Write a table in between, and ask Spark to delete its shuffle files when it stands.
+
+    Seen to work where all runs in one process; on several executors they may
+    stay until the driver collects garbage, as they always did.
+    """
     conf = df.sparkSession.conf
     before = conf.get(CLEANUP, "false")
     conf.set(CLEANUP, "true")
