@@ -3,24 +3,32 @@
 Labelled page outcomes (1 good, 0 bad) are counted for each host, registered
 domain and suffix.  Each level's rate is a beta-binomial posterior whose prior
 comes from the level above: suffixes shrink to the overall rate, domains to
-their suffix, hosts to their domain, each prior worth STRENGTH outcomes.  A
-page is blocked if the lower bound of its host's posterior rate, mean less
-BOUND standard deviations, is under a threshold.
-
-The registered domain is the host's last two labels, the suffix its last one.
-Null urls and urls without ``://`` have an empty host and path, which is a host
-like any other.  Null outcomes are no outcomes; a table without any gives every
-level the mean 0.5.  Repeated rows count as often as they occur; an empty table
-gives no rows.
+their suffix, hosts to their domain.  What a prior is worth is estimated for
+each level from the outcomes themselves, by moments: counts of n outcomes
+around a mean m have a variance of n m (1 - m) (1 + (n - 1) / (worth + 1)).
+A page is blocked if the lower quantile of its host's posterior rate is under
+a threshold.
+
+The suffix is the host's last label, or one of a list of longer suffixes that
+the host ends in; the registered domain has one label more.  A port counts for
+neither.  Null urls and urls without ``://`` have an empty host and path, which
+is a host like any other.  Null outcomes are no outcomes; a table without any
+gives every level the mean 0.5.  Repeated rows count as often as they occur; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Outcomes that a prior is worth; standard deviations below the mean; least lower bound that is let through.
-STRENGTH, BOUND, LEAST = 20.0, 2.0, 0.6
+#: Least and most outcomes that a prior is worth; the normal deviate of the posterior's quantile (2.5 %); least quantile let through.
+WORTH, DEVIATE, LEAST = (1.0, 10000.0), 1.96, 0.6
+#: Suffixes of two labels; a public list can be passed instead.
+SUFFIXES = ("ac.uk", "co.jp", "co.nz", "co.uk", "com.au", "com.br", "gov.uk", "org.uk")
 
 
 def host_of(url: Column) -> Column:
@@ -49,35 +57,60 @@ def with_rule(pages: DataFrame, rules: dict[str, str], host: str = "host", path:
     return pages.withColumns({"rule": rule, "ruled": verdict})
 
 
-def _levels(df: DataFrame) -> DataFrame:
-    return df.withColumns({"domain": F.regexp_extract("host", r"([^.]*\.)?[^.]*$", 0), "suffix": F.regexp_extract("host", r"[^.]*$", 0)})
+def _levels(hosts: DataFrame, suffixes: Sequence[str]) -> DataFrame:
+    longer = "".join(rf"(?<![^.]){re.escape(s)}$|" for s in sorted(suffixes, key=lambda s: (-len(s), s)))
+    hosts = hosts.withColumn("name", F.regexp_replace("host", r":[0-9]*$", ""))
+    hosts = hosts.withColumn("suffix", F.regexp_extract("name", longer + r"[^.]*$", 0))
+    rest = F.substring("name", F.lit(1), F.length("name") - F.length("suffix"))
+    return hosts.withColumn("domain", F.concat(F.regexp_extract(rest, r"([^.]*\.)?$", 0), F.col("suffix"))).drop("name")
+
+
+def _worth(level: DataFrame, above: Column) -> Column:
+    """Outcomes that the prior ``above`` is worth at a level with counts n and good; as a one-value subquery."""
+    m, n = above, F.col("n")
+    chance = n * m * (1 - m)
+    excess = F.sum((F.col("good") - n * m) * (F.col("good") - n * m) - chance) / F.nullif(F.sum((n - 1) * chance), F.lit(0.0))
+    share = F.least(F.greatest(F.coalesce(excess, F.lit(0.0)), F.lit(1 / (WORTH[1] + 1))), F.lit(1 / (WORTH[0] + 1)))
+    return level.agg((1 / share - 1).alias("worth")).scalar()
+
+
+def lower_quantile(a: Column, b: Column, deviate: float) -> Column:
+    """A low quantile of a beta distribution by Carter's approximation; parameters under 1 count as 1."""
+    p, q = 1 / (2 * F.greatest(a, F.lit(1.0)) - 1), 1 / (2 * F.greatest(b, F.lit(1.0)) - 1)
+    h, c = 2 / (p + q), (deviate * deviate - 3) / 6
+    w = deviate * F.sqrt(h + c) / h - (q - p) * (c + 5 / 6 - 2 / (3 * h))
+    return F.greatest(a, F.lit(1.0)) / (F.greatest(a, F.lit(1.0)) + F.greatest(b, F.lit(1.0)) * F.exp(2 * w))
 
 
-def host_reputation(outcomes: DataFrame, strength: float = STRENGTH) -> DataFrame:
-    """Columns host and outcome to one row for each host: n, mean and lower bound of its posterior.
+def host_reputation(outcomes: DataFrame, deviate: float = DEVIATE, suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
+    """Columns host and outcome to one row for each host: host, n, mean and lower, the quantile of its posterior.
 
     The rates of the levels above are joined by their names; Spark broadcasts a
     level only where it finds it small.
     """
-    hosts = _levels(outcomes.groupBy("host").agg(F.count("outcome").alias("n"), F.coalesce(F.sum("outcome"), F.lit(0)).cast("double").alias("good")))
-    total = hosts.agg(F.coalesce(F.sum("good") / F.nullif(F.sum("n"), F.lit(0)), F.lit(0.5)).alias("overall"))
+    hosts = outcomes.groupBy("host").agg(F.count("outcome").alias("n"), F.coalesce(F.sum("outcome"), F.lit(0)).cast("double").alias("good"))
+    hosts = _levels(hosts, suffixes)
+    overall = hosts.agg(F.coalesce(F.sum("good") / F.nullif(F.sum("n"), F.lit(0)), F.lit(0.5)).alias("overall")).scalar()
     counts = (F.sum("n").alias("n"), F.sum("good").alias("good"))
-    shrunk = lambda above: (F.col("good") + strength * above) / (F.col("n") + strength)
-    suffixes = hosts.groupBy("suffix").agg(*counts).select("suffix", shrunk(total.scalar()).alias("suffix_mean"))
-    domains = hosts.groupBy("suffix", "domain").agg(*counts).join(suffixes, "suffix").select("domain", shrunk(F.col("suffix_mean")).alias("domain_mean"))
-    found = hosts.join(domains, "domain").withColumn("mean", shrunk(F.col("domain_mean")))
-    spread = F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("n") + strength + 1))
-    return found.select("host", "n", "mean", spread.alias("spread"))
+    shrunk = lambda above, worth: (F.col("good") + worth * above) / (F.col("n") + worth)
+    tops = hosts.groupBy("suffix").agg(*counts).withColumn("above", overall)
+    tops = tops.select("suffix", shrunk(F.col("above"), _worth(tops, F.col("above"))).alias("above"))
+    domains = hosts.groupBy("suffix", "domain").agg(*counts).join(tops, "suffix")
+    domains = domains.select("domain", shrunk(F.col("above"), _worth(domains, F.col("above"))).alias("above"))
+    known = hosts.join(domains, "domain")
+    known = known.withColumn("worth", _worth(known, F.col("above"))).withColumn("mean", shrunk(F.col("above"), F.col("worth")))
+    whole = F.col("n") + F.col("worth")
+    return known.select("host", "n", "mean", lower_quantile(F.col("mean") * whole, (1 - F.col("mean")) * whole, deviate).alias("lower"))
 
 
-def url_verdicts(pages: DataFrame, outcomes: DataFrame, rules: dict[str, str], bound: float = BOUND, least: float = LEAST) -> DataFrame:
-    """A row for each page: page_id, host, path, rule, verdict, lower (the posterior bound).
+def url_verdicts(pages: DataFrame, outcomes: DataFrame, rules: dict[str, str], deviate: float = DEVIATE, least: float = LEAST, suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
+    """A row for each page: page_id, host, path, rule, verdict, lower (the posterior's quantile).
 
     ``outcomes`` has page_id and outcome; several outcomes of a page all count.
     """
     parsed = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     known = parsed.select("page_id", "host").join(outcomes.filter(F.col("outcome").isNotNull()), "page_id", "left").select("host", "outcome")
-    lower = host_reputation(known).select("host", (F.col("mean") - bound * F.col("spread")).alias("lower"))
+    lower = host_reputation(known, deviate, suffixes).select("host", "lower")
     judged = with_rule(parsed, rules).join(lower, "host")
     return judged.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.round("lower", 9) >= least, "allow").otherwise("block")).alias("verdict"), F.round("lower", 6).alias("lower"))
 
@@ -91,15 +124,40 @@ WITH parsed AS (
     translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
   FROM pages),
-hosts AS (
-  SELECT host, regexp_extract(host, '([^.]*\\.)?[^.]*$', 0) AS domain, regexp_extract(host, '[^.]*$', 0) AS suffix,
-    count(quality) AS n, coalesce(sum(quality), 0)::DOUBLE AS good
+counted AS (
+  SELECT host, regexp_replace(host, ':[0-9]*$', '') AS name, count(quality) AS n, coalesce(sum(quality), 0)::DOUBLE AS good
   FROM parsed LEFT JOIN labels ON page_id = doc_id GROUP BY host),
-total AS (SELECT coalesce(sum(good) / nullif(sum(n), 0), 0.5) AS overall FROM hosts),
-suffixes AS (SELECT suffix, (sum(good) + 20.0::DOUBLE * any_value(overall)) / (sum(n) + 20.0::DOUBLE) AS suffix_mean FROM hosts, total GROUP BY suffix),
-domains AS (SELECT domain, (sum(good) + 20.0::DOUBLE * any_value(suffix_mean)) / (sum(n) + 20.0::DOUBLE) AS domain_mean FROM hosts JOIN suffixes USING (suffix) GROUP BY domain),
-means AS (SELECT host, n, (good + 20.0::DOUBLE * domain_mean) / (n + 20.0::DOUBLE) AS mean FROM hosts JOIN domains USING (domain)),
-lowers AS (SELECT host, mean - 2.0::DOUBLE * sqrt(mean * (1 - mean) / (n + 21.0::DOUBLE)) AS lower FROM means),
+ends AS (
+  SELECT *, CASE WHEN regexp_matches(name, '(^|\\.)(ac\\.uk|co\\.jp|co\\.nz|co\\.uk|com\\.au|com\\.br|gov\\.uk|org\\.uk)$')
+    THEN regexp_extract(name, '[^.]*\\.[^.]*$', 0) ELSE regexp_extract(name, '[^.]*$', 0) END AS suffix
+  FROM counted),
+hosts AS (SELECT *, regexp_extract(name[:length(name) - length(suffix)], '([^.]*\\.)?$', 0) || suffix AS domain FROM ends),
+suffixes AS (
+  SELECT suffix, sum(n)::DOUBLE AS n, sum(good) AS good, (SELECT coalesce(sum(good) / nullif(sum(n), 0), 0.5) FROM hosts) AS m
+  FROM hosts GROUP BY suffix),
+suffix_worth AS (
+  SELECT 1 / least(greatest(coalesce(sum((good - n * m) * (good - n * m) - n * m * (1 - m)) / nullif(sum((n - 1) * n * m * (1 - m)), 0), 0), 1 / 10001.0::DOUBLE), 0.5::DOUBLE) - 1 AS w
+  FROM suffixes),
+domains AS (
+  SELECT h.domain, sum(h.n)::DOUBLE AS n, sum(h.good) AS good, any_value((s.good + w * m) / (s.n + w)) AS m
+  FROM hosts h JOIN suffixes s USING (suffix), suffix_worth GROUP BY h.domain),
+domain_worth AS (
+  SELECT 1 / least(greatest(coalesce(sum((good - n * m) * (good - n * m) - n * m * (1 - m)) / nullif(sum((n - 1) * n * m * (1 - m)), 0), 0), 1 / 10001.0::DOUBLE), 0.5::DOUBLE) - 1 AS w
+  FROM domains),
+priors AS (
+  SELECT h.host, h.n::DOUBLE AS n, h.good, (d.good + w * m) / (d.n + w) AS m
+  FROM hosts h JOIN domains d USING (domain), domain_worth),
+host_worth AS (
+  SELECT 1 / least(greatest(coalesce(sum((good - n * m) * (good - n * m) - n * m * (1 - m)) / nullif(sum((n - 1) * n * m * (1 - m)), 0), 0), 1 / 10001.0::DOUBLE), 0.5::DOUBLE) - 1 AS w
+  FROM priors),
+posteriors AS (SELECT host, greatest(good + w * m, 1) AS a, greatest(n - good + w * (1 - m), 1) AS b FROM priors, host_worth),
+terms AS (
+  SELECT host, a, b, 1 / (2 * a - 1) AS p, 1 / (2 * b - 1) AS q, 2 / (1 / (2 * a - 1) + 1 / (2 * b - 1)) AS h,
+    (1.96::DOUBLE * 1.96::DOUBLE - 3) / 6 AS c
+  FROM posteriors),
+lowers AS (
+  SELECT host, a / (a + b * exp(2 * (1.96::DOUBLE * sqrt(h + c) / h - (q - p) * (c + 5 / 6.0::DOUBLE - 2 / (3 * h))))) AS lower
+  FROM terms),
 ruled AS (
   SELECT page_id, p.host, path, lower,
     CASE

@@ -302,6 +302,29 @@ def test_url_verdicts(spark):
     assert {k: (r.verdict, r.lower) for k, r in got.items()} == want
 
 
+def test_host_levels(spark):
+    hosts = spark.createDataFrame([("www.shop.co.uk",), ("co.uk",), ("a.xco.uk",), ("www.b.net:8080",), ("",), ("one",)], "host string")
+    got = {r.host: (r.domain, r.suffix) for r in url_filter._levels(hosts, url_filter.SUFFIXES).collect()}
+    assert got == {"www.shop.co.uk": ("shop.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "a.xco.uk": ("xco.uk", "uk"), "www.b.net:8080": ("b.net", "net"), "": ("", ""), "one": ("one", "one")}
+
+
+@pytest.mark.parametrize("a, b", [(2.0, 3.0), (5.0, 3.0), (30.0, 20.0), (600.0, 300.0)])
+def test_lower_quantile(spark, a, b):
+    x = (np.arange(200_000) + 0.5) / 200_000
+    density = np.exp((a - 1) * np.log(x) + (b - 1) * np.log(1 - x))
+    exact = x[np.searchsorted(np.cumsum(density) / density.sum(), 0.025)]
+    assert abs(spark.range(1).select(url_filter.lower_quantile(F.lit(a), F.lit(b), 1.96)).first()[0] - exact) < 0.02
+
+
+def test_prior_worth_is_estimated(spark):
+    rng = np.random.default_rng(1)
+    for worth in (4.0, 50.0):
+        rates = rng.beta(0.6 * worth, 0.4 * worth, 600)
+        level = spark.createDataFrame([(40, float(rng.binomial(40, r)), 0.6) for r in rates], "n long, good double, m double")
+        found = level.limit(1).select(url_filter._worth(level, F.col("m")).alias("w")).first().w
+        assert 0.7 * worth < found < 1.4 * worth
+
+
 # 7 and 10 token ids and counts
 
 ALPHABET = ["a", "B", " ", "  ", "\n", "\t", "é", "É", "\xa0", "\u3000", "İ", "ß", "'s", "'ll", "12", "²", "<|endoftext|>", "...", "\0", "\x1c", "\x85", "Σ", "你好", "🎉", "▁", "_", "-", "word", "The", "\u200b", "\r\n", "|", "\xad", "\ufeff"]
