@@ -4,9 +4,10 @@ A shard holds whole documents in ascending id.  Its ids are split into bit
 planes, the highest first; behind each plane the ids with a 0 come before those
 with a 1.  With the number of ones before each block, rank and select answer
 from a few bits of each plane: the token at a place, how often a token occurs,
-and where.  A file is one value: a header, the documents' ids and first places,
-and planes, compressed together; opening it reads all of it, and block counts
-are rebuilt from the planes when first asked for.  Executors can't write to a
+and where.  A file is one value of frames that are compressed one by one: a
+header with the documents' ids and first places, then for each plane its block
+counts and its bits.  Opening it inflates the header and the counts alone; a
+plane is inflated when first asked for.  Executors can't write to a
 store that only Spark reaches, so files travel as rows of a Parquet table, one
 row for each shard.
 
@@ -34,18 +35,25 @@ from tessella.llm.encoding import encoder
 
 #: Tokens of a shard, about: it ends with the document that fills it.  Bits between two rank counts.
 SHARD_TOKENS, BLOCK = 250_000, 512
-MAGIC = b"TWM1"
+MAGIC = b"TWM2"
 
 FILES = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("first", pa.int64()), ("tokens", pa.int64()), ("file", pa.binary())])
 FILE_COLUMNS = "part int, shard int, first long, tokens long, file binary"
 
 
+def block_counts(plane: np.ndarray) -> np.ndarray:
+    """The ones before each block of a packed plane, and all of them at last."""
+    step = BLOCK // 8
+    counts = np.bitwise_count(np.concatenate((plane, np.zeros(-len(plane) % step, np.uint8)))).reshape(-1, step).sum(axis=1, dtype=np.int64)
+    return np.concatenate(([0], np.cumsum(counts)))
+
+
 class WaveletMatrix:
-    """Bit planes of a sequence of unsigned numbers."""
+    """Bit planes of a sequence of unsigned numbers, the highest bit's first."""
 
-    def __init__(self, n: int, planes: list[np.ndarray]):
+    def __init__(self, n: int, planes: list[np.ndarray], ones: list[np.ndarray] | None = None):
         self.n, self.planes = n, planes  # packed, lowest bit first
-        self.ones: list[np.ndarray] | None = None
+        self.ones = [block_counts(p) for p in planes] if ones is None else ones
 
     @classmethod
     def build(cls, values: np.ndarray, bits: int) -> "WaveletMatrix":
@@ -71,20 +79,11 @@ class WaveletMatrix:
             now = before
         return now
 
-    def _index(self) -> list[np.ndarray]:
-        if self.ones is None:
-            step = BLOCK // 8
-            self.ones = []
-            for p in self.planes:
-                counts = np.bitwise_count(np.concatenate((p, np.zeros(-len(p) % step, np.uint8)))).reshape(-1, step).sum(axis=1, dtype=np.int64)
-                self.ones.append(np.concatenate(([0], np.cumsum(counts))))
-        return self.ones
-
     def _rank1(self, level: int, i: int) -> int:
         """Ones before place i of a plane."""
         block, plane = i // BLOCK, self.planes[level]
         raw = int.from_bytes(plane[block * BLOCK // 8 : -(-i // 8)].tobytes(), "little")
-        return int(self._index()[level][block]) + (raw & ((1 << (i - block * BLOCK)) - 1)).bit_count()
+        return int(self.ones[level][block]) + (raw & ((1 << (i - block * BLOCK)) - 1)).bit_count()
 
     def access(self, i: int) -> int:
         out = 0
@@ -95,6 +94,25 @@ class WaveletMatrix:
             out = out << 1 | bit
         return out
 
+    def access_all(self, places: np.ndarray) -> np.ndarray:
+        """The tokens at many places, plane by plane for 4,096 of them at once."""
+        if len(places) > 4096:
+            return np.concatenate([self.access_all(places[i : i + 4096]) for i in range(0, len(places), 4096)])
+        at, out = places.astype(np.int64), np.zeros(len(places), dtype=np.int64)
+        within = np.arange(BLOCK // 8)
+        for plane, ones in zip(self.planes, self.ones):
+            byte, bit = at >> 3, at & 7
+            block = at // BLOCK
+            begin = block * (BLOCK // 8)
+            # the block's whole bytes before the place's own, and of that one the bits below
+            seen = plane[np.minimum(begin[:, None] + within, len(plane) - 1)] * (within < (byte - begin)[:, None])
+            own = plane[byte].astype(np.int64)
+            rank = ones[block] + np.bitwise_count(seen).sum(axis=1, dtype=np.int64) + np.bitwise_count(own & ((1 << bit) - 1))
+            one = own >> bit & 1
+            at = np.where(one == 1, self.n - int(ones[-1]) + rank, at - rank)
+            out = out << 1 | one
+        return out
+
     def _range(self, value: int, begin: int, end: int) -> tuple[int, int]:
         """Where the value's occurrences within [begin, end) stand behind the last plane."""
         for level in range(len(self.planes)):
@@ -114,7 +132,7 @@ class WaveletMatrix:
 
     def _select(self, level: int, bit: int, k: int) -> int:
         """The place of a plane's k-th bit of a kind, from 0."""
-        ones = self._index()[level]
+        ones = self.ones[level]
         counts = ones if bit else np.minimum(np.arange(len(ones)) * BLOCK, self.n) - ones
         block = int(np.searchsorted(counts, k, side="right")) - 1
         raw = self.planes[level][block * BLOCK // 8 : (block + 1) * BLOCK // 8]
@@ -134,12 +152,35 @@ class WaveletMatrix:
         return at
 
 
+class _Planes:
+    """A file's planes, each inflated when first asked for."""
+
+    def __init__(self, frames: list[bytes]):
+        self.frames: list = list(frames)
+
+    def __len__(self) -> int:
+        return len(self.frames)
+
+    def __getitem__(self, level: int) -> np.ndarray:
+        if isinstance(self.frames[level], bytes):
+            self.frames[level] = np.frombuffer(zstandard.decompress(self.frames[level]), np.uint8)
+        return self.frames[level]
+
+    def __iter__(self):
+        return (self[level] for level in range(len(self)))
+
+    def __reversed__(self):
+        return (self[level] for level in range(len(self) - 1, -1, -1))
+
+
 def to_file(values: np.ndarray, bits: int, docs: list, starts: np.ndarray) -> bytes:
     w = WaveletMatrix.build(values, bits)
     known = np.array([d is not None for d in docs], dtype=np.uint8)
     ids = np.array([d or 0 for d in docs], dtype="<i8")
-    parts = [np.array([len(values), bits, len(docs)], dtype="<i8"), ids, known, starts.astype("<i8"), *w.planes]
-    return MAGIC + zstandard.compress(b"".join(x.tobytes() for x in parts), 1)
+    head = [np.array([len(values), bits, len(docs)], dtype="<i8"), ids, known, starts.astype("<i8"), *(x.astype("<i8") for x in w.ones)]
+    pack = zstandard.ZstdCompressor(level=1).compress
+    frames = [pack(b"".join(x.tobytes() for x in head)), *(pack(p.tobytes()) for p in w.planes)]
+    return MAGIC + np.array([len(frames), *map(len, frames)], dtype="<i8").tobytes() + b"".join(frames)
 
 
 class File:
@@ -148,16 +189,18 @@ class File:
     def __init__(self, raw: bytes):
         if raw[:4] != MAGIC:
             raise ValueError("not a wavelet-matrix file")
-        raw = zstandard.decompress(raw[4:])
-        n, bits, docs = np.frombuffer(raw, dtype="<i8", count=3).tolist()
+        parts = int(np.frombuffer(raw, "<i8", 1, 4)[0])
+        ends = 12 + 8 * parts + np.cumsum(np.frombuffer(raw, "<i8", parts, 12))
+        frames = [raw[a:b] for a, b in zip([12 + 8 * parts, *ends[:-1].tolist()], ends.tolist())]
+        head = zstandard.decompress(frames[0])
+        n, bits, docs = np.frombuffer(head, dtype="<i8", count=3).tolist()
         at = 24
-        ids = np.frombuffer(raw, "<i8", docs, at).tolist()
-        known = np.frombuffer(raw, np.uint8, docs, at + 8 * docs).tolist()
+        ids = np.frombuffer(head, "<i8", docs, at).tolist()
+        known = np.frombuffer(head, np.uint8, docs, at + 8 * docs).tolist()
         self.docs = [i if k else None for i, k in zip(ids, known)]
-        self.starts = np.frombuffer(raw, "<i8", docs, at + 9 * docs)
-        at += 17 * docs
-        size = -(-n // 8)
-        self.matrix = WaveletMatrix(n, [np.frombuffer(raw, np.uint8, size, at + k * size) for k in range(bits)])
+        self.starts = np.frombuffer(head, "<i8", docs, at + 9 * docs)
+        ones = np.frombuffer(head, "<i8", -1, at + 17 * docs).reshape(bits, -1)
+        self.matrix = WaveletMatrix(n, _Planes(frames[1:]), list(ones))
 
 
 def write_files(docs: DataFrame, tokenizer: str, end_id: int, bits: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -201,8 +244,11 @@ def write_files(docs: DataFrame, tokenizer: str, end_id: int, bits: int = 16, id
 
 
 def read_files(files: DataFrame) -> DataFrame:
-    """A row for each document of written files: id, start, n_tokens, ids_crc32 (of little-endian 32-bit ids)."""
-    schema = pa.schema([("part", pa.int32()), ("id", pa.int64()), ("first", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
+    """A row for each document of written files: id, start, n_tokens, ids_crc32 (of little-endian 32-bit ids), last_id.
+
+    All ids are read plane by plane; the last one comes by rank, so it checks the block counts too.
+    """
+    schema = pa.schema([("part", pa.int32()), ("id", pa.int64()), ("first", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("last_id", pa.int64())])
 
     def run(batches):
         for batch in batches:
@@ -211,14 +257,14 @@ def read_files(files: DataFrame) -> DataFrame:
                 values = memoryview(f.matrix.values().astype("<u4")).cast("B")
                 ends = np.append(f.starts[1:], f.matrix.n)
                 crc = [zlib.crc32(values[4 * a : 4 * b]) for a, b in zip(f.starts.tolist(), ends.tolist())]
-                rows = ([part] * len(crc), f.docs, (f.starts + first).tolist(), (ends - f.starts).tolist(), crc)
+                rows = ([part] * len(crc), f.docs, (f.starts + first).tolist(), (ends - f.starts).tolist(), crc, f.matrix.access_all(ends - 1).tolist())
                 yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(rows, schema)], schema=schema)
 
-    rows = files.select("part", "first", "file").mapInArrow(run, "part int, id long, first long, n_tokens long, ids_crc32 long")
+    rows = files.select("part", "first", "file").mapInArrow(run, "part int, id long, first long, n_tokens long, ids_crc32 long, last_id long")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     # one row for each partition of the exchange
     parts = files.groupBy("part").agg(F.sum("tokens").alias("tokens")).select("part", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("before"))
-    return rows.join(F.broadcast(parts), "part").select("id", (F.col("before") + F.col("first")).alias("start"), "n_tokens", "ids_crc32")
+    return rows.join(F.broadcast(parts), "part").select("id", (F.col("before") + F.col("first")).alias("start"), "n_tokens", "ids_crc32", "last_id")
 
 
 def count_tokens(files: DataFrame, tokens: list[int]) -> DataFrame:
@@ -248,5 +294,5 @@ def find_token(files: DataFrame, token: int) -> DataFrame:
 
 
 def tokens_read_back(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """Write and read again: doc_id, start, n_tokens, ids_crc32."""
+    """Write and read again: doc_id, start, n_tokens, ids_crc32, last_id (the end token's)."""
     return read_files(write_files(docs, tokenizer, end_id)).withColumnRenamed("id", "doc_id")

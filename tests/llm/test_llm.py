@@ -259,7 +259,7 @@ def test_wavelet_files(spark, docs, none):
     everything = []
     for (i, t), r in zip(want, got, strict=True):
         ids = hf_ids(BYTE, t, 2)
-        assert (r.id if r.id is not None else -1, r.start, r.n_tokens, r.ids_crc32) == (i, at, len(ids), crc(ids))
+        assert (r.id if r.id is not None else -1, r.start, r.n_tokens, r.ids_crc32) == (i, at, len(ids), crc(ids)) and r.last_id == 2
         at += len(ids)
         everything += ids
     n = collections.Counter(everything)
@@ -273,6 +273,10 @@ def test_wavelet_matrix(n):
     v = np.random.default_rng(n).integers(0, 40, n)
     m = wavelet.WaveletMatrix.build(v, 16)
     assert (m.values() == v).all() and [m.access(i) for i in range(0, n, 11)] == v[::11].tolist()
+    assert (m.access_all(np.arange(n)) == v).all() and (m.access_all(np.repeat(np.arange(n), 5)) == np.repeat(v, 5)).all()
+    f = wavelet.File(wavelet.to_file(v, 16, [4, None], np.array([0, n // 2])))
+    assert f.docs == [4, None] and f.starts.tolist() == [0, n // 2] and all((a == b).all() for a, b in zip(f.matrix.ones, m.ones, strict=True))
+    assert f.matrix.select(int(v[-1]), m.count(int(v[-1])) - 1) == n - 1 and (f.matrix.values() == v).all()
     for t in range(0, 42, 5):
         assert m.count(t) == (v == t).sum() and m.count(t, n // 4, n // 2) == (v[n // 4 : n // 2] == t).sum()
         assert [m.select(t, k) for k in range(m.count(t))] == np.flatnonzero(v == t).tolist()
