@@ -25,6 +25,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm.common import written
+
 #: Least and most outcomes that a prior is worth; the normal deviate of the posterior's quantile (2.5 %); least quantile let through.
 WORTH, DEVIATE, LEAST = (1.0, 10000.0), 1.96, 0.6
 #: Suffixes of two labels; a public list can be passed instead.
@@ -65,13 +67,13 @@ def _levels(hosts: DataFrame, suffixes: Sequence[str]) -> DataFrame:
     return hosts.withColumn("domain", F.concat(F.regexp_extract(rest, r"([^.]*\.)?$", 0), F.col("suffix"))).drop("name")
 
 
-def _worth(level: DataFrame, above: Column) -> Column:
-    """Outcomes that the prior ``above`` is worth at a level with counts n and good; as a one-value subquery."""
-    m, n = above, F.col("n")
+def _worth(level: DataFrame) -> float:
+    """Outcomes that the prior ``above`` is worth at a level with counts n and good."""
+    m, n = F.col("above"), F.col("n")
     chance = n * m * (1 - m)
     excess = F.sum((F.col("good") - n * m) * (F.col("good") - n * m) - chance) / F.nullif(F.sum((n - 1) * chance), F.lit(0.0))
     share = F.least(F.greatest(F.coalesce(excess, F.lit(0.0)), F.lit(1 / (WORTH[1] + 1))), F.lit(1 / (WORTH[0] + 1)))
-    return level.agg((1 / share - 1).alias("worth")).scalar()
+    return level.agg(1 / share - 1).first()[0]
 
 
 def lower_quantile(a: Column, b: Column, deviate: float) -> Column:
@@ -85,22 +87,23 @@ def lower_quantile(a: Column, b: Column, deviate: float) -> Column:
 def host_reputation(outcomes: DataFrame, deviate: float = DEVIATE, suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
     """Columns host and outcome to one row for each host: host, n, mean and lower, the quantile of its posterior.
 
-    The rates of the levels above are joined by their names; Spark broadcasts a
-    level only where it finds it small.
+    The hosts' counts are written once, as each level's estimate reads them;
+    four numbers come to the driver.  The rates of the levels above are joined
+    by their names; Spark broadcasts a level only where it finds it small.
     """
     hosts = outcomes.groupBy("host").agg(F.count("outcome").alias("n"), F.coalesce(F.sum("outcome"), F.lit(0)).cast("double").alias("good"))
-    hosts = _levels(hosts, suffixes)
-    overall = hosts.agg(F.coalesce(F.sum("good") / F.nullif(F.sum("n"), F.lit(0)), F.lit(0.5)).alias("overall")).scalar()
+    hosts = written(_levels(hosts, suffixes), "hosts")
     counts = (F.sum("n").alias("n"), F.sum("good").alias("good"))
-    shrunk = lambda above, worth: (F.col("good") + worth * above) / (F.col("n") + worth)
-    tops = hosts.groupBy("suffix").agg(*counts).withColumn("above", overall)
-    tops = tops.select("suffix", shrunk(F.col("above"), _worth(tops, F.col("above"))).alias("above"))
-    domains = hosts.groupBy("suffix", "domain").agg(*counts).join(tops, "suffix")
-    domains = domains.select("domain", shrunk(F.col("above"), _worth(domains, F.col("above"))).alias("above"))
-    known = hosts.join(domains, "domain")
-    known = known.withColumn("worth", _worth(known, F.col("above"))).withColumn("mean", shrunk(F.col("above"), F.col("worth")))
-    whole = F.col("n") + F.col("worth")
-    return known.select("host", "n", "mean", lower_quantile(F.col("mean") * whole, (1 - F.col("mean")) * whole, deviate).alias("lower"))
+    good, n = hosts.agg(F.sum("good"), F.sum("n")).first()
+
+    def shrunk(level: DataFrame) -> DataFrame:
+        worth = F.lit(_worth(level))
+        return level.withColumns({"mean": (F.col("good") + worth * F.col("above")) / (F.col("n") + worth), "whole": F.col("n") + worth})
+
+    tops = shrunk(hosts.groupBy("suffix").agg(*counts).withColumn("above", F.lit(good / n if n else 0.5)))
+    domains = hosts.groupBy("suffix", "domain").agg(*counts).join(tops.select("suffix", F.col("mean").alias("above")), "suffix")
+    found = shrunk(hosts.join(shrunk(domains).select("domain", F.col("mean").alias("above")), "domain"))
+    return found.select("host", "n", "mean", lower_quantile(F.col("mean") * F.col("whole"), (1 - F.col("mean")) * F.col("whole"), deviate).alias("lower"))
 
 
 def url_verdicts(pages: DataFrame, outcomes: DataFrame, rules: dict[str, str], deviate: float = DEVIATE, least: float = LEAST, suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
