@@ -41,11 +41,14 @@ FILES = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("first", pa.int
 FILE_COLUMNS = "part int, shard int, first long, tokens long, file binary"
 
 
+def _blocks(plane: np.ndarray) -> np.ndarray:
+    """A packed plane as a row of 64-bit words for each block, filled up with zeros."""
+    return np.concatenate((plane, np.zeros(-len(plane) % (BLOCK // 8), np.uint8))).view("<u8").reshape(-1, BLOCK // 64)
+
+
 def block_counts(plane: np.ndarray) -> np.ndarray:
     """The ones before each block of a packed plane, and all of them at last."""
-    step = BLOCK // 8
-    counts = np.bitwise_count(np.concatenate((plane, np.zeros(-len(plane) % step, np.uint8)))).reshape(-1, step).sum(axis=1, dtype=np.int64)
-    return np.concatenate(([0], np.cumsum(counts)))
+    return np.concatenate(([0], np.cumsum(np.bitwise_count(_blocks(plane)).sum(axis=1, dtype=np.int64))))
 
 
 class WaveletMatrix:
@@ -99,16 +102,15 @@ class WaveletMatrix:
         if len(places) > 4096:
             return np.concatenate([self.access_all(places[i : i + 4096]) for i in range(0, len(places), 4096)])
         at, out = places.astype(np.int64), np.zeros(len(places), dtype=np.int64)
-        within = np.arange(BLOCK // 8)
+        words = np.arange(BLOCK // 64)
         for plane, ones in zip(self.planes, self.ones):
-            byte, bit = at >> 3, at & 7
-            block = at // BLOCK
-            begin = block * (BLOCK // 8)
-            # the block's whole bytes before the place's own, and of that one the bits below
-            seen = plane[np.minimum(begin[:, None] + within, len(plane) - 1)] * (within < (byte - begin)[:, None])
-            own = plane[byte].astype(np.int64)
-            rank = ones[block] + np.bitwise_count(seen).sum(axis=1, dtype=np.int64) + np.bitwise_count(own & ((1 << bit) - 1))
-            one = own >> bit & 1
+            block, word, bit = at // BLOCK, at % BLOCK // 64, (at % 64).astype(np.uint64)
+            row = _blocks(plane)[block]
+            own = row[np.arange(len(at)), word]
+            # the block's whole words before the place's own, and of that one the bits below
+            seen = (np.bitwise_count(row) * (words < word[:, None])).sum(axis=1, dtype=np.int64)
+            rank = ones[block] + seen + np.bitwise_count(own & ((np.uint64(1) << bit) - np.uint64(1)))
+            one = (own >> bit & np.uint64(1)).astype(np.int64)
             at = np.where(one == 1, self.n - int(ones[-1]) + rank, at - rank)
             out = out << 1 | one
         return out
