@@ -1,7 +1,7 @@
 """Jobs over rows of ``spark.read.format("image")``, with NumPy inside Arrow batches.
 
-Image data is BGR, row by row.  Images that can't be decoded or aren't three
-channels are coerced; statistics of an image with little tissue are null.
+Image data is BGR, row by row; grey images count as three equal channels.
+Statistics of an image with little tissue are null.
 """
 
 from __future__ import annotations
@@ -11,8 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Least saturation of tissue, least share of tissue for statistics.
-SATURATION, LEAST_TISSUE = 15, 0.05
+#: Least saturation of tissue, least share of tissue for statistics, least grey (0 to 1) of glass.
+SATURATION, LEAST_TISSUE, GLASS = 15, 0.05, 0.8
 
 
 def rgb_of(height: int, width: int, channels: int, data: bytes) -> np.ndarray:
@@ -30,12 +30,14 @@ def _blurred(a: np.ndarray) -> np.ndarray:
     return a
 
 
-def tissue_mask(rgb: np.ndarray, method: str = "saturation", least: int = SATURATION) -> np.ndarray:
+def tissue_mask(rgb: np.ndarray, method: str = "saturation", least: int = SATURATION, bright: float = 220, pale: int = 10) -> np.ndarray:
+    """Blurred pixels of enough saturation; by "brightness", all but the pixels that are both bright and pale."""
     smooth = np.rint(_blurred(rgb.astype(float)))
-    if method == "brightness":
-        return smooth.mean(axis=2) < 255 - least
     top, low = smooth.max(axis=2), smooth.min(axis=2)
-    return np.rint(255 * (top - low) / np.maximum(top, 1)) >= least
+    saturation = np.rint(255 * (top - low) / np.maximum(top, 1))
+    if method == "brightness":
+        return (smooth.mean(axis=2) < bright) | (saturation >= pale)
+    return saturation >= least
 
 
 def _eroded(mask: np.ndarray, times: int) -> np.ndarray:
@@ -46,19 +48,25 @@ def _eroded(mask: np.ndarray, times: int) -> np.ndarray:
 
 
 def tile_stats(rgb: np.ndarray) -> tuple:
-    """Tissue share, brightness, saturation, red, blue and sharpness over tissue; all but the share null with little tissue."""
-    mask = tissue_mask(rgb)
+    """Tissue share, brightness, saturation, red, blue and sharpness over tissue; all but the share null with little tissue.
+
+    Tissue is stained, unlike grey glass, and darker than glass; nothing is
+    blurred.  Sharpness is the variance of the second differences of grey (0 to
+    1) away from the tissue's edges, null where there is no such place.
+    """
+    x = rgb.astype(float) / 255
+    top, low = x.max(axis=2), x.min(axis=2)
+    grey = x @ np.array([0.299, 0.587, 0.114])
+    stain = (top - low) / np.maximum(top, 1e-6)
+    mask = (stain >= (SATURATION - 0.5) / 255) & (grey < GLASS)  # saturation is rounded where 15 of 255 is asked
     share = float(mask.mean())
     if share < LEAST_TISSUE:
         return (share, *[None] * 5)
-    x = rgb.astype(float) / 255
-    top, low = x.max(axis=2), x.min(axis=2)
-    grey = x @ np.array([0.299, 0.587, 0.114]) * 255
     g = np.pad(grey, 1, mode="symmetric")
     second = g[:-2, 1:-1] + g[2:, 1:-1] + g[1:-1, :-2] + g[1:-1, 2:] - 4 * grey
     inner = _eroded(mask, 2)
     over = lambda a: float(a[mask].mean())
-    return share, over(grey / 255), over((top - low) / np.maximum(top, 1e-12)), over(x[:, :, 0]), over(x[:, :, 2]), float(second[inner].var()) if inner.any() else None
+    return share, over(grey), over(stain), over(x[:, :, 0]), over(x[:, :, 2]), float(second[inner].var()) if inner.any() else None
 
 
 def image_stats(images: DataFrame) -> DataFrame:

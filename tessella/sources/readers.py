@@ -6,6 +6,8 @@ A rule that a file breaks raises when its rows are read.
 
 from __future__ import annotations
 
+import csv
+import io
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -84,31 +86,39 @@ def changed_fold_files(folds: DataFrame, directory: str) -> DataFrame:
 def exclusions(spark: SparkSession, path: str) -> DataFrame:
     """The strict list of excluded cuts: rows (line, cut_name, status, reason, date), or an error that names the line.
 
-    Blank lines are skipped; a header, known statuses, names that end in
-    ``_cutNNN``, and no repetition are demanded.  It is one small file.
+    Fields may be quoted, inside one line; columns come in any order, and
+    reason and date may lack.  Blank lines are skipped; known statuses, names
+    that end in ``_cutNNN``, and no repetition are demanded.  It is one small file.
     """
-    rows = [(i + 1, v[0]) for i, v in enumerate(spark.read.text(path, wholetext=True).select(F.explode(F.split("value", r"\r?\n"))).collect())]
-    lines = [(i, x.removeprefix("﻿")) for i, x in rows if x.strip("﻿ \t,")]
-    if not lines:
-        raise ValueError("the exclusion list has no header")
-    header = [c.strip() for c in lines[0][1].split(",")]
-    if header[:2] != ["cut_name", "status"] or set(header) - set(schemas.EXCLUSIONS) or len(set(header)) != len(header):
-        raise ValueError(f"line {lines[0][0]}: the columns are cut_name, status, reason, date")
+    text = spark.read.text(path, wholetext=True).first()
+    rows = csv.reader(io.StringIO(text[0].removeprefix("\ufeff") if text else "", newline=""), strict=True)
     seen: set[str] = set()
     out = []
-    for i, x in lines[1:]:
-        fields = [c.strip() for c in x.split(",")]
-        if len(fields) > len(header) or '"' in x:
-            raise ValueError(f"line {i}: too many or quoted fields")
-        row = dict(zip(header, fields))
-        if not re.fullmatch(r".+_cut\d{3}", row["cut_name"]):
-            raise ValueError(f"line {i}: {row['cut_name']!r} is no cut")
-        if row.get("status") not in ("excluded", "known_empty"):
-            raise ValueError(f"line {i}: unknown status {row.get('status')!r}")
-        if row["cut_name"] in seen:
-            raise ValueError(f"line {i}: {row['cut_name']} is listed twice")
-        seen.add(row["cut_name"])
-        out.append((i, row["cut_name"], row["status"], row.get("reason") or None, row.get("date") or None))
+    try:
+        header = [c.strip() for c in next(rows, [])]
+        known = [c for c in header if c]
+        if not {"cut_name", "status"} <= set(known) or set(known) - set(schemas.EXCLUSIONS) or len(set(known)) != len(known):
+            raise ValueError("line 1: the columns are cut_name, status, and maybe reason and date")
+        for fields in rows:
+            i = rows.line_num
+            if any(re.search(r"[\r\n]", x) for x in fields):
+                raise ValueError(f"line {i}: a quoted field goes over lines")
+            if len(fields) > len(header) or any(x.strip() for c, x in zip(header, fields) if not c):
+                raise ValueError(f"line {i}: more fields than columns")
+            row = {c: x.strip() for c, x in zip(header, fields) if c}
+            if not any(row.values()):
+                continue
+            name, status = row.get("cut_name", ""), row.get("status")
+            if not re.fullmatch(r".+_cut\d{3}", name):
+                raise ValueError(f"line {i}: {name!r} is no cut")
+            if status not in ("excluded", "known_empty"):
+                raise ValueError(f"line {i}: unknown status {status!r}")
+            if name in seen:
+                raise ValueError(f"line {i}: {name} is listed twice")
+            seen.add(name)
+            out.append((i, name, status, row.get("reason") or None, row.get("date") or None))
+    except csv.Error as error:
+        raise ValueError(f"line {rows.line_num}: {error}") from error
     return spark.createDataFrame(out, "line int, cut_name string, status string, reason string, date string")
 
 
@@ -135,7 +145,9 @@ def slide_metadata(spark: SparkSession, path: str, site: str | None = None) -> D
 
 
 def images(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("image").option("dropInvalid", True).load(path)
+    """Decoded images; one that can't be decoded is an error that names it, not a missing row."""
+    read = spark.read.format("image").load(path)
+    return read.filter(_fail(F.col("image.nChannels") > 0, F.concat(F.lit("not an image: "), F.col("image.origin"))))
 
 
 def review_sessions(spark: SparkSession, meta: str, labels: str | None = None) -> DataFrame:

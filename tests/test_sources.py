@@ -50,6 +50,12 @@ def test_exclusions(spark, tmp_path):
     got = readers.exclusions(spark, str(f))
     assert [(r.line, r.cut_name, r.status, r.reason) for r in got.collect()] == [(2, "A_cut001", "excluded", "torn"), (4, "B_cut002", "known_empty", None)]
     assert readers.exclusion_record(got).first().excluded == ["A_cut001"]
+    f.write_text('reason,status,cut_name\n"torn, ""blurred""",excluded,A_cut001\n , ,\n')
+    assert [(r.line, r.cut_name, r.status, r.reason) for r in readers.exclusions(spark, str(f)).collect()] == [(2, "A_cut001", "excluded", 'torn, "blurred"')]
+    for text, why in (('cut_name,status,reason\nA_cut001,excluded,"torn\nB_cut002,excluded,\n', "line 3"), ("cut_name,status,reason\nA_cut001,excluded,torn, blurred\n", "line 2: more fields")):
+        f.write_text(text)
+        with pytest.raises(ValueError, match=why):
+            readers.exclusions(spark, str(f))
     for text, why in (("cut_name,status\nA_cut001,odd\n", "line 2: unknown"), ("cut_name,status\nA_cut001,excluded\nA_cut001,excluded\n", "line 3: .* twice"), ("cut,status\n", "line 1"), ("cut_name,status\nA,excluded\n", "no cut")):
         f.write_text(text)
         with pytest.raises(ValueError, match=why):
@@ -61,13 +67,28 @@ def test_images(spark, tmp_path):
     rgb[:, :32] = (200, 100, 50)
     (tmp_path / "a.png").write_bytes(png(rgb))
     (tmp_path / "b.png").write_bytes(png(np.full((32, 32, 3), 255, dtype=np.uint8)))
-    (tmp_path / "c.png").write_bytes(b"no image")
     got = {r.path[-5:]: r for r in images.image_stats(readers.images(spark, str(tmp_path))).collect()}
     assert set(got) == {"a.png", "b.png"} and got["b.png"].brightness is None and got["b.png"].tissue_fraction == 0
     assert got["a.png"].red == pytest.approx(200 / 255, abs=0.02) and got["a.png"].blue == pytest.approx(50 / 255, abs=0.06)
     tiles = readers.images(spark, str(tmp_path)).select(F.col("image.origin").alias("path")).filter("path LIKE '%a.png'").withColumns({"tile_id": F.lit("t"), "x0": F.lit(40), "y0": F.lit(40), "tile_size": F.lit(32)})
     px = np.frombuffer(images.crop_tiles(readers.images(spark, str(tmp_path)), tiles).first().pixels, dtype=np.uint8).reshape(32, 32, 3)
     assert px[0, 0].tolist() == [250, 250, 250] and px[30, 30].tolist() == [0, 0, 0]
+    (tmp_path / "c.png").write_bytes(b"no image")
+    with pytest.raises(Exception, match="not an image: .*c.png"):
+        readers.images(spark, str(tmp_path)).collect()
+
+
+def test_tissue():
+    grey, pink, pale = ([230, 230, 230], [200, 120, 150], [228, 219, 228])
+    flat = lambda c: np.full((32, 32, 3), c, dtype=np.uint8)
+    assert not images.tissue_mask(flat(grey)).any() and images.tissue_mask(flat(pink)).all()
+    assert not images.tissue_mask(flat(grey), "brightness").any() and images.tissue_mask(flat(pale), "brightness").all()  # bright, but not pale enough
+    assert images.tissue_mask(flat([90, 90, 90]), "brightness").all() and not images.tissue_mask(flat([90, 90, 90])).any()
+    assert images.tile_stats(flat([255, 215, 255])) == (0.0, *[None] * 5)  # stained, but as bright as glass
+    dots = flat(pink)
+    dots[16, 16] = [100, 60, 75]
+    share, brightness, *_, sharpness = images.tile_stats(dots)
+    assert share == 1 and 0 < sharpness < 1 and brightness == pytest.approx(np.mean(dots @ [0.299, 0.587, 0.114]) / 255)
 
 
 def test_writers(spark, tmp_path):
