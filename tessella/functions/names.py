@@ -97,9 +97,7 @@ def date_or_null(text: Column, *formats: str) -> Column:
 def fingerprint(config: Column) -> Column:
     """SHA-256 of a map's non-null entries as JSON in order of their keys."""
     known = F.map_filter(config, lambda k, v: v.isNotNull())
-    entries = F.array_sort(F.map_entries(known))
-    lines = F.transform(entries, lambda e: F.concat(F.lit('"'), e["key"], F.lit('":"'), e["value"], F.lit('"')))
-    return F.sha2(F.concat(F.lit("{"), F.array_join(lines, ","), F.lit("}")), 256)
+    return F.sha2(F.to_json(F.map_from_entries(F.array_sort(F.map_entries(known)))), 256)
 
 
 def slug(text: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import struct
 import zlib
@@ -10,6 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessella.functions import names
 from tessella.operators import images
 from tessella.sources import readers, schemas, writers
 from tessella.streaming import streams
@@ -116,3 +118,9 @@ def test_streams(spark, tmp_path):
     q = streams.latest_label_stream(spark.readStream.schema(events.schema).parquet(str(tmp_path / "events"))).writeStream.outputMode("complete").format("memory").queryName("latest").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert {r.tile_id: r.label for r in spark.table("latest").collect()} == {"t": "b", "u": "c"}
+
+
+def test_fingerprint(spark):
+    maps = [{"b": "2", "a": "1", "c": None}, {"a": '1","b":"2'}, {"b": "2", "a": "1"}]
+    got = [r[0] for r in spark.createDataFrame([(i, m) for i, m in enumerate(maps)], "i int, m map<string,string>").orderBy("i").select(names.fingerprint(F.col("m"))).collect()]
+    assert got[0] == got[2] == hashlib.sha256(b'{"a":"1","b":"2"}').hexdigest() and got[1] != got[0]
