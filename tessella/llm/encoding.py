@@ -17,7 +17,7 @@ import numpy as np
 from tessella.llm.common import Cache, kept, quiet_tokenizers
 
 #: Bytes of a worker's two caches, of pre-tokens and of other white-space pieces.
-WORD_BYTES, PIECE_BYTES = 96_000_000, 24_000_000
+WORD_BYTES, PIECE_BYTES = 256_000_000, 24_000_000
 
 #: Characters whose only normalisation is lower-casing, and whose classes re and the library agree on.
 SIMPLE = re.compile(r"[\t\n\r\x20-\x7e¡-±´-¸º»¿-į]*")
