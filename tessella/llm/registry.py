@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import url_filter
+from tessella.llm import collocations, url_filter
 from tessella.llm.common import default_tokenizer, small_batches
 from tessella.llm.common import table as _table
 
@@ -82,6 +82,16 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), default_tokenizer("piece_bpe_32k.model"))
 
 
+def op12_stream_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm.stream_bpe import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"), default_tokenizer("byte_bpe_50k.json"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_simhash": op2_simhash,
@@ -93,6 +103,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprints": op8_fingerprints,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_token_counts": op10_token_counts,
+    "op12_stream_bpe": op12_stream_bpe,
+    "op13_collocations": op13_collocations,
 }
 
 OP3 = """
@@ -101,4 +113,4 @@ g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP B
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t.norm) AS text_sha256 FROM t JOIN g ON t.norm = g.norm
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_exact_dedup": OP3, "op6_url_filter": url_filter.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op3_exact_dedup": OP3, "op6_url_filter": url_filter.ORACLE, "op13_collocations": collocations.ORACLE}
