@@ -31,6 +31,7 @@ from __future__ import annotations
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -322,8 +323,6 @@ def _speller(spark: SparkSession, docs: DataFrame, words: DataFrame, least: int)
 
 
 def _hash_udf(seed: int):
-    import pandas as pd
-
     @F.pandas_udf("long")
     def hashed(lang: pd.Series, word: pd.Series) -> pd.Series:
         return pd.Series(np.array([word_hash(a, b.encode(), seed) for a, b in zip(lang, word)], dtype=np.uint64).view(np.int64))
@@ -403,7 +402,7 @@ ORACLE = """
 WITH docs AS (
   SELECT coalesce(lang, 'und') AS lang, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
 ), pieces AS (
-  SELECT lang, list_filter(regexp_split_to_array(p, '[\\x20\\x09]+'), x -> x <> '') AS w
+  SELECT lang, regexp_extract_all(p, '[^\\x20\\x09]+') AS w
   FROM (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\\x0A-\\x0D]')) AS p FROM docs)
 ), places AS (
   SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM pieces
