@@ -426,8 +426,8 @@ WITH docs AS (
 ), scored AS (
   SELECT cuts.lang, cuts.g AS phrase, a, c, x.n AS l, y.n AS r, total.n AS n, ((1000::HUGEINT * a * total.n) // (x.n::HUGEINT * y.n))::BIGINT AS score
   FROM cuts
-  JOIN f AS x ON x.lang = cuts.lang AND x.g = array_to_string(w[1:c], ' ')
-  JOIN f AS y ON y.lang = cuts.lang AND y.g = array_to_string(w[c + 1:k], ' ')
+  JOIN f AS x ON x.lang = cuts.lang AND x.g = array_to_string(cuts.w[1:cuts.c], ' ')
+  JOIN f AS y ON y.lang = cuts.lang AND y.g = array_to_string(cuts.w[cuts.c + 1:cuts.k], ' ')
   JOIN total ON total.lang = cuts.lang
 ), worst AS (
   SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1

@@ -82,6 +82,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), default_tokenizer("piece_bpe_32k.model"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm.repair import damaged, repair_report
+
+    return repair_report(damaged(table(spark, sf_dir, "conversations")), present_col="present")
+
+
 def op12_stream_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessella.llm.stream_bpe import round_trip
 
@@ -103,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprints": op8_fingerprints,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_token_counts": op10_token_counts,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_stream_bpe": op12_stream_bpe,
     "op13_collocations": op13_collocations,
 }
