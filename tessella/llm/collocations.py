@@ -46,7 +46,7 @@ SHARE = 1 << 20
 #: Words of the sample that places windows, about.
 SAMPLE_WORDS = 4_000_000
 #: Windows, and different words, that a task gathers before it sends them on.
-FLUSH_WINDOWS, FLUSH_WORDS = 2_000_000, 500_000
+FLUSH_WINDOWS, FLUSH_WORDS = 500_000, 300_000
 
 #: Text bytes that end a piece become one that no UTF-8 has, and tabs spaces.
 _BREAK = b"\xff"
