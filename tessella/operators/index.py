@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import labels, names
+from tessella.operators.ranking import ranked
 from tessella.operators.splits import hash_order
 
 INDEX = ["tile_id", "png_path", "stem", "cut_name", "tile_size", "n_oocytes", "tissue_fraction", "oocyte_area_fraction", "label", "is_ambiguous", "split"]
@@ -93,7 +94,7 @@ def hold(df: DataFrame, breaks: DataFrame, message: str) -> DataFrame:
 
 def class_positions(df: DataFrame, order: str, label: str) -> DataFrame:
     """Each row's position in a label's list, in order of a key."""
-    return df.withColumn("position", F.row_number().over(Window.partitionBy(label).orderBy(order)) - 1)
+    return ranked(df, [F.col(order)], [label], "position").withColumn("position", F.col("position") - 1)
 
 
 def prediction_join(index: DataFrame, predictions: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.operators.ranking import running_sum
 from tessella.operators.splits import hash_order
 
 
@@ -16,10 +17,11 @@ def percentile_rank(df: DataFrame, value: str, by: list[str] = ()) -> DataFrame:
     v = F.when(~F.isnan(value), F.col(value))
     rows = df.withColumn("__v", v)
     counts = rows.filter("__v IS NOT NULL").groupBy(*by, "__v").agg(F.count(F.lit(1)).alias("__n"))
-    keys = list(by) or [F.lit(0)]
-    up = Window.partitionBy(*keys).orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.withColumn("percentile", 100 * (F.sum("__n").over(up) - (F.col("__n") - 1) / 2) / F.sum("__n").over(Window.partitionBy(*keys))).drop("__n")
-    return rows.join(ranked, [*by, "__v"], "left").drop("__v")
+    up = running_sum(counts, [F.col("__v")], F.col("__n"), list(by), "__up")
+    totals = counts.groupBy(*by).agg(F.sum("__n").alias("__all"))
+    up = up.join(totals, list(by)) if by else up.crossJoin(F.broadcast(totals))  # one row
+    places = up.select(*by, "__v", (100 * (F.col("__up") - (F.col("__n") - 1) / 2) / F.col("__all")).alias("percentile"))
+    return rows.join(places, [*by, "__v"], "left").drop("__v")
 
 
 def group_medians(df: DataFrame, by: str, values: list[str]) -> DataFrame:

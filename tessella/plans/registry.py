@@ -457,9 +457,13 @@ def ratio_batches(spark, sf_dir):
     return sampling.ratio_batches(of(spark, sf_dir, V.PRED), 16, 0.25, 40, 9, "tile_id")
 
 
-@query("SELECT range AS batch, 16::BIGINT AS batch_size, 4::BIGINT AS n_positive, 12::BIGINT AS n_negative FROM range(40)")
+@query(f"""WITH p AS ({V.PRED}), n AS (SELECT count(*) - sum(y) AS negatives FROM p)
+SELECT unnest(range(greatest(1, CAST(negatives AS BIGINT) // 9))) AS batch, 16::BIGINT AS batch_size, 4::BIGINT AS n_positive, 12::BIGINT AS n_negative, 3::BIGINT AS n_hard_negative FROM n""")
 def batch_composition(spark, sf_dir):
-    return sampling.composition(sampling.ratio_batches(of(spark, sf_dir, V.PRED), 16, 0.25, 40, 9, "tile_id"), ["batch"])
+    """The log of an epoch, whose length follows from the table: a quarter of the negatives are hard, nine are uniform."""
+    p = of(spark, sf_dir, V.PRED)
+    hard = sampling.hard_pool(p.filter("y = 0"), "prob", "tile_id", 0.1)
+    return sampling.composition(sampling.ratio_batches(p, 16, 0.25, None, 9, "tile_id", hard=hard, share=0.25), ["batch"])
 
 
 SHOWN = "SELECT doc_id AS tile_id, doc_id % 23 AS session, CASE doc_id % 4 WHEN 0 THEN 128 WHEN 1 THEN 256 WHEN 2 THEN 512 ELSE 1024 END AS tile_size, quality AS label FROM {labels}"

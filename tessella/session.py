@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -23,3 +24,20 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(here.parent))
     spark.sparkContext.addPyFile(str(out))
     _SENT.add(app)
+
+
+def can_checkpoint(spark: SparkSession) -> None:
+    """Have ``checkpoint()`` write to the folder that ``spark.checkpoint.dir`` names.
+
+    Only where it is unset and Spark runs in one process, as in tests, a
+    temporary folder is made.
+    """
+    context = spark.sparkContext
+    if context.getCheckpointDir():
+        return
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    context.setCheckpointDir(found)
