@@ -142,24 +142,36 @@ def added_up(w: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return w[first], np.add.reduceat(weight, first)
 
 
+def _planes(a: np.ndarray) -> bytes:
+    """Numbers with their equal bytes side by side, which compress far better so."""
+    return np.moveaxis(a.view(np.uint8).reshape(*a.shape, a.itemsize), -1, -2).tobytes()
+
+
+def _numbers(raw: bytes, kind: str, *shape: int) -> np.ndarray:
+    item = np.dtype(kind).itemsize
+    planes = np.frombuffer(raw, dtype=np.uint8).reshape(*shape[:-1], item, shape[-1])
+    return np.ascontiguousarray(np.moveaxis(planes, -2, -1)).view(kind).reshape(shape)
+
+
 def pack(w: np.ndarray, weight: np.ndarray, chain: np.ndarray) -> bytes:
-    """Windows of one share: different words, then each window's places among them, weights and depths."""
-    words, at = np.unique(w, return_inverse=True)
-    at = at.reshape(w.shape).T
-    small = np.uint16 if len(words) <= 1 << 16 else np.uint32
-    head = np.array([len(words), len(w), w.shape[1], np.dtype(small).itemsize], dtype="<u4")
-    return b"".join((head.tobytes(), words.astype("<u8").tobytes(), at.astype(small).tobytes(), weight.astype("<u4").tobytes() if len(weight) else b"", chain.astype(np.uint8).tobytes()))
+    """Windows of one share: different words by how often they stand there, then each window's places among them, weights and depths, compressed."""
+    words, at, times = np.unique(w, return_inverse=True, return_counts=True)
+    often = np.argsort(-times, kind="stable")
+    place = np.empty(len(words), dtype=np.int64)
+    place[often] = np.arange(len(words))
+    kind = "<u2" if len(words) <= 1 << 16 else "<u4"
+    at = np.ascontiguousarray(place[at.reshape(w.shape)].T.astype(kind))
+    head = np.array([len(words), len(w), w.shape[1], at.itemsize], dtype="<u4")
+    rest = _planes(at) + _planes(weight.astype("<u4")) + chain.astype(np.uint8).tobytes()
+    return b"".join((head.tobytes(), words[often].astype("<u8").tobytes(), pa.compress(rest, "zstd", asbytes=True)))
 
 
 def unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     n_words, n, longest, item = np.frombuffer(raw, dtype="<u4", count=4).tolist()
-    at = 16
-    words = np.frombuffer(raw, dtype="<u8", count=n_words, offset=at)
-    at += 8 * n_words
-    places = np.frombuffer(raw, dtype=f"<u{item}", count=n * longest, offset=at).reshape(longest, n)
-    at += item * n * longest
-    weight = np.frombuffer(raw, dtype="<u4", count=n, offset=at)
-    return words, places, weight, np.frombuffer(raw, dtype=np.uint8, count=n, offset=at + 4 * n)
+    end = 16 + 8 * n_words
+    rest = pa.decompress(raw[end:], n * (longest * item + 5), "zstd", asbytes=True)
+    at, weight = n * longest * item, n * (longest * item + 4)
+    return np.frombuffer(raw[16:end], dtype="<u8"), _numbers(rest[:at], f"<u{item}", longest, n), _numbers(rest[at:weight], "<u4", n), np.frombuffer(rest[weight:], dtype=np.uint8)
 
 
 BLOCKS = pa.schema([("share", pa.int32()), ("block", pa.binary())])
