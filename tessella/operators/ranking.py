@@ -11,30 +11,26 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows of the sample that the bounds come from; bands, less one a power of two.
+#: Rows of the sample that the bounds come from; bands.
 SAMPLE, BANDS = 8192, 256
-#: Groups whose bands' offsets are broadcast at most, times BANDS rows.
-MOST_GROUPS = 2000
 
 
 def with_band(df: DataFrame, order: list[Column], bands: int = BANDS, name: str = "__band") -> DataFrame:
-    """``df`` with the number of its band in an ascending order; nulls come first."""
-    keys = [f"k{i}" for i in range(len(order))]
-    some = df.select(*[c.alias(k) for c, k in zip(order, keys)]).orderBy(F.rand(7)).limit(SAMPLE).sort(*keys).collect()
-    cuts = sorted({len(some) * i // bands for i in range(1, bands)} - {0}) if len(some) >= 2 * bands else []
-    if not cuts:
+    """``df`` with the number of its band in an ascending order; nulls come first.  Fewer than SAMPLE rows are one band."""
+    mine = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)])
+    keys = df.select(mine.alias("k"))
+    some = keys.orderBy(F.rand(7)).limit(SAMPLE).collect()
+    if len(some) < SAMPLE:
         return df.withColumn(name, F.lit(0))
-    kinds = [f.dataType for f in df.select(*[c.alias(k) for c, k in zip(order, keys)]).schema]
-    bound = lambda r: F.struct(*[F.lit(v).cast(t).alias(k) for v, t, k in zip(r, kinds, keys)])
-    bounds, mine = F.array(*[bound(some[i]) for i in cuts]), F.struct(*[c.alias(k) for c, k in zip(order, keys)])
-    out = df.withColumns({name: F.lit(0), "__mine": mine})
-    step = 1 << (len(cuts).bit_length() - 1)
-    while step:  # a binary search, a column at a time
-        to = F.col(name) + step
-        out = out.withColumn(name, F.when(to <= len(cuts), F.when(F.get(bounds, to - 1) <= F.col("__mine"), to).otherwise(F.col(name))).otherwise(F.col(name)))
-        step //= 2
-    return out.drop("__mine")
+    spark = df.sparkSession
+    first = spark.createDataFrame(some, keys.schema).sort("k").agg(F.collect_list("k").alias("all")).first()[0]
+    cuts = [first[len(first) * i // bands] for i in range(1, bands)]
+    bounds = spark.createDataFrame([([tuple(c) for c in cuts],)], T.StructType([T.StructField("__bounds", T.ArrayType(keys.schema["k"].dataType))]))
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(cuts).bit_length()))])
+    search = lambda at, step: F.when((at + step <= len(cuts)) & F.coalesce(F.get("__bounds", at + step - 1) <= mine, F.lit(False)), at + step).otherwise(at)
+    return df.crossJoin(F.broadcast(bounds)).withColumn(name, F.aggregate(steps, F.lit(0), search)).drop("__bounds")  # one row
 
 
 def running_sum(df: DataFrame, order: list[Column], weight: Column, by: list[str] = (), name: str = "running", bands: int = BANDS) -> DataFrame:
@@ -49,8 +45,7 @@ def running_sum(df: DataFrame, order: list[Column], weight: Column, by: list[str
     same = F.col("__band") == F.col("__b")
     for i, c in enumerate(by):
         same = same & F.col(c).eqNullSafe(F.col(f"__by{i}"))
-    few = not by or sums.select(*[f"__by{i}" for i in range(len(by))]).distinct().limit(MOST_GROUPS + 1).count() <= MOST_GROUPS
-    return placed.join(F.broadcast(sums) if few else sums, same).select(*df.columns, (F.col("__before") + F.col("__here")).alias(name))
+    return placed.join(sums if by else F.broadcast(sums), same).select(*df.columns, (F.col("__before") + F.col("__here")).alias(name))  # BANDS rows without groups
 
 
 def ranked(df: DataFrame, order: list[Column], by: list[str] = (), name: str = "rank", bands: int = BANDS) -> DataFrame:

@@ -46,7 +46,7 @@ def _stream(rows: DataFrame, size: int, quota: int, batches: int, seed: int, key
     """Columns batch, key: ``quota`` different rows for each batch, none of which is in ``taken`` (batch, key).
 
     What comes twice in a batch that spans two cycles, or is taken, leaves a
-    gap.  Gaps are numbered and offered the rows of one more seeded order in
+    gap.  Gaps are offered the rows of one more seeded order in
     turn, OFFERS at a time, until all are filled: as a batch never asks for
     more rows than there are, some row fits.
     """
@@ -59,10 +59,11 @@ def _stream(rows: DataFrame, size: int, quota: int, batches: int, seed: int, key
         at = at.withColumn("__taken", F.lit(None).cast("boolean"))
     at = at.checkpoint()
     out = at.filter("__again = 1 AND __taken IS NULL").select("batch", key)
-    gaps = at.filter("__again > 1 OR __taken").select("batch", "place")
+    gaps = at.filter("__again > 1 OR __taken").select("batch", F.col("place").alias("__g"))
+    if gaps.isEmpty():
+        return out
     spare = ranked(rows.select(key), [hash_order(seed + 1, F.col(key)), F.col(key)], name="__k").select(key, (F.col("__k") - 1).alias("__k")).checkpoint()
     turn = 0
-    gaps = ranked(gaps, [F.col("place")], name="__g").select("batch", (F.col("__g") - 1).alias("__g")).checkpoint()
     while not gaps.isEmpty():
         offered = gaps.select("batch", "__g", F.explode(F.sequence(F.lit(0), F.lit(min(OFFERS, size) - 1))).alias("__o"))
         offered = offered.withColumn("__k", F.pmod(F.col("__g") * OFFERS + turn * OFFERS + F.col("__o"), F.lit(size))).join(spare, "__k")

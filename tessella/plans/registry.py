@@ -870,3 +870,6 @@ def positive_review_tiles(spark, sf_dir):
 @query(f"WITH p AS ({V.PRED}) SELECT split, count(DISTINCT specimen) AS n_specimens, count(*) AS n FROM p GROUP BY split")
 def sample_summary(spark, sf_dir):
     return of(spark, sf_dir, V.PRED).groupBy("split").agg(F.countDistinct("specimen").alias("n_specimens"), F.count(F.lit(1)).alias("n"))
+
+
+from tessella.plans import validation  # noqa: E402, F401
