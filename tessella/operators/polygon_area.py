@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,45 +21,79 @@ def _edges(rings: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return (np.vstack(edges), np.concatenate(owner)) if edges else (np.zeros((0, 4)), np.zeros(0, dtype=int))
 
 
+#: Numbers of a matrix that is worked on at once.
+CELLS = 1_000_000
+
+
 def _crossings(e: np.ndarray) -> np.ndarray:
-    """The heights at which two edges meet; a level edge's own height is known without."""
+    """The heights at which two edges meet; a level edge's own height is known without.
+
+    Edges are swept from left to right in blocks, each compared with those that
+    begin before it ends and reach its heights.
+    """
     e = e[e[:, 1] != e[:, 3]]
-    d = e[:, 2:] - e[:, :2]
-    cross = d[:, None, 0] * d[None, :, 1] - d[:, None, 1] * d[None, :, 0]
-    gap = e[None, :, :2] - e[:, None, :2]
+    left, right = e[:, [0, 2]].min(axis=1), e[:, [0, 2]].max(axis=1)
+    by = np.argsort(left, kind="stable")
+    e, left, right = e[by], left[by], right[by]
+    low, high = e[:, [1, 3]].min(axis=1), e[:, [1, 3]].max(axis=1)
+    found, k = [], 0
+    while k < len(e):
+        z = min(len(e), k + max(1, min(64, CELLS // len(e))))
+        last = np.searchsorted(left, right[k:z].max(), side="right")
+        near = np.arange(k, last)
+        near = near[(low[k:last] <= high[k:z].max()) & (high[k:last] >= low[k:z].min())]
+        found.append(_meet(e[k:z], e[near]))
+        k = z
+    return np.concatenate(found) if found else np.zeros(0)
+
+
+def _meet(e: np.ndarray, f: np.ndarray) -> np.ndarray:
+    d, g = e[:, 2:] - e[:, :2], f[:, 2:] - f[:, :2]
+    cross = d[:, None, 0] * g[None, :, 1] - d[:, None, 1] * g[None, :, 0]
+    gap = f[None, :, :2] - e[:, None, :2]
     with np.errstate(divide="ignore", invalid="ignore"):
-        t = (gap[..., 0] * d[None, :, 1] - gap[..., 1] * d[None, :, 0]) / cross
+        t = (gap[..., 0] * g[None, :, 1] - gap[..., 1] * g[None, :, 0]) / cross
         u = (gap[..., 0] * d[:, None, 1] - gap[..., 1] * d[:, None, 0]) / cross
     meet = (cross != 0) & (t >= 0) & (t <= 1) & (u >= 0) & (u <= 1)
     return (e[:, None, 1] + np.where(meet, t, 0) * d[:, None, 1])[meet]
 
 
-def union_area(rings: list[np.ndarray], x0: float, y0: float, x1: float, y1: float) -> float:
-    """Area inside the box of points that lie inside any ring, by the even-odd rule.
+def edges_area(e: np.ndarray, owner: np.ndarray, x0: float, y0: float, x1: float, y1: float) -> float:
+    """Area inside the box of points that lie inside any ring, by the even-odd rule; edges (x1, y1, x2, y2), and each one's ring.
 
     Between two neighbouring heights of vertices, meeting edges and box sides no
     edges cross, so the covered width is linear there and its middle value
-    times the height is exact.
+    times the height is exact.  Slabs are taken some at a time, each time with
+    the edges that reach them.
     """
-    e, owner = _edges(rings)
     if not len(e) or x1 <= x0 or y1 <= y0:
         return 0.0
     d = e[:, 2:] - e[:, :2]
-    heights = [np.array([y0, y1]), e[:, 1], _crossings(e)]
+    heights = [np.array([y0, y1]), e[:, 1], e[:, 3], _crossings(e)]
     for side in (x0, x1):
         with np.errstate(divide="ignore", invalid="ignore"):
             t = (side - e[:, 0]) / d[:, 0]
         heights.append((e[:, 1] + t * d[:, 1])[(t >= 0) & (t <= 1) & (d[:, 0] != 0)])
     ys = np.unique(np.concatenate(heights))
     ys = ys[(ys >= y0) & (ys <= y1)]
-    if len(ys) < 2:
-        return 0.0
-    # all slabs at once: a row for each, a column for each edge
+    low, high = e[:, [1, 3]].min(axis=1), e[:, [1, 3]].max(axis=1)
+    total, size = 0.0, max(1, CELLS // len(e))
+    for k in range(0, len(ys) - 1, size):
+        part = ys[k : k + size + 1]
+        here = (low < part[-1]) & (high > part[0])
+        if here.any():
+            total += _slabs(e[here], owner[here], part, x0, x1)
+    return total
+
+
+def _slabs(e: np.ndarray, owner: np.ndarray, ys: np.ndarray, x0: float, x1: float) -> float:
+    """A row for each slab, a column for each edge."""
+    d = e[:, 2:] - e[:, :2]
     mid = ((ys[:-1] + ys[1:]) / 2)[:, None]
     spans = (e[:, 1] > mid) != (e[:, 3] > mid)
     with np.errstate(divide="ignore", invalid="ignore"):
         x = np.where(spans, e[:, 0] + (mid - e[:, 1]) / d[:, 1] * d[:, 0], x1)
-    by = np.lexsort((x, np.where(spans, owner, len(rings))))  # a ring is crossed an even number of times
+    by = np.lexsort((x, np.where(spans, owner, owner.max() + 1)))  # a ring is crossed an even number of times
     x = np.clip(np.take_along_axis(x, by, axis=1), x0, x1)
     if x.shape[1] % 2:
         x = np.hstack((x, np.full((len(x), 1), x1)))
@@ -69,6 +105,60 @@ def union_area(rings: list[np.ndarray], x0: float, y0: float, x1: float, y1: flo
     return float(width @ np.diff(ys))
 
 
+def union_area(rings: list[np.ndarray], x0: float, y0: float, x1: float, y1: float) -> float:
+    """As ``edges_area``, from rings."""
+    return edges_area(*_edges(rings), x0, y0, x1, y1)
+
+
+def boxes_area(boxes: np.ndarray, within: np.ndarray) -> np.ndarray:
+    """Of many tiles with equally many boxes each, (tiles, boxes, 4): the area of their boxes' union inside the tile, (tiles, 4)."""
+    low, high = np.maximum(boxes[..., :2], within[:, None, :2]), np.minimum(boxes[..., 2:], within[:, None, 2:])
+    high = np.maximum(low, high)
+    by = np.argsort(low[..., 0], axis=1, kind="stable")[..., None]
+    low, high = np.take_along_axis(low, by, axis=1), np.take_along_axis(high, by, axis=1)
+    ys = np.sort(np.concatenate((low[..., 1], high[..., 1]), axis=1), axis=1)
+    n, k = low.shape[:2]
+    out = np.zeros(n)
+    tiles, slabs = max(1, CELLS // (2 * k * k)), max(1, CELLS // k)
+    for t in range(0, n, tiles):
+        a, z, y = low[t : t + tiles, None], high[t : t + tiles, None], ys[t : t + tiles]
+        for s in range(0, 2 * k - 1, slabs):
+            here = y[:, s : s + slabs + 1]
+            inside = (a[..., 1] <= here[:, :-1, None]) & (z[..., 1] >= here[:, 1:, None])
+            reach = np.maximum.accumulate(np.where(inside, z[..., 0], -np.inf), axis=2)
+            before = np.concatenate((np.full((*reach.shape[:2], 1), -np.inf), reach[..., :-1]), axis=2)
+            gain = np.where(inside, np.maximum(0.0, z[..., 0] - np.maximum(a[..., 0], before)), 0.0).sum(axis=2)
+            out[t : t + tiles] += (gain * np.diff(here, axis=1)).sum(axis=1)
+    return out
+
+
+def _fields(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A list column of structs of numbers as one matrix and the rows' offsets; null lists are empty."""
+    lists = pc.coalesce(lists, pa.scalar([], lists.type))
+    values = lists.flatten()
+    offsets = np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy())))
+    return np.stack([values.field(i).to_numpy(zero_copy_only=False).astype(float) for i in range(values.type.num_fields)], axis=1) if len(values) else np.zeros((0, values.type.num_fields)), offsets
+
+
+def batch_areas(batch: pa.RecordBatch) -> np.ndarray:
+    """Covered area of each row: a box x0, y0, x1, y1 with ``boxes`` and ``edges`` (of rings ``o``) that may reach into it."""
+    within = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("x0", "y0", "x1", "y1")], axis=1)
+    boxes, b = _fields(batch.column("boxes"))
+    edges, e = _fields(batch.column("edges"))
+    out, n_boxes, n_edges = np.zeros(len(within)), np.diff(b), np.diff(e)
+    plain = n_edges == 0
+    for k in np.unique(n_boxes[plain & (n_boxes > 0)]):
+        rows = np.flatnonzero(plain & (n_boxes == k))
+        out[rows] = boxes_area(boxes[b[rows][:, None] + np.arange(k)], within[rows])
+    for i in np.flatnonzero(~plain):
+        mine, sides = edges[e[i] : e[i + 1]], boxes[b[i] : b[i + 1]]
+        upright = np.concatenate((sides[:, [0, 1, 0, 3]], sides[:, [2, 3, 2, 1]]))  # a box's two upright edges
+        first = mine[:, 4].max() + 1
+        owner = np.concatenate((mine[:, 4], np.tile(first + np.arange(len(sides)), 2)))
+        out[i] = edges_area(np.concatenate((mine[:, :4], upright)), owner, *within[i])
+    return out
+
+
 @F.pandas_udf(T.DoubleType())
 def _covered(xs: pd.Series, ys: pd.Series, x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series) -> pd.Series:
     out = []

@@ -9,12 +9,17 @@ split by cell.
 
 from __future__ import annotations
 
+import math
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessella.functions import rings
 from tessella.operators.grid import candidate_cells, stride_of
-from tessella.operators.polygon_area import clip_ring, covered_area
+from tessella.operators.polygon_area import batch_areas, clip_ring, covered_area
+from tessella.session import can_checkpoint
 
 RING = f"array<{rings.POINT}>"
 CELL = ["cut_name", "tile_size", "row", "col"]
@@ -52,6 +57,58 @@ def tiles_without_points(tiles: DataFrame, points: DataFrame, cuts: DataFrame, s
     return tiles.join(near.select(*CELL).distinct(), CELL, "left_anti")
 
 
+#: Edges of a strip of a tile, about; a tile with more is cut into so many strips of equal height.
+STRIP_EDGES = 2000
+#: Points of an outline from which it is itself cut to the heights of a tile.
+LONG_RING = 64
+
+
+def _marked(outlines: DataFrame, key: str) -> DataFrame:
+    """Usable outlines with their bounds, how many edges they have, and their points: none for an upright rectangle, which its bounds tell."""
+    r = F.col("ring")
+    b = rings.bounds(r)
+    rows = outlines.filter(F.size("ring") >= 3).select(key, "ring", b.alias("b")).select(key, "ring", F.col("b.x0").alias("__x0"), F.col("b.y0").alias("__y0"), F.col("b.x1").alias("__x1"), F.col("b.y1").alias("__y1"))
+    p = lambda i: F.get(r, F.lit(i))
+    turns = lambda a, c: (p(0)[a] == p(1)[a]) & (p(1)[c] == p(2)[c]) & (p(2)[a] == p(3)[a]) & (p(3)[c] == p(0)[c])
+    closed = (F.size(r) == 4) | (F.size(r) == 5) & (p(4) == p(0))
+    upright = F.coalesce(closed & (turns("x", "y") | turns("y", "x")), F.lit(False))
+    return rows.select(key, "__x0", "__y0", "__x1", "__y1", F.when(upright, 2).otherwise(F.size(r)).alias("__n"), F.when(~upright, r).alias("__ring"))
+
+
+def _areas(names: list[str], schema: pa.Schema):
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(c).cast(schema.field(c).type) for c in names] + [pa.array(batch_areas(batch))], schema=schema)
+
+    return run
+
+
+def _covered(near: DataFrame, crowded: DataFrame, keys: list[str]) -> DataFrame:
+    """Columns keys, __area: of each key's box x0, y0, x1, y1 what the marked outlines beside it cover together.
+
+    Area adds up, so a crowded box (keys, __strips) is cut into strips that are
+    grouped apart, each with the edges that reach it.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    box = ["x0", "y0", "x1", "y1"]
+    near = near.join(crowded, keys, "left").withColumn("__strips", F.coalesce("__strips", F.lit(1)))
+    height = (F.col("y1") - F.col("y0")) / F.col("__strips")
+    at = lambda c: F.least(F.col("__strips") - 1, F.greatest(F.lit(0), F.floor((F.col(c) - F.col("y0")) / height).cast("int")))
+    cut = near.withColumn("__strip", F.explode(F.when(F.col("__strips") > 1, F.sequence(at("__y0"), at("__y1"))).otherwise(F.array(F.lit(0)))))
+    low, high = F.col("y0") + F.col("__strip") * height, F.when(F.col("__strip") == F.col("__strips") - 1, F.col("y1")).otherwise(F.col("y0") + (F.col("__strip") + 1) * height)
+    cut = cut.select(*keys, "__strip", F.col("x0").cast("double"), low.cast("double").alias("y0"), F.col("x1").cast("double"), high.cast("double").alias("y1"), "__x0", "__y0", "__x1", "__y1", "__ring", F.monotonically_increasing_id().alias("__o"))
+    r = F.col("__ring")
+    after = F.concat(F.slice(r, 2, F.greatest(F.size(r) - 1, F.lit(0))), F.slice(r, 1, 1))
+    edges = F.zip_with(r, after, lambda p, q: F.struct(p["x"].alias("x1"), p["y"].alias("y1"), q["x"].alias("x2"), q["y"].alias("y2"), F.col("__o").cast("double").alias("o")))
+    edges = F.when(F.size(r) > LONG_RING, F.filter(edges, lambda e: (F.least(e["y1"], e["y2"]) <= F.col("y1")) & (F.greatest(e["y1"], e["y2"]) >= F.col("y0")))).otherwise(edges)
+    upright = F.struct(*[F.col(c).cast("double").alias(c) for c in ("__x0", "__y0", "__x1", "__y1")])
+    rows = cut.groupBy(*keys, "__strip", *box).agg(F.collect_list(F.when(r.isNull(), upright)).alias("boxes"), F.flatten(F.collect_list(F.when(r.isNotNull(), edges))).alias("edges"))
+    kind = T.StructType([*[rows.schema[c] for c in keys], T.StructField("__area", T.DoubleType())])
+    parts = rows.mapInArrow(_areas(keys, to_arrow_schema(kind)), kind)
+    return parts.groupBy(*keys).agg(F.sum("__area").alias("__area"))
+
+
 def tile_coverage(tiles: DataFrame, outlines: DataFrame, cuts: DataFrame, sizes: list[int], overlap: float = 0.2) -> DataFrame:
     """Every tile with ``area_fraction``: the share of its clipped box that its cut's outlines cover together.
 
@@ -59,24 +116,25 @@ def tile_coverage(tiles: DataFrame, outlines: DataFrame, cuts: DataFrame, sizes:
     even-odd rule for each; a degenerate box is an error, as are holes, which a
     single ring can't have.
     """
-    b = rings.bounds(F.col("ring"))
-    boxed = outlines.filter(F.size("ring") >= 3).select("cut_name", "ring", b.alias("b")).select("cut_name", "ring", "b.*")
-    boxed = boxed.withColumnsRenamed({"x0": "__x0", "y0": "__y0", "x1": "__x1", "y1": "__y1"}).join(cuts.select("cut_name", "width", "height"), "cut_name")
-    at = _cells(boxed, sizes, overlap, ("__x0", "__y0"), ("__x1", "__y1"))
-    near = at.select(*CELL, "ring", "__x0", "__y0", "__x1", "__y1").join(tiles.select(*CELL, "x0", "y0", "x1", "y1"), CELL)
-    near = near.filter("__x0 < x1 AND __x1 > x0 AND __y0 < y1 AND __y1 > y0")
-    areas = near.groupBy(*CELL, "x0", "y0", "x1", "y1").agg(F.collect_list("ring").alias("rings"))
-    areas = areas.select(*CELL, covered_area("rings", "x0", "y0", "x1", "y1").alias("__area"))
+    marked = _marked(outlines, "cut_name").join(cuts.select("cut_name", "width", "height"), "cut_name")
+    at = _cells(marked, sizes, overlap, ("__x0", "__y0"), ("__x1", "__y1"))
+    crowded = _cells(marked.drop("__ring"), sizes, overlap, ("__x0", "__y0"), ("__x1", "__y1")).groupBy(*CELL).agg(F.sum("__n").alias("__n")).filter(F.col("__n") > STRIP_EDGES)
+    crowded = crowded.select(*CELL, F.ceil(F.col("__n") / STRIP_EDGES).cast("int").alias("__strips"))
+    near = at.drop("width", "height").join(tiles.select(*CELL, "x0", "y0", "x1", "y1"), CELL).filter("__x0 < x1 AND __x1 > x0 AND __y0 < y1 AND __y1 > y0")
     box = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
     share = F.least(F.lit(1.0), F.coalesce("__area", F.lit(0.0)) / box)
-    return tiles.join(areas, CELL, "left").withColumn("area_fraction", F.when(box <= 0, F.raise_error(F.lit("a tile without area")).cast("double")).otherwise(share)).drop("__area")
+    return tiles.join(_covered(near, crowded, CELL), CELL, "left").withColumn("area_fraction", F.when(box <= 0, F.raise_error(F.lit("a tile without area")).cast("double")).otherwise(share)).drop("__area")
 
 
 def covered_share(outlines: DataFrame, cuts: DataFrame) -> DataFrame:
     """Every cut with the share of its whole area that its outlines cover together."""
-    per = outlines.groupBy("cut_name").agg(F.collect_list("ring").alias("rings"))
-    full = cuts.join(per, "cut_name", "left").withColumn("__a", covered_area("rings", F.lit(0.0), F.lit(0.0), F.col("width").cast("double"), F.col("height").cast("double")))
-    return full.select(*cuts.columns, (F.col("__a") / (F.col("width") * F.col("height"))).alias("covered_share"))
+    marked = _marked(outlines, "cut_name")
+    crowded = marked.groupBy("cut_name").agg(F.sum("__n").alias("__n")).filter(F.col("__n") > STRIP_EDGES).select("cut_name", F.ceil(F.col("__n") / STRIP_EDGES).cast("int").alias("__strips"))
+    zero = F.lit(0.0)
+    whole = cuts.select("cut_name", zero.alias("x0"), zero.alias("y0"), F.col("width").cast("double").alias("x1"), F.col("height").cast("double").alias("y1"))
+    near = marked.join(whole, "cut_name").filter("__x0 < x1 AND __x1 > x0 AND __y0 < y1 AND __y1 > y0")
+    full = cuts.join(_covered(near, crowded, ["cut_name"]), "cut_name", "left")
+    return full.select(*cuts.columns, (F.coalesce("__area", zero) / (F.col("width") * F.col("height"))).alias("covered_share"))
 
 
 def clipped_instances(tiles: DataFrame, outlines: DataFrame, cuts: DataFrame, sizes: list[int], overlap: float = 0.2, least: float = 0.3) -> DataFrame:
@@ -157,17 +215,65 @@ def box_overlap(boxes: DataFrame, group: str) -> DataFrame:
     return per.select(group, "total", "united", (1 - F.col("united") / F.nullif(F.col("total"), F.lit(0.0))).alias("overlap_fraction"))
 
 
+def _suppressed(small: DataFrame, big: DataFrame, most: float, larger: float, top: int, how: str) -> DataFrame:
+    """Rows of ``small`` with (left_semi) or without (left_anti) a box in ``big`` that would suppress them.
+
+    A box stands in the cells of the grid whose width is the power of two above
+    its longer side, four at most.  A box looked for covers a share of this
+    one's width and height, so it can't be much smaller, and where the share is
+    over a half it holds the centre: that is looked up on every grid that is
+    coarse enough.  The first match ends a row's search.
+    """
+    cell = lambda c, level: F.floor(F.col(c) / F.pow(F.lit(2.0), level))
+    span = lambda lo, hi, level: F.sequence(cell(lo, level), cell(hi, level))
+    there = big.select(*[F.col(c).alias(f"b_{c}") for c in ("g", "id", "n", "size", "x0", "y0", "x1", "y1")], F.col("level").alias("b_level"))
+    there = there.withColumn("b_col", F.explode(span("b_x0", "b_x1", F.col("b_level")))).withColumn("b_row", F.explode(span("b_y0", "b_y1", F.col("b_level"))))
+    low = F.col("level") - (1 if most > 0.5 else math.ceil(math.log2(1 / most)) + 1)
+    here = small.withColumn("l", F.explode(F.sequence(low, F.greatest(low, F.lit(top)))))
+    if most > 0.5:
+        here = here.withColumns({"cx": (F.col("x0") + F.col("x1")) / 2, "cy": (F.col("y0") + F.col("y1")) / 2})
+        here = here.withColumns({"col": cell("cx", F.col("l")), "row": cell("cy", F.col("l"))})
+    else:
+        here = here.withColumn("col", F.explode(span("x0", "x1", F.col("l")))).withColumn("row", F.explode(span("y0", "y1", F.col("l"))))
+    side = lambda a: F.least(f"{a}1", f"b_{a}1") - F.greatest(f"{a}0", f"b_{a}0")
+    first = (F.col("b_size") > F.col("size")) | (F.col("b_size") == F.col("size")) & (F.struct("b_id", "b_n") < F.struct(F.col("id").alias("b_id"), F.col("n").alias("b_n")))
+    inside = first & (side("x") > 0) & (side("y") > 0) & (F.col("b_size") >= larger * F.col("size")) & (side("x") * side("y") / F.col("size") >= most)
+    same = F.col("g").eqNullSafe(F.col("b_g")) & (F.col("l") == F.col("b_level")) & (F.col("col") == F.col("b_col")) & (F.col("row") == F.col("b_row"))
+    found = here.join(there, same & inside, "left_semi").select("n").distinct()
+    return small.join(found, "n", how)
+
+
 def suppress_boxes(boxes: DataFrame, group: str, most: float, larger: float = 2.0) -> DataFrame:
     """Boxes that stay when, from the largest down, a box goes whose area lies by ``most`` or more in one that stayed and
     is ``larger`` times as large at least.
 
-    The order decides, so a group's boxes are folded one after the other; a
-    group is one slide's boxes.
+    What goes depends on boxes before it in order alone (larger ones, by id among
+    equals), so boxes settle in rounds: those in a kept box go, those in no
+    undecided one stay.  Rounds are as many as the longest chain of boxes in
+    each other; areas grow by ``larger`` along it, so they are few unless that
+    is near 1.  No group is walked through, and a crowded one is cut by cells.
+    Boxes without area stay.
     """
-    box = F.struct((-(F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).cast("double").alias("size"), "id", *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")])
-    per = boxes.groupBy(group).agg(F.sort_array(F.collect_list(box)).alias("all"))
-    kind = "array<struct<size: double, id: bigint, x0: double, y0: double, x1: double, y1: double>>"
-    share = lambda small, big: F.coalesce(rings.overlap_area(small, big) / F.nullif(rings.box_area(small), F.lit(0.0)), F.lit(0.0))
-    inside = lambda small, big: (rings.box_area(big) >= larger * rings.box_area(small)) & (share(small, big) >= most)
-    kept = F.aggregate("all", F.array().cast(kind), lambda s, v: F.when(F.exists(s, lambda k: inside(v, k)), s).otherwise(F.concat(s, F.array(v))))
-    return per.select(group, F.inline(kept)).select(group, "id")
+    if not 0 < most <= 1:
+        raise ValueError("a share lies in (0, 1]")
+    can_checkpoint(boxes.sparkSession)
+    sides = {c: F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")}
+    all_ = boxes.select(F.col(group).alias("g"), "id", *sides.values()).withColumn("size", (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")))
+    longer = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
+    all_ = all_.withColumns({"level": F.ceil(F.log2(F.greatest(longer, F.lit(2.0**-20)))).cast("int"), "n": F.monotonically_increasing_id()}).checkpoint()
+    flat = all_.filter("NOT coalesce(x1 > x0 AND y1 > y0, false)")
+    open_ = all_.filter("x1 > x0 AND y1 > y0")
+    top = open_.agg(F.max("level")).first()[0]
+    kept = flat
+    while top is not None:
+        inside = _suppressed(open_, open_, most, larger, top, "left_semi")
+        inside = inside.checkpoint()
+        stay = open_.join(inside.select("n"), "n", "left_anti").checkpoint()
+        kept = kept.unionByName(stay)
+        if inside.isEmpty():
+            break
+        # what lies in a box that stays is gone; the rest may yet stay
+        open_ = _suppressed(inside, stay, most, larger, top, "left_anti").checkpoint()
+        if open_.isEmpty():
+            break
+    return kept.select(F.col("g").alias(group), "id")

@@ -176,10 +176,14 @@ def box_overlap(spark, sf_dir):
     return spatial.box_overlap(of(spark, sf_dir, V.RECT), "cut_name").select("cut_name", "total", *r6("united", "overlap_fraction"))
 
 
-@query()
+@query(f"""WITH RECURSIVE r AS ({V.RECT}), b AS (SELECT *, (x1 - x0) * (y1 - y0) AS size, row_number() OVER (ORDER BY cut_name, id, x0, y0) AS n FROM r WHERE x1 > x0 AND y1 > y0),
+s AS (SELECT i.n, j.n AS by_n FROM b i JOIN b j ON i.cut_name = j.cut_name AND j.size >= 2 * i.size AND greatest(0, least(i.x1, j.x1) - greatest(i.x0, j.x0)) * greatest(0, least(i.y1, j.y1) - greatest(i.y0, j.y0)) >= 0.7 * i.size),
+p AS (SELECT n, list(by_n) AS above FROM s GROUP BY n), m AS (SELECT cut_name, list(struct_pack(n := b.n, id := id, above := above) ORDER BY size DESC, id, b.n) AS boxes FROM b LEFT JOIN p ON p.n = b.n GROUP BY cut_name),
+w AS (SELECT cut_name, boxes, 0 AS k, []::BIGINT[] AS kept, []::VARCHAR[] AS ids FROM m UNION ALL
+SELECT cut_name, boxes, k + 1, CASE WHEN list_has_any(kept, coalesce(boxes[k + 1].above, []::BIGINT[])) THEN kept ELSE list_append(kept, boxes[k + 1].n) END, CASE WHEN list_has_any(kept, coalesce(boxes[k + 1].above, []::BIGINT[])) THEN ids ELSE list_append(ids, boxes[k + 1].id) END FROM w WHERE k < len(boxes))
+SELECT cut_name, unnest(ids) AS id FROM w WHERE k = len(boxes)""")
 def suppressed_boxes(spark, sf_dir):
-    numbered = of(spark, sf_dir, V.RECT).select("cut_name", F.xxhash64("id").alias("id"), "x0", "y0", "x1", "y1")
-    return spatial.suppress_boxes(numbered, "cut_name", 0.7)
+    return spatial.suppress_boxes(of(spark, sf_dir, V.RECT).select("cut_name", "id", "x0", "y0", "x1", "y1"), "cut_name", 0.7)
 
 
 @query(f"""WITH rect AS ({V.RECT}), b AS (SELECT *, (x1 - x0) * (y1 - y0) AS area FROM rect), k AS (SELECT *, row_number() OVER (PARTITION BY cut_name ORDER BY area DESC, id) AS k FROM b),

@@ -25,3 +25,17 @@ def test_boxes_go_only_in_much_larger_ones(spark):
     for larger in (1.0, 2.0):
         got = {r.id for r in spatial.suppress_boxes(boxes, "g", 0.7, larger).collect()}
         assert got == staying(rows, 0.7, larger)
+
+
+def test_a_crowded_group(spark):
+    """Many boxes in few places, with chains of boxes in each other, at shares over and under a half."""
+    rng = random.Random(2)
+    rows = []
+    for i in range(700):
+        x, y, w = rng.gauss(50, 8), rng.gauss(50, 8), 2 ** rng.uniform(-1, 6)
+        rows.append((i, x, y, x + w, y + w * 2 ** rng.uniform(-1, 1)))
+    boxes = spark.createDataFrame([("a", *r) for r in rows] + [(None, *r) for r in rows[:50]], "g string, id long, x0 double, y0 double, x1 double, y1 double")
+    for most in (0.7, 0.3):
+        got = spatial.suppress_boxes(boxes, "g", most, 2.0).collect()
+        assert {r.id for r in got if r.g == "a"} == staying(rows, most, 2.0)
+        assert {r.id for r in got if r.g is None} == staying(rows[:50], most, 2.0)
