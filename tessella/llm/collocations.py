@@ -16,10 +16,9 @@ sent to one share as a window of its own, added up in each task.  Equal windows
 are one row of a block, so repeated passages weigh nothing.  The sample only
 places windows and never changes a count.
 
-Words are hashes of 64 bits; if two frequent words ever had the same one,
-another seed is taken.  While frequent words number MOST_WORDS at most, tasks
-have them all; beyond, windows run over all words, and every pair of hashes is
-checked.
+While frequent words are MOST_WORDS at most, they are numbered by frequency and
+sent to all tasks.  Beyond, windows run over all words as hashes of 64 bits, by
+a seed for which no other word has the hash of a frequent one.
 
 Null and empty texts have no words; a null language is ``und``; very long texts
 are read whole; repeated rows count as often as they occur; ties are settled by
@@ -34,7 +33,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.common import column, if_small, kept, slices, strings, written
@@ -93,12 +92,12 @@ def word_hash(lang: str, word: bytes, seed: int) -> int:
 
 
 class Speller:
-    """Words to hashes: all frequent ones are known beforehand, or any word has one."""
+    """Words to numbers over 0: frequent ones as they were numbered beforehand and others 0, or all of them by a hash."""
 
     def __init__(self, frequent: dict[str, dict[bytes, int]] | None, seed: int):
         self.frequent, self.seed = frequent, seed
 
-    def hashes(self, lang: str, words: list[bytes]) -> np.ndarray:
+    def numbers(self, lang: str, words: list[bytes]) -> np.ndarray:
         if self.frequent is not None:
             get = self.frequent.get(lang, {}).get
             return np.fromiter((get(w, 0) for w in words), dtype=np.uint64, count=len(words))
@@ -108,7 +107,7 @@ class Speller:
 
 
 def windows(h: np.ndarray, longest: int) -> np.ndarray:
-    """A row for each place with two words at least: the hashes from there on, 0 behind the end."""
+    """A row for each place with two words at least: the words from there on, 0 behind the end."""
     padded = np.concatenate((h, np.zeros(longest, dtype=np.uint64)))
     start = np.flatnonzero((h != 0) & (padded[1 : len(h) + 1] != 0))
     out = np.zeros((len(start), longest), dtype=np.uint64)
@@ -154,24 +153,21 @@ def _numbers(raw: bytes, kind: str, *shape: int) -> np.ndarray:
 
 
 def pack(w: np.ndarray, weight: np.ndarray, chain: np.ndarray) -> bytes:
-    """Windows of one share: different words by how often they stand there, then each window's places among them, weights and depths, compressed."""
-    words, at, times = np.unique(w, return_inverse=True, return_counts=True)
-    often = np.argsort(-times, kind="stable")
-    place = np.empty(len(words), dtype=np.int64)
-    place[often] = np.arange(len(words))
+    """Windows of one share, compressed: different words as steps from one to the next, then each window's places among them, weights and depths."""
+    words, at = np.unique(w, return_inverse=True)
     kind = "<u2" if len(words) <= 1 << 16 else "<u4"
-    at = np.ascontiguousarray(place[at.reshape(w.shape)].T.astype(kind))
+    at = np.ascontiguousarray(at.reshape(w.shape).T.astype(kind))
     head = np.array([len(words), len(w), w.shape[1], at.itemsize], dtype="<u4")
-    rest = _planes(at) + _planes(weight.astype("<u4")) + chain.astype(np.uint8).tobytes()
-    return b"".join((head.tobytes(), words[often].astype("<u8").tobytes(), pa.compress(rest, "zstd", asbytes=True)))
+    rest = _planes(np.diff(words, prepend=np.uint64(0)).astype("<u8")) + _planes(at) + _planes(weight.astype("<u4")) + chain.astype(np.uint8).tobytes()
+    return head.tobytes() + pa.compress(rest, "zstd", asbytes=True)
 
 
 def unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     n_words, n, longest, item = np.frombuffer(raw, dtype="<u4", count=4).tolist()
-    end = 16 + 8 * n_words
-    rest = pa.decompress(raw[end:], n * (longest * item + 5), "zstd", asbytes=True)
-    at, weight = n * longest * item, n * (longest * item + 4)
-    return np.frombuffer(raw[16:end], dtype="<u8"), _numbers(rest[:at], f"<u{item}", longest, n), _numbers(rest[at:weight], "<u4", n), np.frombuffer(rest[weight:], dtype=np.uint8)
+    ends = np.cumsum([8 * n_words, n * longest * item, 4 * n, n]).tolist()
+    rest = pa.decompress(raw[16:], ends[-1], "zstd", asbytes=True)
+    words, at, weight, chain = (rest[a:z] for a, z in zip([0, *ends], ends))
+    return np.cumsum(_numbers(words, "<u8", n_words), dtype=np.uint64), _numbers(at, f"<u{item}", longest, n), _numbers(weight, "<u4", n), np.frombuffer(chain, dtype=np.uint8)
 
 
 BLOCKS = pa.schema([("share", pa.int32()), ("block", pa.binary())])
@@ -279,7 +275,7 @@ def _blocks(speller, hot, shares: int, longest: int):
             for lang, text in _texts(part):
                 by_lang.setdefault(lang, []).extend([*words_of(text), _BREAK])
             for lang, words in by_lang.items():
-                held.append(windows(spell.hashes(lang, words), longest))
+                held.append(windows(spell.numbers(lang, words), longest))
                 n += len(held[-1])
             if n >= FLUSH_WINDOWS:
                 yield from flushed()
@@ -303,7 +299,7 @@ def _sampled_leads(speller, longest: int):
             for lang, text in _texts(part):
                 by_lang.setdefault(lang, []).extend([*words_of(text), _BREAK])
             for lang, words in by_lang.items():
-                w, weight = added_up(*(lambda x: (x, np.ones(len(x), dtype=np.int64)))(windows(speller.value.hashes(lang, words), longest)))
+                w, weight = added_up(*(lambda x: (x, np.ones(len(x), dtype=np.int64)))(windows(speller.value.numbers(lang, words), longest)))
                 by = leads(w)
                 for d in range(longest - 1):
                     lead, at = np.unique(by[w[:, d] != 0, d], return_inverse=True)
@@ -313,33 +309,36 @@ def _sampled_leads(speller, longest: int):
     return run
 
 
-def _speller(spark: SparkSession, docs: DataFrame, words: DataFrame, least: int):
-    """The words' hashes, by a seed for which those of frequent words are their own."""
+def _speller(docs: DataFrame, words: DataFrame, least: int) -> Speller:
+    """Frequent words numbered by frequency if they are few; else a seed for which no other word has a frequent one's hash."""
     frequent = words.filter(F.col("word").isNotNull())
-    few = frequent.count() <= MOST_WORDS
+    if frequent.count() <= MOST_WORDS:
+        known: dict[str, dict[bytes, int]] = {}
+        for k, r in enumerate(frequent.sort(F.desc("n"), "lang", "word").select("lang", "word").toLocalIterator()):
+            known.setdefault(r.lang, {})[r.word.encode()] = k + 1
+        return Speller(known, 0)
     for seed in range(100):
-        if few:
-            known: dict[str, dict[bytes, int]] = {}
-            for r in frequent.select("lang", "word").toLocalIterator():
-                w = r.word.encode()
-                known.setdefault(r.lang, {})[w] = word_hash(r.lang, w, seed)
-            every = [h for of in known.values() for h in of.values()]
-            clash = len(set(every)) < len(every)
-        else:
-            known = None
-            spelt = _word_counts(docs).filter(F.col("word").isNotNull()).withColumn("h", _hash_udf(seed)("lang", "word"))
-            clash = bool(spelt.groupBy("h").agg(F.count("*").alias("k"), F.max("n").alias("most")).filter((F.col("k") > 1) & (F.col("most") >= least)).head(1))
-        if not clash:
-            return known, seed
+        spelt = _word_counts(docs).filter(F.col("word").isNotNull()).withColumn("h", F.pandas_udf(_hashed(seed), "long")("lang", "word"))
+        if not spelt.groupBy("h").agg(F.count("*").alias("k"), F.max("n").alias("most")).filter((F.col("k") > 1) & (F.col("most") >= least)).head(1):
+            return Speller(None, seed)
     raise RuntimeError("no seed tells all words apart")
 
 
-def _hash_udf(seed: int):
-    @F.pandas_udf("long")
-    def hashed(lang: pd.Series, word: pd.Series) -> pd.Series:
+def _hashed(seed: int):
+    def run(lang: pd.Series, word: pd.Series) -> pd.Series:
         return pd.Series(np.array([word_hash(a, b.encode(), seed) for a, b in zip(lang, word)], dtype=np.uint64).view(np.int64))
 
-    return hashed
+    return run
+
+
+def _spelt(speller):
+    """The numbers of the table of frequent words; ``speller``: a broadcast variable."""
+
+    def run(lang: pd.Series, word: pd.Series) -> pd.Series:
+        of = speller.value
+        return pd.Series([int(of.numbers(a, [b.encode()]).view(np.int64)[0]) if b is not None else None for a, b in zip(lang, word)], dtype="Int64")
+
+    return run
 
 
 def _word_counts(docs: DataFrame) -> DataFrame:
@@ -349,16 +348,15 @@ def _word_counts(docs: DataFrame) -> DataFrame:
 def phrase_counts(docs: DataFrame, least: int = 100, longest: int = 5, lang_col: str = "lang", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Counts of words, and of phrases of two words to ``longest`` that occur ``least`` times or more.
 
-    The first: lang, h (the word's hash), word, n, with a null word for the
-    number of all words of a language.  The second: words (array of hashes), n.
+    The first: lang, h (the word's number), word, n, with a null word for the
+    number of all words of a language.  The second: words (array of numbers), n.
     """
     spark = docs.sparkSession
     docs = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     words = written(_word_counts(docs).filter((F.col("n") >= least) | F.col("word").isNull()), "words")
-    known, seed = _speller(spark, docs, words, least)
     total = words.filter("word IS NULL").agg(F.sum("n")).first()[0] or 0
     size = max(SHARE, total >> 20)
-    speller = spark.sparkContext.broadcast(Speller(known, seed))
+    speller = spark.sparkContext.broadcast(_speller(docs, words, least))
     share_of = min(1.0, SAMPLE_WORDS / max(1, total))
     some = docs.sample(share_of, seed=1) if share_of < 1 else docs
     seen = some.mapInArrow(_sampled_leads(speller, longest), "depth int, lead long, n long").groupBy("depth", "lead").agg(F.sum("n").alias("n"))
@@ -368,7 +366,7 @@ def phrase_counts(docs: DataFrame, least: int = 100, longest: int = 5, lang_col:
     shares = max(12, -(-2 * total // size))
     blocks = docs.mapInArrow(_blocks(speller, spark.sparkContext.broadcast(hot), shares, longest), "share int, block binary")
     found = blocks.groupBy("share").applyInArrow(_sorted_share(least), "words array<long>, n long")
-    words = words.withColumn("h", F.when(F.col("word").isNotNull(), _hash_udf(seed)("lang", F.coalesce("word", F.lit("")))))
+    words = words.withColumn("h", F.pandas_udf(_spelt(speller), "long")("lang", "word"))
     return words, written(found, "phrases")
 
 
