@@ -26,7 +26,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.common import binary, column, fresh, if_small, kept, numbered, remove, slices, written
@@ -35,8 +35,10 @@ from tessella.llm.simhash import fingerprints, linked
 
 #: Tenths of similarity that make a near copy; differing bits at which the trees link two fingerprints.
 TENTHS, BITS = 8, 3
-#: Rows that are counted for the order, at least, and their share; rows of the sample that make a shingle frequent; frequent shingles, at most.
-SAMPLE, SHARE, FREQUENT, MOST = 20_000, 1 / 16, 3, 500_000
+#: Rows that are counted for the order, about, at any size; rows of the sample that make a shingle frequent; frequent shingles, at most.
+SAMPLE, FREQUENT, MOST = 20_000, 3, 500_000
+#: Members of a list, about, that are compared with as many others in one group of the last join.
+BLOCK = 1000
 
 
 #: Members of a list that the others meet in one turn; turns at most; pairs that are left for each entry of a list, before all are compared.
@@ -83,7 +85,7 @@ def shingle_sets(rows: DataFrame, words: int, last=None) -> DataFrame:
 
 def _frequent(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that several rows of the sample have, ascending, and their ranks from 1, the most frequent last."""
-    share = max(SHARE, min(1.0, SAMPLE / max(1, rows.count())))
+    share = min(1.0, SAMPLE / max(1, rows.count()))
     sample = rows.filter(F.pmod(F.xxhash64("row"), F.lit(1 << 20)) < int(share * (1 << 20)))
     counts = shingle_sets(sample, words).select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= FREQUENT)
     found = counts.orderBy(F.desc("c"), "gram").limit(MOST).toArrow()
@@ -143,10 +145,9 @@ def near_links(rows: DataFrame, words: int, paths: list[str]) -> DataFrame:
     root = lambda df, k: df.join(if_small(groups.select(F.col("node").alias(k), F.col("root").alias(f"root_{k}"))), k, "left").withColumn(f"root_{k}", F.coalesce(f"root_{k}", k))
     last = rows.sparkSession.sparkContext.broadcast(_frequent(rows, words))  # MOST shingles at most
     listed = shingle_sets(rows, words, last).select("row", "n", F.posexplode("grams").alias("at", "gram"))
-    of = Window.partitionBy("gram")
-    led = F.min(F.struct("row", "n", "at")).over(of)
-    listed = listed.select("row", "n", "at", "gram", led.alias("first"), F.count(F.lit(1)).over(of).alias("c")).filter("c > 1")
-    listed = written(listed.select("row", "n", "at", "gram", "first"), "listed", paths)
+    # sums on the map side, so that a shingle of very many rows is one row of each task
+    led = listed.groupBy("gram").agg(F.min(F.struct("row", "n", "at")).alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("gram", "first")
+    listed = written(listed.join(led, "gram").select("row", "n", "at", "gram", "first"), "listed", paths)
     # what follows a shared shingle bounds what two sets can share, if it is their first; at their first it always passes
     fits = lambda na, ia, nb, ib: _enough(F.least(na - ia, nb - ib), na, nb)
     c = F.col
@@ -172,12 +173,28 @@ def near_links(rows: DataFrame, words: int, paths: list[str]) -> DataFrame:
         met = F.filter("led", lambda x: (x["root"] != c("root")) & fits(x["n"], x["at"], c("n"), c("at")))
         met = apart.join(led, "gram").select("row", F.explode(met).alias("x")).select(F.least("row", "x.row").alias("a"), F.greatest("row", "x.row").alias("b"))
         links = links.unionByName(_verified(met.distinct(), rows, words, paths))
-    pairs = apart.alias("x").join(apart.alias("y"), (c("x.gram") == c("y.gram")) & (c("x.row") < c("y.row")) & (c("x.root") != c("y.root")) & fits(c("x.n"), c("x.at"), c("y.n"), c("y.at")))
     paths += gone
-    pairs = pairs.select(c("x.row").alias("a"), c("y.row").alias("b")).distinct()
+    pairs = written(_apart_pairs(apart, fits).distinct(), "open", paths)
     return links.unionByName(_verified(pairs.join(stars, ["a", "b"], "left_anti"), rows, words, paths))
 
 
+def _apart_pairs(apart: DataFrame, fits) -> DataFrame:
+    """Pairs of rows of different groups that share a list and may be similar.
+
+    A long list is dealt to blocks, and each two blocks of it meet in a group of their own.
+    """
+    long = apart.groupBy("gram").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).filter("blocks > 1")
+    dealt = apart.join(long, "gram", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("gram", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine", "row", "n", "at", "root")
+    x, y = dealt.alias("x"), dealt.alias("y")
+    c = F.col
+    same = (c("x.gram") == c("y.gram")) & (c("x.low") == c("y.low")) & (c("x.high") == c("y.high"))
+    once = (c("x.row") < c("y.row")) & ((c("x.low") == c("x.high")) | (c("x.mine") != c("y.mine")))
+    pairs = x.join(y, same & once & (c("x.root") != c("y.root")) & fits(c("x.n"), c("x.at"), c("y.n"), c("y.at")))
+    return pairs.select(c("x.row").alias("a"), c("y.row").alias("b"))
+
+
 def without_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
     """The rows of ``docs`` that stay, one of each group of linked near copies: that with the least id, of equal ids the
     first one written; null ids only where all are null.

@@ -86,3 +86,24 @@ def test_near_dedup_finds_all_pairs(spark, tmp_path, monkeypatch, seed):
 def test_near_dedup_of_nothing(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "t"))
     assert near_copies.without_similar(spark.read.parquet(str(tmp_path / "t"))).collect() == []
+
+
+def test_long_lists_are_compared_in_blocks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(near_copies, "TURNS", 0)
+    monkeypatch.setattr(near_copies, "BLOCK", 6)
+    monkeypatch.setattr(near_copies, "SAMPLE", 20)
+    rows = planted(7)
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "t"))
+    out = near_copies.without_similar(spark.read.parquet(str(tmp_path / "t")))
+    assert sorted((r.doc_id for r in out.collect()), key=str) == staying(rows)
+
+
+def test_suffix_stage_s_rows(spark, tmp_path):
+    """Each row that stays, with its whole text: what is left blank goes, nulls stay null, untouched rows stay as they are."""
+    import corpus_pipeline as c
+
+    again = "a passage of more than fifty bytes that stands in several documents. "
+    rows = [(1, again + "one", "x", "s", 7), (2, again + "\n\t \x0b", "x", "s", 9), (3, "two " + again + "three", None, "s", None), (4, None, "x", None, None), (5, "", "x", "s", 0), (6, " \n", "x", "s", 2), (7, again + "\x85", "x", "s", 5)]
+    out = c.suffix_array_dedup(spark, spark.createDataFrame(rows, SCHEMA), str(tmp_path))
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    assert sorted(map(tuple, out.collect()), key=str) == [rows[0], (3, "two three", None, "s", 9), rows[3], rows[4], rows[5], (7, "\x85", "x", "s", 1)]
