@@ -12,11 +12,12 @@ from __future__ import annotations
 import math
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessella.functions import rings
+from tessella.operators.geometry import even_odd_area
 from tessella.operators.grid import candidate_cells, stride_of
 from tessella.operators.polygon_area import batch_areas, clip_ring, covered_area
 from tessella.session import can_checkpoint
@@ -63,15 +64,20 @@ STRIP_EDGES = 2000
 LONG_RING = 64
 
 
+def _upright(r: Column) -> Column:
+    """Whether a ring is a rectangle with upright sides, which its bounds tell."""
+    p = lambda i: F.get(r, F.lit(i))
+    turns = lambda a, c: (p(0)[a] == p(1)[a]) & (p(1)[c] == p(2)[c]) & (p(2)[a] == p(3)[a]) & (p(3)[c] == p(0)[c])
+    closed = (F.size(r) == 4) | (F.size(r) == 5) & (p(4) == p(0))
+    return F.coalesce(closed & (turns("x", "y") | turns("y", "x")), F.lit(False))
+
+
 def _marked(outlines: DataFrame, key: str) -> DataFrame:
     """Usable outlines with their bounds, how many edges they have, and their points: none for an upright rectangle, which its bounds tell."""
     r = F.col("ring")
     b = rings.bounds(r)
     rows = outlines.filter(F.size("ring") >= 3).select(key, "ring", b.alias("b")).select(key, "ring", F.col("b.x0").alias("__x0"), F.col("b.y0").alias("__y0"), F.col("b.x1").alias("__x1"), F.col("b.y1").alias("__y1"))
-    p = lambda i: F.get(r, F.lit(i))
-    turns = lambda a, c: (p(0)[a] == p(1)[a]) & (p(1)[c] == p(2)[c]) & (p(2)[a] == p(3)[a]) & (p(3)[c] == p(0)[c])
-    closed = (F.size(r) == 4) | (F.size(r) == 5) & (p(4) == p(0))
-    upright = F.coalesce(closed & (turns("x", "y") | turns("y", "x")), F.lit(False))
+    upright = _upright(r)
     return rows.select(key, "__x0", "__y0", "__x1", "__y1", F.when(upright, 2).otherwise(F.size(r)).alias("__n"), F.when(~upright, r).alias("__ring"))
 
 
@@ -138,16 +144,22 @@ def covered_share(outlines: DataFrame, cuts: DataFrame) -> DataFrame:
 
 
 def clipped_instances(tiles: DataFrame, outlines: DataFrame, cuts: DataFrame, sizes: list[int], overlap: float = 0.2, least: float = 0.3) -> DataFrame:
-    """Outlines cut to the tiles that show at least a share of their area: columns of the tile, id, ring, visible."""
+    """Outlines cut to the tiles that show at least a share of their area: columns of the tile, id, ring, visible, and others of theirs.
+
+    Areas go by the even-odd rule, so that outlines that cross themselves count in full.
+    """
+    others = [c for c in outlines.columns if c not in ("cut_name", "id", "ring")]
     b = rings.bounds(F.col("ring"))
-    boxed = outlines.select("cut_name", "id", "ring", b.alias("b")).select("cut_name", "id", "ring", "b.*").withColumnsRenamed({"x0": "__x0", "y0": "__y0", "x1": "__x1", "y1": "__y1"})
+    boxed = outlines.select("cut_name", "id", "ring", *others, b.alias("b")).select("cut_name", "id", "ring", *others, "b.*").withColumnsRenamed({"x0": "__x0", "y0": "__y0", "x1": "__x1", "y1": "__y1"})
     at = _cells(boxed.join(cuts.select("cut_name", "width", "height"), "cut_name"), sizes, overlap, ("__x0", "__y0"), ("__x1", "__y1")).drop("width", "height")
     found = tiles.join(at, CELL).filter("__x0 < x1 AND __x1 > x0 AND __y0 < y1 AND __y1 > y0")
     whole = (F.col("__x0") >= F.col("x0")) & (F.col("__x1") <= F.col("x1")) & (F.col("__y0") >= F.col("y0")) & (F.col("__y1") <= F.col("y1"))
     inner = found.filter(whole).withColumn("clip", F.col("ring"))
     found = inner.unionByName(found.filter(~whole).withColumn("clip", clip_ring("ring", "x0", "y0", "x1", "y1").cast(RING)))
-    seen = rings.area(F.col("clip")) / F.nullif(rings.area(F.col("ring")), F.lit(0.0))
-    return found.withColumn("visible", seen).filter(F.col("visible") >= least).select(*tiles.columns, "id", F.col("clip").alias("ring"), "visible")
+    box = _upright(F.col("ring"))
+    plain = found.filter(box).withColumn("visible", rings.area(F.col("clip")) / F.nullif(rings.area(F.col("ring")), F.lit(0.0)))
+    odd = found.filter(~box).withColumn("visible", even_odd_area("clip") / F.nullif(even_odd_area("ring"), F.lit(0.0)))
+    return plain.unionByName(odd).filter(F.col("visible") >= least).select(*tiles.columns, "id", F.col("clip").alias("ring"), "visible", *others)
 
 
 def assign_to_cuts(annotations: DataFrame, cuts: DataFrame) -> DataFrame:

@@ -1,10 +1,11 @@
-"""Queries of cross-validation, run identities and recorded lists."""
+"""Queries of cross-validation, run identities, recorded lists, the row bootstrap, head training and geometry."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from tessella.operators import cross_validation as cv
+from tessella.operators import embeddings, geometry, heads, metrics, row_bootstrap
 from tessella.plans import views as V
 from tessella.plans.registry import of, query, r6
 
@@ -113,3 +114,64 @@ def fold_table(spark, sf_dir):
     of_size = lambda c: F.create_map(F.lit("512"), c)
     folds = t.groupBy("fold").agg(F.collect_set("stem").alias("slides"), of_size(n).alias("tiles"), of_size(p).alias("positives"), of_size(p / n).alias("positive_rate"), F.sort_array(F.collect_set("specimen")).alias("specimens"), F.min("specimen").alias("inner_val_specimen"))
     return cv.fold_table(folds, [512])
+
+
+TEST = f"SELECT * FROM ({V.PRED}) p WHERE split = 'test'"
+
+
+@query()
+def row_bootstrap_ci(spark, sf_dir):
+    """The control: 200 replicates of single rows."""
+    return row_bootstrap.row_interval(of(spark, sf_dir, TEST), 0.4, 200, 7).select("n_usable", "metric", *r6("low", "high"))
+
+
+@query()
+def bootstrap_widths(spark, sf_dir):
+    """How much wider intervals over specimens are than over rows."""
+    p = of(spark, sf_dir, TEST)
+    return row_bootstrap.interval_widths(metrics.bootstrap_interval(p, "specimen", 0.4, 200, 7), row_bootstrap.row_interval(p, 0.4, 200, 7)).select("metric", *r6("clustered_width", "row_width", "ratio"))
+
+
+def _head(spark, sf_dir):
+    e = of(spark, sf_dir, "SELECT vec_id AS tile_id, embedding, CAST(label % 2 AS INT) AS y FROM {embeddings}")
+    e = e.withColumn("pooled", embeddings.pooled(embeddings.sub_vectors(F.col("embedding"), 4, 16), 16))
+    return e, heads.train_head(e.filter("tile_id % 5 > 0"), e.filter("tile_id % 5 = 0"), epochs=3, patience=2, batch_size=32, mining=(1, 0.2, 0.25))
+
+
+@query()
+def trained_head(spark, sf_dir):
+    """Scores of held-out rows by a head trained on batches of forced ratio, with mining from the second epoch on."""
+    e, (head, _) = _head(spark, sf_dir)
+    return e.filter("tile_id % 5 = 0").select("tile_id", "y", head.probability("pooled").alias("prob"))
+
+
+#: Features of all kinds: a square, one with a hole, two parts, two points, a line without area, and a bow tie.
+SHAPES = """SELECT concat('P', p_partkey % 50, '_cut000_annotations') AS stem, p_partkey AS feature_pos, concat('a', p_partkey) AS id, p_size AS w, p_partkey % 6 AS k,
+ CASE p_partkey % 6 WHEN 1 THEN 'Polygon' WHEN 2 THEN 'MultiPolygon' WHEN 4 THEN 'Polygon' ELSE 'LineString' END AS geom_type,
+ CASE p_partkey % 6 WHEN 0 THEN concat('[[0,0],[', p_size, ',0],[', p_size, ',', p_size, '],[0,', p_size, ']]') WHEN 1 THEN '[[[0,0],[9,0],[9,9],[0,9]],[[1,1],[2,1],[2,2]]]' WHEN 2 THEN '[[[[0,0],[9,0],[9,9]]],[[[20,0],[29,0],[29,9]]]]' WHEN 3 THEN '[[0,0],[1,1]]'
+ WHEN 4 THEN '[[[0,0],[5,5],[9,9]]]' ELSE concat('[[0,0],[', p_size, ',', p_size, '],[', p_size, ',0],[0,', p_size, ']]') END AS coordinates FROM {part}"""
+
+
+@query(f"SELECT stem, feature_pos, CASE k WHEN 1 THEN '1 holes' ELSE 'several parts' END AS reason FROM ({SHAPES}) s WHERE k IN (1, 2)")
+def lossy_outlines(spark, sf_dir):
+    return geometry.lossy(geometry.features(of(spark, sf_dir, SHAPES)))
+
+
+@query(f"SELECT stem, feature_pos, CASE k WHEN 3 THEN 'too few points' ELSE 'no area' END AS reason FROM ({SHAPES}) s WHERE k IN (3, 4)")
+def unmeasurable_outlines(spark, sf_dir):
+    return geometry.unusable(geometry.features(of(spark, sf_dir, SHAPES)))
+
+
+@query(f"SELECT id, regexp_replace(stem, '_annotations$', '') AS cut_name, CASE k WHEN 0 THEN w * w * 1.0::DOUBLE ELSE w * w / 2.0::DOUBLE END AS area FROM ({SHAPES}) s WHERE k IN (0, 5)")
+def measured_outlines(spark, sf_dir):
+    """Areas of what can be measured, by the even-odd rule."""
+    rows = geometry.features(of(spark, sf_dir, SHAPES).filter("k NOT IN (1, 2)"))
+    return geometry.measurable(rows).select("id", "cut_name", geometry.even_odd_area("ring").alias("area"))
+
+
+@query(f"""WITH s AS (SELECT DISTINCT stem FROM ({SHAPES}) x), t AS (SELECT DISTINCT CASE WHEN p_partkey % 50 = 7 THEN '' ELSE concat('P', p_partkey % 50 + CASE WHEN p_partkey % 50 = 3 THEN 1 ELSE 0 END, '_cut000') END AS cut_name, concat('P', p_partkey % 50, '_cut000_annotations') AS stem FROM {{part}})
+SELECT cut_name, stem, CASE WHEN cut_name = '' THEN 'no cut name' ELSE 'of another cut' END AS reason FROM t JOIN s USING (stem) WHERE cut_name = '' OR stem <> concat(cut_name, '_annotations')""")
+def foreign_annotations(spark, sf_dir):
+    """Tiles of a cut that were paired with another's annotations."""
+    tiles = of(spark, sf_dir, "SELECT CASE WHEN p_partkey % 50 = 7 THEN '' ELSE concat('P', p_partkey % 50 + CASE WHEN p_partkey % 50 = 3 THEN 1 ELSE 0 END, '_cut000') END AS cut_name, concat('P', p_partkey % 50, '_cut000_annotations') AS annotations_stem FROM {part}")
+    return geometry.foreign(geometry.features(of(spark, sf_dir, SHAPES)), tiles)
