@@ -21,7 +21,7 @@ def with_band(df: DataFrame, order: list[Column], bands: int = BANDS, name: str
     """``df`` with the number of its band in an ascending order; nulls come first.  Fewer than SAMPLE rows are one band."""
     mine = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)])
     keys = df.select(mine.alias("k"))
-    some = keys.orderBy(F.rand(7)).limit(SAMPLE).collect()
+    some = keys.orderBy(F.xxhash64("k"), "k").limit(SAMPLE).collect()  # the same on every run
     if len(some) < SAMPLE:
         return df.withColumn(name, F.lit(0))
     spark = df.sparkSession

@@ -59,7 +59,7 @@ def row_interval(df: DataFrame, threshold: float, replicates: int = 200, seed: i
     drawn = band_totals(np.array([found[b] for b in bands]), replicates, seed) if bands else np.zeros((replicates, 0), dtype=int)
     totals = {b: drawn[:, k] for k, b in enumerate(bands)}
 
-    def sums(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def sums(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, out = pdf.sort_values("prob", ascending=False), []
         hit = (pdf["prob"] >= threshold).to_numpy()
         for reps, pos, neg in band_draws(pdf, seed, key[0], totals[key[0]]):
@@ -71,7 +71,7 @@ def row_interval(df: DataFrame, threshold: float, replicates: int = 200, seed: i
     zero = F.lit(0).cast("long")
     of = of.select("rep", "band", "tp", "fp", F.coalesce(F.sum("pos").over(above), zero).alias("pos0"), F.coalesce(F.sum("neg").over(above), zero).alias("neg0"), F.sum("pos").over(all_).alias("p"), F.sum("neg").over(all_).alias("n")).checkpoint()
 
-    def precision(key, pdf: pd.DataFrame, offsets: pd.DataFrame) -> pd.DataFrame:
+    def precision(key: tuple, pdf: pd.DataFrame, offsets: pd.DataFrame) -> pd.DataFrame:
         pdf, offsets, out = pdf.sort_values("prob", ascending=False), offsets.sort_values("rep"), []
         for reps, pos, neg in band_draws(pdf, seed, key[0], totals[key[0]]):
             mine = offsets.iloc[reps[0] : reps[-1] + 1]
