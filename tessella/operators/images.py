@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Least saturation of tissue, least share of tissue for statistics, least grey (0 to 1) of glass.
 SATURATION, LEAST_TISSUE, GLASS = 15, 0.05, 0.8
@@ -99,3 +100,13 @@ def crop_tiles(images: DataFrame, tiles: DataFrame) -> DataFrame:
         return pd.Series(out)
 
     return tiles.join(flat, "path").select(*tiles.columns, cut("height", "width", "n_channels", "data", "x0", "y0", "tile_size").alias("pixels"))
+
+
+@F.pandas_udf(T.DoubleType())
+def _share(pixels: pd.Series, size: pd.Series) -> pd.Series:
+    return pd.Series([float(tissue_mask(np.frombuffer(p, dtype=np.uint8).reshape(n, n, 3)).mean()) for p, n in zip(pixels, size)], dtype="float64")
+
+
+def tissue_share(pixels: str, size: str) -> Column:
+    """The share of tissue in the RGB bytes of a square tile."""
+    return _share(pixels, size)

@@ -1,13 +1,17 @@
-"""Queries of cross-validation, run identities, recorded lists, the row bootstrap, head training and geometry."""
+"""Queries of cross-validation, run identities, recorded lists, the row bootstrap, heads, geometry, review sessions and embedding tables."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tessella.operators import cross_validation as cv
-from tessella.operators import embeddings, geometry, heads, metrics, row_bootstrap
+from tessella.operators import embeddings, geometry, heads, metrics, review_sampling, row_bootstrap
 from tessella.plans import views as V
 from tessella.plans.registry import of, query, r6
+from tessella.session import can_checkpoint
+from tessella.sources import embedding_table as table
 
 #: Tiles by fold of their specimen, which is also held out with it; the least specimen of a fold is its inner one.
 TILE = f"SELECT tile_id, specimen, concat(specimen, '_1-2') AS stem, y, prob, fold FROM ({V.PRED}) p0"
@@ -175,3 +179,41 @@ def foreign_annotations(spark, sf_dir):
     """Tiles of a cut that were paired with another's annotations."""
     tiles = of(spark, sf_dir, "SELECT CASE WHEN p_partkey % 50 = 7 THEN '' ELSE concat('P', p_partkey % 50 + CASE WHEN p_partkey % 50 = 3 THEN 1 ELSE 0 END, '_cut000') END AS cut_name, concat('P', p_partkey % 50, '_cut000_annotations') AS annotations_stem FROM {part}")
     return geometry.foreign(geometry.features(of(spark, sf_dir, SHAPES)), tiles)
+
+
+#: Points and cuts of a session, and a tissue share that a place has.
+SHOWN = f"SELECT cut_name, id, cx, cy FROM ({V.POINT}) p WHERE half > 25"
+HERE = f"(SELECT DISTINCT c.* FROM ({V.CUT}) c JOIN ({SHOWN}) q ON c.cut_name = q.cut_name)"
+RANDOM = "('0x' || substr(md5(concat({seed}, ':', id)), 1, 8))::BIGINT"
+
+
+def _of_size(size: int, seed: int) -> str:
+    tissue = "((x0 * 7 + y0 * 13 + x1) % 100) / 100.0::DOUBLE"
+    return f"""(SELECT *, {size} AS tile_size FROM (SELECT *, {tissue} AS tissue_fraction FROM (SELECT *, least(x0 + {size}, width) AS x1, least(y0 + {size}, height) AS y1 FROM (SELECT DISTINCT ON (id) s.cut_name, id, width, height, greatest(0, least(greatest(round_even(cx - {size} / 2.0, 0)::BIGINT, 0), width - {size})) AS x0, greatest(0, least(greatest(round_even(cy - {size} / 2.0, 0)::BIGINT, 0), height - {size})) AS y0 FROM s JOIN c ON s.cut_name = c.cut_name)))
+WHERE tissue_fraction >= 0.2 ORDER BY {RANDOM.format(seed=seed)}, id LIMIT 30)
+UNION ALL (SELECT *, {size} FROM (SELECT *, {tissue} AS tissue_fraction FROM (SELECT t.cut_name, concat(t.cut_name, '_s', lpad('{size}', 4, '0'), '_x', lpad(x0::VARCHAR, 6, '0'), '_y', lpad(y0::VARCHAR, 6, '0')) AS id, width, height, x0, y0, least(x0 + {size}, width) AS x1, least(y0 + {size}, height) AS y1 FROM (SELECT *, unnest(range(0, height, {size})) AS y0 FROM (SELECT *, unnest(range(0, width, {size})) AS x0 FROM c)) t))
+u WHERE tissue_fraction >= 0.2 AND NOT EXISTS (SELECT 1 FROM s WHERE s.cut_name = u.cut_name AND cx BETWEEN x0 - {size // 2} AND x1 + {size // 2} AND cy BETWEEN y0 - {size // 2} AND y1 + {size // 2}) ORDER BY {RANDOM.format(seed=seed + 1)}, id LIMIT 30)"""
+
+
+@query(f"""WITH s0 AS ({SHOWN}), s AS (SELECT * FROM s0 QUALIFY count(*) OVER (PARTITION BY id) = 1), c AS (SELECT * FROM ({V.CUT}) c WHERE cut_name IN (SELECT cut_name FROM s)), t AS ({_of_size(128, 42)} UNION ALL {_of_size(256, 44)})
+SELECT concat(cut_name, '_s', lpad(tile_size::VARCHAR, 4, '0'), '_x', lpad(x0::VARCHAR, 6, '0'), '_y', lpad(y0::VARCHAR, 6, '0')) AS tile_id, tile_size, round(tissue_fraction, 6) AS tissue_fraction, id NOT LIKE 'P%' AS ground_truth, CASE WHEN id LIKE 'P%' THEN 0 ELSE (SELECT count(*) FROM s WHERE s.cut_name = t.cut_name AND cx BETWEEN x0 AND x1 AND cy BETWEEN y0 AND y1) END AS n_points, id AS candidate FROM t""")
+def review_session_tiles(spark, sf_dir):
+    """Tiles of a session: around points and far from any, thirty of each kind and size that pass the gate."""
+    points = of(spark, sf_dir, SHOWN)
+    points = points.join(points.groupBy("id").count().filter("count = 1").select("id"), "id")
+    measure = lambda boxes: boxes.withColumn("tissue_fraction", F.expr("((x0 * 7 + y0 * 13 + x1) % 100) / 100.0D"))
+    tiles = review_sampling.session_tiles(points, of(spark, sf_dir, V.CUT), [128, 256], 30, 30, measure)
+    return tiles.select("tile_id", "tile_size", "tissue_fraction", "ground_truth", "n_points", "candidate")
+
+
+@query("SELECT vec_id AS tile_id, concat('p', vec_id) AS png_path, 4 AS parts, 16 AS dim, round(embedding[1]::DOUBLE, 6) AS first FROM {embeddings} WHERE vec_id % 2 = 0")
+def embedding_table(spark, sf_dir):
+    """A table of embeddings, written with its manifest and opened again with all checks."""
+    e = of(spark, sf_dir, "SELECT vec_id AS tile_id, concat('p', vec_id) AS png_path, CASE WHEN vec_id % 2 = 0 THEN 512 ELSE 1024 END AS tile_size, embedding FROM {embeddings}")
+    e = e.withColumn("sub", embeddings.sub_vectors(F.col("embedding"), 4, 16))
+    inputs = e.select(F.col("png_path").alias("path"), F.sha2(F.to_json("embedding"), 256).alias("sha256"))
+    can_checkpoint(spark)
+    path = f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/embeddings-{uuid.uuid4().hex}"
+    table.write_table(e.select("tile_id", "png_path", "tile_size"), e, path, "own", 512, inputs)
+    rows = table.open_table(spark, path, "own", 512, e, inputs)
+    return rows.select("tile_id", "png_path", F.size("sub").alias("parts"), F.size(F.col("sub")[0]).alias("dim"), F.round(F.col("sub")[0][0], 6).alias("first"))
