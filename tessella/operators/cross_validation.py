@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import names
 from tessella.operators import metrics
+from tessella.operators.reports import decimals
 
 SPLITS = ("train", "val", "test")
 SCORES = ["average_precision", "roc_auc", "f1", "precision", "recall", "accuracy", "balanced_accuracy", "mcc"]
@@ -278,7 +279,7 @@ def fold_table(folds: DataFrame, sizes: list[int]) -> DataFrame:
     cells = []
     for s in sizes:
         rate = F.col("positive_rate")[str(s)]
-        share = F.when(rate.isNull(), "  n/a").otherwise(F.format_string("%.1f%%", rate * 100))
+        share = F.when(rate.isNull(), "  n/a").otherwise(F.concat(decimals(rate * 100, 1), F.lit("%")))
         cells.append(F.concat(F.format_string(f"{s}px %,7d %,6d ", F.col("tiles")[str(s)], F.col("positives")[str(s)]), share))
     first = F.concat(F.format_string("fold %d  %2d slides  ", "fold", F.size("slides")), F.concat_ws("  ", *cells))
     second = F.concat(F.lit("\n        "), F.array_join("specimens", ", "), F.lit("  (inner val: "), F.col("inner_val_specimen"), F.lit(")"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,3 +51,41 @@ def sample_per_group(df: DataFrame, by: str, key: str, k: int, seed: int) -> Dat
     """Up to k rows of each group in a seeded order."""
     w = Window.partitionBy(by).orderBy(hash_order(seed, F.col(key)), key)
     return df.withColumn("__k", F.row_number().over(w)).filter(F.col("__k") <= k).drop("__k")
+
+
+def cut_quality(stats: DataFrame, tiles: DataFrame, values: list[str], sharpness: str = "sharpness") -> DataFrame:
+    """Of each cut: tiles measured, medians of its tiles' statistics, how many gave a sharpness, and its percentile among all cuts.
+
+    ``stats`` has path and statistics; ``tiles`` has cut_name and png_path.
+    """
+    rows = tiles.select("cut_name", F.col("png_path").alias("path")).join(stats, "path")
+    n = rows.groupBy("cut_name").agg(F.count(F.lit(1)).alias("n_tiles"))
+    return percentile_rank(group_medians(rows, "cut_name", values).join(n, "cut_name"), f"median_{sharpness}")
+
+
+def quality_report(tiles: DataFrame, read: Callable[[list[str]], DataFrame], listed: DataFrame, per_cut: int, cutoff: float, least: int, seed: int = 42) -> DataFrame:
+    """Every cut's image quality, flagged, least sharp first: the columns of ``cut_quality``, listed (a status), ratio, flag.
+
+    ``per_cut`` tiles of each cut are sampled before any picture is read: ``read``
+    gets their paths alone (as many as cuts times ``per_cut``) and gives rows of
+    the image source.  Cuts that are listed as excluded don't set the median.
+    """
+    from tessella.operators.images import image_stats
+
+    some = sample_per_group(tiles, "cut_name", "png_path", per_cut, seed).select("cut_name", "png_path")
+    paths = [r.png_path for r in some.select("png_path").distinct().collect()]
+    if not paths:
+        raise ValueError("no tiles to measure")
+    stats = image_stats(read(paths))
+    name = lambda c: F.regexp_replace(c, r"^[a-z]+:/+", "/")  # noqa: E731  the source writes a scheme before its paths
+    stats, some = stats.withColumn("path", name("path")), some.withColumn("png_path", name("png_path"))
+    cuts = cut_quality(stats, some, ["tissue_fraction", "brightness", "saturation", "red", "blue", "sharpness"])
+    cuts = cuts.join(listed.select("cut_name", F.col("status").alias("listed")), "cut_name", "left").withColumn("__out", F.coalesce(F.col("listed") == "excluded", F.lit(False)))
+    return flag_groups(cuts, "cut_name", "median_sharpness", "n_sharpness", cutoff, least, "__out").drop("__out")
+
+
+def quality_warnings(report: DataFrame, listed: DataFrame) -> DataFrame:
+    """Cuts to look at (cut_name, warning): blurred or too few tiles without being excluded, and listed ones that no tile belongs to."""
+    told = report.filter("flag <> '' AND (listed IS NULL OR listed <> 'excluded')")
+    odd = told.select("cut_name", F.when(F.col("flag") == "blurred", "out of focus and not excluded").otherwise("too few tiles to judge").alias("warning"))
+    return odd.unionByName(listed.join(report, "cut_name", "left_anti").select("cut_name", F.lit("listed without a tile").alias("warning")))

@@ -125,3 +125,38 @@ def null_nan(df: DataFrame) -> DataFrame:
 
 def share(a: Column, b: Column) -> Column:
     return a / F.nullif(b, F.lit(0))
+
+
+def images_by_site(df: DataFrame) -> DataFrame:
+    """Distinct images of each site, and how many of them are annotated (have the flag)."""
+    return df.groupBy("site").agg(F.countDistinct("image").alias("n_images"), F.countDistinct(F.when(F.col("annotated"), F.col("image"))).alias("n_annotated"))
+
+
+def expect_rows(df: DataFrame, n: int, what: str) -> DataFrame:
+    """``df``, or an error if it hasn't as many rows as it should."""
+    if (found := df.count()) != n:
+        raise ValueError(f"{what}: {found} rows, not {n}")
+    return df
+
+
+def in_both(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """Keys that stand in two lists which should have none in common."""
+    return a.select(key).intersect(b.select(key))
+
+
+def decimals(value: Column | str, places: int) -> Column:
+    """A number with so many places, rounded by its exact binary value, as Python and C do; ``format_string`` rounds its shortest decimal."""
+    return F.replace(F.format_number(value, places), F.lit(","), F.lit(""))
+
+
+def interval_text(value: str, low: str, high: str) -> Column:
+    """``0.123 [0.100, 0.150]``; a dash where the value is missing, only the value where the interval is."""
+    number = lambda c: decimals(c, 3)
+    both = F.col(low).isNotNull() & F.col(high).isNotNull()
+    return F.when(F.col(value).isNull(), "-").when(both, F.concat(number(value), F.lit(" ["), number(low), F.lit(", "), number(high), F.lit("]"))).otherwise(number(value))
+
+
+def score_grid(scores: DataFrame, rows: str, columns: str, value: str, wanted: list) -> DataFrame:
+    """A table with a row for each model and a column for each size of one score, as text; a dash where there is none."""
+    out = scores.groupBy(rows).pivot(columns, wanted).agg(F.first(decimals(value, 3)))
+    return out.select(rows, *[F.coalesce(F.col(f"`{c}`"), F.lit("-")).alias(str(c)) for c in wanted])

@@ -84,6 +84,64 @@ def fold_search(counts: DataFrame, n_folds: int, floor: int, ratio: float, sizes
     return best.select(F.col("b.spread").alias("spread"), F.inline(F.transform(F.arrays_zip(names.alias("specimen"), F.col("b.folds").alias("fold")), lambda z: z)))
 
 
+def assign_folds(counts: DataFrame, anchor_site: str, n_folds: int, floors: dict[int, int], sizes: list[int], cap_size: int | None, ratio: float) -> DataFrame:
+    """The fold of each specimen, from 1: specimen, fold, spread.
+
+    One specimen of the anchor site stands in each fold, in order of names; all
+    assignments of the others are tried.  Feasible ones have at least the floor
+    of positives of each size in every fold, tiles of every size in ``sizes``,
+    and at ``cap_size`` (none without one) at most ``ratio`` times the tiles of
+    the least fold in the largest.  Of them the one with the least worst spread
+    of positive rates over ``sizes`` is taken, the first in order on ties.  No
+    feasible one is an error.
+    """
+    needed = sorted({*sizes, *floors, *([cap_size] if cap_size else [])})
+    if lacking := [c for s in needed for c in (f"tiles_{s}", f"positives_{s}") if c not in counts.columns]:
+        raise ValueError(f"counts lack {lacking}")
+    n = counts.count()
+    n_anchors = counts.filter(F.col("site") == anchor_site).count()
+    if n_anchors != n_folds:
+        raise ValueError(f"{n_folds} folds need as many specimens of {anchor_site}, which has {n_anchors}")
+    if n_folds ** (n - n_anchors) > 10**8:
+        raise ValueError("too many specimens to try all assignments")
+    rows = counts.orderBy("specimen").collect()
+    anchors, others = ([r for r in rows if (r.site == anchor_site) == flag] for flag in (True, False))
+    ids = counts.sparkSession.range(n_folds ** len(others))
+    digits = [F.pmod(F.floor(F.col("id") / F.lit(n_folds ** (len(others) - 1 - i))), F.lit(n_folds)).cast("int").alias(f"s{i}") for i in range(len(others))]
+    tried = ids.select("id", *digits)
+
+    def totals(column: str) -> list[Column]:
+        out = []
+        for fold in range(n_folds):
+            total = F.lit(int(anchors[fold][column]))
+            for i, r in enumerate(others):
+                total = total + F.when(F.col(f"s{i}") == fold, F.lit(int(r[column]))).otherwise(0)
+            out.append(total)
+        return out
+
+    # sums first, in columns of their own, so that no expression is written out twice
+    summed = tried.select("*", *[t.alias(f"{c}_{k}") for s in needed for c in (f"tiles_{s}", f"positives_{s}") for k, t in enumerate(totals(c))])
+    of = lambda c: [F.col(f"{c}_{k}") for k in range(n_folds)]
+    most = lambda x: F.greatest(*x) if n_folds > 1 else x[0]
+    fewest = lambda x: F.least(*x) if n_folds > 1 else x[0]
+    ok = F.lit(True)
+    for s, floor in floors.items():
+        ok = ok & (fewest(of(f"positives_{s}")) >= floor)
+    if cap_size:
+        ok = ok & (most(of(f"tiles_{cap_size}")) <= ratio * fewest(of(f"tiles_{cap_size}")))
+    spreads = []
+    for s in sizes:
+        ok = ok & (fewest(of(f"tiles_{s}")) > 0)
+        rates = [p / F.nullif(t, F.lit(0)) for p, t in zip(of(f"positives_{s}"), of(f"tiles_{s}"))]
+        spreads.append(most(rates) - fewest(rates))
+    worst = F.greatest(F.lit(0.0), *spreads) if spreads else F.lit(0.0)
+    best = summed.filter(ok).agg(F.min(F.struct(worst.alias("spread"), "id", F.array(*[F.lit(0), *[f"s{i}" for i in range(len(others))]]).alias("folds"))).alias("b")).first().b
+    if best is None:
+        raise ValueError(f"no assignment has the positives {floors} in every fold and tiles within {ratio} of each other")
+    found = [(r.specimen, k + 1, best.spread) for k, r in enumerate(anchors)] + [(r.specimen, f + 1, best.spread) for r, f in zip(others, best.folds[1:])]
+    return counts.sparkSession.createDataFrame(sorted(found), "specimen string, fold int, spread double")
+
+
 def inner_val(counts: DataFrame, eligible: Column, positives: str, tiles: str, by: list[str]) -> DataFrame:
     """In each fold the eligible specimen whose rate is nearest to the whole table's, by name on ties."""
     corpus = counts.agg((F.sum(positives) / F.nullif(F.sum(tiles), F.lit(0))).alias("__c"))

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tessella.operators import cross_validation as cv
-from tessella.operators import embeddings, geometry, heads, metrics, review_sampling, row_bootstrap
+from tessella.operators import embeddings, geometry, heads, metrics, reports, review_sampling, row_bootstrap, splits
 from tessella.plans import views as V
 from tessella.plans.registry import of, query, r6
 from tessella.session import can_checkpoint
@@ -217,3 +217,45 @@ def embedding_table(spark, sf_dir):
     table.write_table(e.select("tile_id", "png_path", "tile_size"), e, path, "own", 512, inputs)
     rows = table.open_table(spark, path, "own", 512, e, inputs)
     return rows.select("tile_id", "png_path", F.size("sub").alias("parts"), F.size(F.col("sub")[0]).alias("dim"), F.round(F.col("sub")[0][0], 6).alias("first"))
+
+
+#: Counts of seven specimens at two sizes; three of them are anchors.
+BOTH = f"""SELECT concat('K', tile_id % 7) AS specimen, CASE WHEN tile_id % 7 IN (1, 3, 6) THEN 'A' ELSE 'B' END AS site, count_if(tile_id % 2 = 0) AS tiles_512, count_if(tile_id % 2 = 0 AND y = 1) AS positives_512, count_if(tile_id % 2 = 1) AS tiles_1024, count_if(tile_id % 2 = 1 AND y = 1) AS positives_1024
+ FROM ({V.PRED}) p GROUP BY tile_id % 7"""
+
+
+@query(f"""WITH c AS ({BOTH}), o AS (SELECT *, row_number() OVER (ORDER BY specimen) - 1 AS k, count(*) OVER () AS n FROM c WHERE site = 'B'), f AS (SELECT *, row_number() OVER (ORDER BY specimen) - 1 AS fold FROM c WHERE site = 'A'),
+a AS (SELECT id, specimen, (id // pow(3, n - 1 - k)::BIGINT) % 3 AS fold, tiles_512, positives_512, tiles_1024, positives_1024 FROM o, range(81) r(id) UNION ALL SELECT id, specimen, fold, tiles_512, positives_512, tiles_1024, positives_1024 FROM f, range(81) r(id)),
+s AS (SELECT id, fold, sum(tiles_512) AS t5, sum(positives_512) AS p5, sum(tiles_1024) AS t10, sum(positives_1024) AS p10 FROM a GROUP BY ALL),
+g AS (SELECT id, greatest(max(p5::DOUBLE / t5) - min(p5::DOUBLE / t5), max(p10::DOUBLE / t10) - min(p10::DOUBLE / t10)) AS spread FROM s GROUP BY id HAVING min(p5) >= 20 AND min(p10) >= 15 AND max(t5) <= 2.5 * min(t5)),
+b AS (SELECT * FROM g ORDER BY spread, id LIMIT 1) SELECT specimen, (fold + 1)::INT AS fold, round(spread, 6) AS spread FROM b JOIN a USING (id)""")
+def fold_assignment(spark, sf_dir):
+    """Folds with an anchor each, floors for both sizes and a cap at one."""
+    return splits.assign_folds(of(spark, sf_dir, BOTH), "A", 3, {512: 20, 1024: 15}, [512, 1024], 512, 2.5).select("specimen", "fold", *r6("spread"))
+
+
+@query(f"SELECT site, count(DISTINCT image) AS n_images, count(DISTINCT CASE WHEN flag = 'Yes' THEN image END) AS n_annotated FROM ({V.META}) m GROUP BY site")
+def annotated_images(spark, sf_dir):
+    return reports.images_by_site(of(spark, sf_dir, V.META).withColumn("annotated", F.col("flag") == "Yes"))
+
+
+@query(f"SELECT DISTINCT specimen FROM ({V.PRED}) p WHERE split = 'train' INTERSECT SELECT DISTINCT specimen FROM ({V.PRED}) q WHERE y = 1 AND split <> 'val'")
+def listed_in_both(spark, sf_dir):
+    """Specimens of two lists that should have none in common."""
+    p = of(spark, sf_dir, V.PRED)
+    return reports.in_both(p.filter("split = 'train'"), p.filter("y = 1 AND split <> 'val'"), "specimen")
+
+
+@query(f"""WITH v AS (SELECT split, fold, avg(prob) AS m FROM ({V.PRED}) p WHERE NOT (fold = 2 AND split = 'val') GROUP BY ALL)
+SELECT split, coalesce(max(CASE WHEN fold = 0 THEN printf('%.3f', m) END), '-') AS "0", coalesce(max(CASE WHEN fold = 2 THEN printf('%.3f', m) END), '-') AS "2", coalesce(max(CASE WHEN fold = 9 THEN printf('%.3f', m) END), '-') AS "9" FROM v GROUP BY split""")
+def score_grid(spark, sf_dir):
+    v = of(spark, sf_dir, V.PRED).filter("NOT (fold = 2 AND split = 'val')").groupBy("split", "fold").agg(F.avg("prob").alias("m"))
+    return reports.score_grid(v, "split", "fold", "m", [0, 2, 9])
+
+
+@query(f"""WITH v AS (SELECT specimen, avg(prob) AS m, min(prob) AS a, max(prob) AS b, count(*) AS n FROM ({V.PRED}) p GROUP BY specimen)
+SELECT specimen, CASE WHEN n % 3 = 0 THEN '-' WHEN n % 3 = 1 THEN printf('%.3f', m) ELSE printf('%.3f [%.3f, %.3f]', m, a, b) END AS text FROM v""")
+def interval_table(spark, sf_dir):
+    v = of(spark, sf_dir, V.PRED).groupBy("specimen").agg(F.avg("prob").alias("m"), F.min("prob").alias("a"), F.max("prob").alias("b"), F.count(F.lit(1)).alias("n"))
+    v = v.withColumns({"m": F.when(F.col("n") % 3 != 0, F.col("m")), "a": F.when(F.col("n") % 3 == 2, F.col("a"))})
+    return v.select("specimen", reports.interval_text("m", "a", "b").alias("text"))

@@ -57,13 +57,20 @@ def cut_manifests(spark: SparkSession, path: str) -> DataFrame:
 
 
 def tile_manifests(spark: SparkSession, path: str) -> DataFrame:
-    rows = _json(spark, path, schemas.TILES).select("stem", "cut_name", "path", F.explode("tiles").alias("t"))
-    return rows.select("stem", "cut_name", *[F.col(f"t.{c}").alias(c) for c in ("tile_id", "tile_size", "row", "col")], "t.cut_local_bbox.*", *[F.col(f"t.{c}").alias(c) for c in ("pad_right", "pad_bottom", "tissue_fraction", "n_oocytes", "stages", "annotations", "png_path")])
+    """A row for each tile of each manifest, with the manifest's path and its tiling settings; no manifest, or one without a list, is an error."""
+    raw = _json(spark, path, schemas.TILES)
+    if not raw.head(1):
+        raise ValueError(f"no tile manifests at {path}")
+    some = F.coalesce("tiles", F.raise_error(F.concat(F.lit("no tiles in "), F.col("path"))).cast(raw.schema["tiles"].dataType))  # a filter could be moved behind the explosion's own
+    rows = raw.select("stem", "cut_name", "path", "min_tissue_fraction", "overlap", F.explode(some).alias("t"))
+    return rows.select(
+        "stem", "cut_name", *[F.col(f"t.{c}").alias(c) for c in ("tile_id", "tile_size", "row", "col")], "t.cut_local_bbox.*", *[F.col(f"t.{c}").alias(c) for c in ("pad_right", "pad_bottom", "tissue_fraction", "n_oocytes", "stages", "annotations", "png_path")], "path", "min_tissue_fraction", "overlap"
+    )
 
 
 def tiling_provenance(tiles: DataFrame, path: str = "path") -> DataFrame:
-    """The settings of the first manifest in order of paths."""
-    return tiles.agg(F.min_by(F.struct("cut_name", "stem"), path).alias("first")).select("first.*")
+    """One row with the tiling settings of the first manifest in order of paths; nulls without a manifest."""
+    return tiles.agg(F.min_by(F.struct("min_tissue_fraction", "overlap"), path).alias("first")).select("first.*")
 
 
 def split_manifest(spark: SparkSession, path: str) -> DataFrame:

@@ -6,7 +6,7 @@ FEATURES = """type STRING, features ARRAY<STRUCT<type: STRING, id: STRING, geome
  properties: STRUCT<objectType: STRING, name: STRING, metadata: STRUCT<ANNOTATION_DESCRIPTION: STRING>, classification: STRUCT<name: STRING>>>>"""
 CUTS = """source_ndpi STRING, level0_dimensions ARRAY<BIGINT>, mpp_x DOUBLE, mpp_y DOUBLE,
  cuts ARRAY<STRUCT<index: INT, name: STRING, level0_bbox: STRUCT<x0: BIGINT, y0: BIGINT, x1: BIGINT, y1: BIGINT>, level0_size: ARRAY<BIGINT>, preview_path: STRING>>"""
-TILES = """cut_name STRING, stem STRING, tiles ARRAY<STRUCT<tile_id: STRING, tile_size: INT, row: INT, col: INT, cut_local_bbox: STRUCT<x0: BIGINT, y0: BIGINT, x1: BIGINT, y1: BIGINT>,
+TILES = """cut_name STRING, stem STRING, min_tissue_fraction DOUBLE, overlap DOUBLE, tiles ARRAY<STRUCT<tile_id: STRING, tile_size: INT, row: INT, col: INT, cut_local_bbox: STRUCT<x0: BIGINT, y0: BIGINT, x1: BIGINT, y1: BIGINT>,
  pad_right: INT, pad_bottom: INT, tissue_fraction: DOUBLE, has_oocyte: BOOLEAN, n_oocytes: INT, stages: ARRAY<STRING>,
  annotations: ARRAY<STRUCT<annotation_id: STRING, stage: STRING, tile_local_coords: ARRAY<ARRAY<DOUBLE>>>>, png_path: STRING>>"""
 SPLITS = "manifest_version STRING, slides MAP<STRING, STRUCT<split: STRING, location: STRING, stage_counts: MAP<STRING, BIGINT>>>"

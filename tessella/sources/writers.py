@@ -42,6 +42,30 @@ def hashed_folds(splits: DataFrame, path: str) -> DataFrame:
     return files.select(F.regexp_extract("path", r"held_out=(\d+)", 1).cast("int").alias("fold"), F.sha2("content", 256).alias("sha256"))
 
 
+def fold_manifest(folds: DataFrame, splits: DataFrame, path: str, version: str, created: str) -> None:
+    """Each fold's split file, then the manifest ``path``/fold_manifest that carries their paths and SHA-256.
+
+    ``folds`` has fold, specimens, slides, inner_val_specimen and maps by tile
+    size; ``splits`` is ``splits.fold_splits`` (held_out, stem, split).
+    """
+    hashed = hashed_folds(splits, f"{path}/splits").withColumnRenamed("sha256", "split_manifest_sha256")
+    rows = folds.join(hashed, "fold").withColumn("split_manifest_path", F.format_string(f"{path}/splits/held_out=%d", "fold"))
+    whole = rows.agg(F.count(F.lit(1)).cast("int").alias("n_folds"), F.array_sort(F.collect_list(F.struct("fold", *[c for c in rows.columns if c != "fold"])), lambda a, b: a["fold"] - b["fold"]).alias("folds"))
+    if whole.first().n_folds != folds.count():
+        raise ValueError("a fold has no split file")
+    one_document(whole.select(F.lit(version).alias("manifest_version"), F.lit(created).alias("created"), "n_folds", "folds"), f"{path}/fold_manifest")
+
+
+def detection_classes(classes: dict[int, str], stems: DataFrame, path: str, shares: dict[str, float], seed: int = 42) -> None:
+    """The list of class names by index, and a list of images for each split, dealt in a seeded order."""
+    from tessella.operators.index import random_lists
+
+    spark = stems.sparkSession
+    names = [classes.get(i, f"class_{i}") for i in range(max(classes) + 1)]
+    spark.createDataFrame([("\n".join(names),)], "value string").coalesce(1).write.text(f"{path}/classes")
+    random_lists(stems.select("stem").distinct(), shares, seed).select("split", F.concat("stem", F.lit(".png")).alias("value")).write.partitionBy("split").text(f"{path}/lists")
+
+
 def detection_labels(lines: DataFrame, key: str, path: str) -> None:
     """Columns key, line: a text of sorted lines for each key."""
     lines.groupBy(key).agg(F.concat_ws("\n", F.sort_array(F.collect_list("line"))).alias("value")).write.partitionBy(key).text(path)
