@@ -106,8 +106,11 @@ def test_packing_keeps_all_limits():
 def test_packing_of_instruction_data(spark):
     df = spark.createDataFrame([(1, [5, 6, 7], [False, True, True]), (2, [8], None), (3, None, None), (4, [1, 2], [True])], "id long, ids array<int>, loss array<boolean>")
     rows = packing.pack_examples(df, packing.Limits(4, 2, 3)).collect()
-    assert sorted((r.id, r.length, r.loss_tokens) for r in rows if r.id != 4) == sorted((r.id, r.length, r.loss_tokens) for r in rows if r.id != 4)
-    assert sum(r.length for r in rows) == 6 and sum(r.loss_tokens for r in rows) == 5
+    assert {(r.id, sum(x.length for x in rows if x.id == r.id), sum(x.loss_tokens for x in rows if x.id == r.id)) for r in rows} == {(1, 3, 2), (2, 1, 1), (4, 2, 2)}
+    by = collections.defaultdict(list)
+    for r in rows:
+        by[r.sequence_id].append(r)
+    assert all(sum(r.length for r in x) <= 4 and len(x) <= 2 and sum(r.loss_tokens for r in x) <= 3 for x in by.values())
 
 
 # 2 SimHash
@@ -417,7 +420,7 @@ def test_fingerprints(docs, none, spark):
     rows = fingerprint.fingerprint_report(docs).collect()
     assert len(rows) == docs.count() and fingerprint.fingerprint_report(none).count() == 0
     one = fingerprint.fingerprint_report(docs.filter("doc_id = 3")).first()
-    assert one.near_next == 1.0 and one.edited_sha256 == hashlib.sha256(b"neo"[1:2] + b"n" + b"o").hexdigest() or one.n_chars == 3
+    assert (one.n_chars, one.near_next, one.edited_sha256) == (3, 1.0, hashlib.sha256(b"ono").hexdigest())  # it is its own next
     simple = [(i, t) for i, t in sorted(((i, t) for i, t in body(docs) if i is not None and i != 11 and i > 11), key=lambda x: x[0])]
     got = {r.doc_id: r for r in rows}
     for (i, t), (_, nxt) in zip(simple, simple[1:]):
