@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -85,8 +83,7 @@ def test_assignment(spark):
     cuts = spark.createDataFrame([("s", 0, "c0", 0, 0, 100, 100), ("s", 1, "c1", 90, 0, 200, 100)], "stem string, cut_index int, cut_name string, x0 long, y0 long, x1 long, y1 long")
     rows = [("s", "in0", pts(*square(10, 10, 10))), ("s", "both", pts(*square(85, 10, 20))), ("s", "vertex", pts((50, 90), (50, 300), (60, 300))), ("s", "none", pts(*square(500, 500, 5))), ("x", "no cut", pts((1, 1)))]
     got = {r.id: (r.cut_index, r.method) for r in spatial.assign_to_cuts(spark.createDataFrame(rows, f"stem string, id string, ring {R}"), cuts).collect()}
-    assert got == {"in0": (0, "centroid_in_bbox"), "both": (0, "largest_overlap"), "vertex": (0, "vertex_in_bbox"), "none": (None, "unassigned"), "no cut": (None, "unassigned")} or got["both"][0] in (0, 1)
-    assert got["vertex"] == (0, "vertex_in_bbox") and got["none"] == (None, "unassigned")
+    assert got == {"in0": (0, "centroid_in_bbox"), "both": (0, "largest_overlap"), "vertex": (0, "vertex_in_bbox"), "none": (None, "unassigned"), "no cut": (None, "unassigned")}
 
 
 def test_ring_functions(spark):
@@ -176,4 +173,3 @@ def test_strict_review_join(spark):
     with pytest.raises(Exception, match="don't match"):
         review.strict_join(t, bad).collect()
     assert {(r.tile_id, r.reason) for r in review.join_breaks(t, bad).collect()} == {("a", "other display index"), ("b", "tile without label")}
-    assert math.isfinite(1.0)
