@@ -26,7 +26,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.common import binary, column, fresh, if_small, kept, numbered, remove, slices, written
@@ -37,12 +37,14 @@ from tessella.llm.simhash import fingerprints, linked
 TENTHS, BITS = 8, 3
 #: Rows that are counted for the order, about, at any size; rows of the sample that make a shingle frequent; frequent shingles, at most.
 SAMPLE, FREQUENT, MOST = 20_000, 3, 500_000
+#: The share of the sample's rows from which a shingle is hot, and the parts of its list.
+HOT, PARTS = 0.01, 64
 #: Members of a list, about, that are compared with as many others in one group of the last join.
 BLOCK = 1000
 
 
 #: Members of a list that the others meet in one turn; turns at most; pairs that are left for each entry of a list, before all are compared.
-LEADERS, TURNS, MANY = 8, 6, 20
+LEADERS, TURNS, MANY = 8, 6, 1 / 4
 
 SETS = pa.schema([("row", pa.int64()), ("n", pa.int32()), ("grams", pa.list_(pa.int64()))])
 
@@ -83,15 +85,16 @@ def shingle_sets(rows: DataFrame, words: int, last=None) -> DataFrame:
     return rows.select("row", "text").mapInArrow(run, "row long, n int, grams array<long>")
 
 
-def _frequent(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that several rows of the sample have, ascending, and their ranks from 1, the most frequent last."""
-    share = min(1.0, SAMPLE / max(1, rows.count()))
+def _frequent(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shingles that several rows of the sample have, ascending, their ranks from 1, the most frequent last, and those of a HOT share of rows."""
+    n = rows.count()
+    share = min(1.0, SAMPLE / max(1, n))
     sample = rows.filter(F.pmod(F.xxhash64("row"), F.lit(1 << 20)) < int(share * (1 << 20)))
     counts = shingle_sets(sample, words).select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= FREQUENT)
     found = counts.orderBy(F.desc("c"), "gram").limit(MOST).toArrow()
     keys = found["gram"].to_numpy()
     by = np.argsort(keys)
-    return keys[by], len(keys) - by
+    return keys[by], len(keys) - by, keys[found["c"].to_numpy() >= max(FREQUENT, HOT * share * n)]
 
 
 def _enough(shared: Column, na: Column, nb: Column) -> Column:
@@ -143,11 +146,16 @@ def near_links(rows: DataFrame, words: int, paths: list[str]) -> DataFrame:
     sure = _verified(fingerprint_pairs(rows, words, paths), rows, words, paths)
     groups = written(connected_components(sure), "groups", paths)
     root = lambda df, k: df.join(if_small(groups.select(F.col("node").alias(k), F.col("root").alias(f"root_{k}"))), k, "left").withColumn(f"root_{k}", F.coalesce(f"root_{k}", k))
-    last = rows.sparkSession.sparkContext.broadcast(_frequent(rows, words))  # MOST shingles at most
+    keys, ranks, often = _frequent(rows, words)
+    last = rows.sparkSession.sparkContext.broadcast((keys, ranks))  # MOST shingles at most
     listed = shingle_sets(rows, words, last).select("row", "n", F.posexplode("grams").alias("at", "gram"))
-    # sums on the map side, so that a shingle of very many rows is one row of each task
-    led = listed.groupBy("gram").agg(F.min(F.struct("row", "n", "at")).alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("gram", "first")
-    listed = written(listed.join(led, "gram").select("row", "n", "at", "gram", "first"), "listed", paths)
+    # a hot shingle's list is dealt to parts, each with a first row of its own; what parts leave apart is compared below
+    hot = F.broadcast(rows.sparkSession.createDataFrame([(int(k),) for k in often], "gram long").withColumn("hot", F.lit(True)))
+    listed = listed.join(hot, "gram", "left").withColumn("part", F.when(F.col("hot"), F.pmod(F.xxhash64("row"), F.lit(PARTS))).otherwise(0))
+    of = Window.partitionBy("gram", "part")
+    led = F.min(F.struct("row", "n", "at")).over(of)
+    listed = listed.select("row", "n", "at", "gram", "hot", led.alias("first"), F.count(F.lit(1)).over(of).alias("c")).filter("c > 1 OR hot")
+    listed = written(listed.select("row", "n", "at", "gram", "first"), "listed", paths)
     # what follows a shared shingle bounds what two sets can share, if it is their first; at their first it always passes
     fits = lambda na, ia, nb, ib: _enough(F.least(na - ia, nb - ib), na, nb)
     c = F.col
