@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -27,6 +28,6 @@ def test_against_sql(spark, name):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got, want = entry.queries()[name](spark, SF).toPandas(), con.execute(entry.oracle_sql()[name]).df()
     assert sorted(got.columns) == sorted(want.columns) and len(got) == len(want)
-    plain = lambda x: tuple(map(plain, x)) if hasattr(x, "__len__") and not isinstance(x, str) else None if x is None or x != x else round(float(x), 5) if isinstance(x, (int, float)) or hasattr(x, "dtype") else x
+    plain = lambda x: tuple(map(plain, x)) if hasattr(x, "__len__") and not isinstance(x, str) else None if x is None or x is pd.NA or x != x else round(float(x), 5) if isinstance(x, (int, float)) or hasattr(x, "dtype") else x
     rows = lambda df: collections.Counter(tuple(map(plain, r)) for r in df[sorted(want.columns)].astype(object).itertuples(index=False))
     assert rows(got) == rows(want)
