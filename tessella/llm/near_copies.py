@@ -2,7 +2,10 @@
 
 First come the pairs that the vantage-point trees of ``simhash`` link, by
 fingerprints of the same shingles; each is verified on the whole sets, so that
-like fingerprints alone never remove a document.  No fingerprint radius finds
+like fingerprints alone never remove a document.  A pair's sets are only read if
+their parities allow it: shingles are dealt to 512 bits, and a bit tells whether a
+set has an odd number of its own, so two sets differ in at least as many shingles
+as their parities in bits.  No fingerprint radius finds
 every pair of that similarity, so what the trees leave apart is completed by
 prefix filtering: with all shingles in one order, two sets that reach the
 similarity share one among the first ``n - ceil(0.8 n) + 1`` shingles of each.
@@ -46,7 +49,10 @@ BLOCK = 1000
 #: Members of a list that the others meet in one turn; turns at most; pairs that are left for each entry of a list, before all are compared.
 LEADERS, TURNS, MANY = 8, 6, 1 / 4
 
-SETS = pa.schema([("row", pa.int64()), ("n", pa.int32()), ("grams", pa.list_(pa.int64()))])
+#: Longs of a set's parities.
+LONGS = 8
+
+SETS = pa.schema([("row", pa.int64()), ("n", pa.int32()), ("odd", pa.list_(pa.int64())), ("grams", pa.list_(pa.int64()))])
 
 
 def shingles(text: bytes, words: int = 5) -> np.ndarray:
@@ -61,15 +67,22 @@ def shingles(text: bytes, words: int = 5) -> np.ndarray:
     return np.unique(np.array([hashed(joined[a:b], 42) for a, b in zip(begins.tolist(), ends[words - 1 :].tolist())], dtype=np.uint64).view(np.int64))
 
 
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """For each bit whether an odd number of shingles falls to it, as LONGS numbers."""
+    counts = np.bincount(shingles & (64 * LONGS - 1), minlength=64 * LONGS)
+    return np.packbits((counts & 1).astype(bool), bitorder="little").view("<i8")
+
+
 def shingle_sets(rows: DataFrame, words: int, last=None) -> DataFrame:
-    """Columns row, text to row, n, grams: all shingles, or with ``last`` (a broadcast of frequent shingles and their
-    ranks) the prefix that a similar set must meet, in order."""
+    """Columns row, text to row, n, odd, grams: the parities of the set, and all shingles, or with ``last`` (a broadcast of
+    frequent shingles and their ranks) the prefix that a similar set must meet, in order."""
 
     def run(batches):
         kept("near_copies")
         for part in slices(batches):
             sets = [shingles(t, words) for t in binary(part, "text")]
             sizes = [len(s) for s in sets]
+            odd = np.concatenate([parities(s) for s in sets])
             if last is not None:
                 keys, ranks = last.value
                 flat = np.concatenate(sets)
@@ -80,9 +93,10 @@ def shingle_sets(rows: DataFrame, words: int, last=None) -> DataFrame:
                     sets[k] = s[np.argsort(rank[end - n : end], kind="stable")][: n - -(-TENTHS * n // 10) + 1]
             offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
             grams = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))
-            yield pa.RecordBatch.from_arrays([column(part, "row"), pa.array(sizes, pa.int32()), grams], schema=SETS)
+            odds = pa.ListArray.from_arrays(pa.array(np.arange(0, len(odd) + 1, LONGS, dtype=np.int32)), pa.array(odd))
+            yield pa.RecordBatch.from_arrays([column(part, "row"), pa.array(sizes, pa.int32()), odds, grams], schema=SETS)
 
-    return rows.select("row", "text").mapInArrow(run, "row long, n int, grams array<long>")
+    return rows.select("row", "text").mapInArrow(run, "row long, n int, odd array<long>, grams array<long>")
 
 
 def _frequent(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -112,10 +126,19 @@ def _similar(pairs: DataFrame, rows: DataFrame, words: int, paths: list[str]) ->
     return both.filter(_enough(shared, F.col("na"), F.col("nb"))).select("a", "b")
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, words: int, paths: list[str]) -> DataFrame:
-    """``_similar``, written; the sets go at once."""
+def _possible(pairs: DataFrame, odds: DataFrame) -> DataFrame:
+    """Those pairs (a, b) whose parities leave room for the similarity; no near copies are lost."""
+    side = lambda k: odds.select(F.col("row").alias(k), F.col("n").alias(f"n{k}"), *[F.col("odd")[i].alias(f"{k}{i}") for i in range(LONGS)])
+    both = pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a")
+    differ = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(LONGS)), F.lit(0))
+    total = F.col("na").cast("long") + F.col("nb")
+    return both.filter((10 + TENTHS) * (total - differ) >= 2 * TENTHS * total).select("a", "b")
+
+
+def _verified(pairs: DataFrame, odds: DataFrame, rows: DataFrame, words: int, paths: list[str]) -> DataFrame:
+    """``_similar`` of what is possible, written; the sets go at once."""
     own: list[str] = []
-    out = written(_similar(written(pairs, "pairs", own), rows, words, own), "links", paths)
+    out = written(_similar(written(_possible(pairs, odds), "pairs", own), rows, words, own), "links", paths)
     remove(rows.sparkSession, *own)
     return out
 
@@ -143,12 +166,15 @@ def near_links(rows: DataFrame, words: int, paths: list[str]) -> DataFrame:
     ``rows`` has row (long, unique) and text, and should be a written table;
     ``paths`` gets the folders of the tables that are written on the way.
     """
-    sure = _verified(fingerprint_pairs(rows, words, paths), rows, words, paths)
-    groups = written(connected_components(sure), "groups", paths)
-    root = lambda df, k: df.join(if_small(groups.select(F.col("node").alias(k), F.col("root").alias(f"root_{k}"))), k, "left").withColumn(f"root_{k}", F.coalesce(f"root_{k}", k))
     keys, ranks, often = _frequent(rows, words)
     last = rows.sparkSession.sparkContext.broadcast((keys, ranks))  # MOST shingles at most
-    listed = shingle_sets(rows, words, last).select("row", "n", F.posexplode("grams").alias("at", "gram"))
+    begun: list[str] = []
+    prefixes = written(shingle_sets(rows, words, last), "begun", begun)
+    odds = written(prefixes.select("row", "n", "odd"), "odds", paths)
+    sure = _verified(fingerprint_pairs(rows, words, paths), odds, rows, words, paths)
+    groups = written(connected_components(sure), "groups", paths)
+    root = lambda df, k: df.join(if_small(groups.select(F.col("node").alias(k), F.col("root").alias(f"root_{k}"))), k, "left").withColumn(f"root_{k}", F.coalesce(f"root_{k}", k))
+    listed = prefixes.select("row", "n", F.posexplode("grams").alias("at", "gram"))
     # a hot shingle's list is dealt to parts, each with a first row of its own; what parts leave apart is compared below
     hot = F.broadcast(rows.sparkSession.createDataFrame([(int(k),) for k in often], "gram long").withColumn("hot", F.lit(True)))
     listed = listed.join(hot, "gram", "left").withColumn("part", F.when(F.col("hot"), F.pmod(F.xxhash64("row"), F.lit(PARTS))).otherwise(0))
@@ -156,13 +182,14 @@ def near_links(rows: DataFrame, words: int, paths: list[str]) -> DataFrame:
     led = F.min(F.struct("row", "n", "at")).over(of)
     listed = listed.select("row", "n", "at", "gram", "hot", led.alias("first"), F.count(F.lit(1)).over(of).alias("c")).filter("c > 1 OR hot")
     listed = written(listed.select("row", "n", "at", "gram", "first"), "listed", paths)
+    remove(rows.sparkSession, *begun)
     # what follows a shared shingle bounds what two sets can share, if it is their first; at their first it always passes
     fits = lambda na, ia, nb, ib: _enough(F.least(na - ia, nb - ib), na, nb)
     c = F.col
     stars = listed.filter((c("row") != c("first.row")) & fits(c("first.n"), c("first.at"), c("n"), c("at")))
     stars = root(root(stars.select(c("first.row").alias("a"), c("row").alias("b")).distinct(), "a"), "b")
     stars = written(stars.filter("root_a <> root_b").select("a", "b"), "stars", paths)
-    links = sure.unionByName(_verified(stars, rows, words, paths))
+    links = sure.unionByName(_verified(stars, odds, rows, words, paths))
     # the more of a set's prefix others share, the nearer it is to what a group of copies comes from
     share = written(listed.groupBy("row").agg((F.count(F.lit(1)) / F.first("n")).alias("share")), "share", paths)
     most, before, gone = MANY * listed.count(), None, []
@@ -180,10 +207,10 @@ def near_links(rows: DataFrame, words: int, paths: list[str]) -> DataFrame:
         led = apart.groupBy("gram").agg(F.array_distinct(F.array(*picks)).alias("led"), (F.min("root") != F.max("root")).alias("several")).filter("several")
         met = F.filter("led", lambda x: (x["root"] != c("root")) & fits(x["n"], x["at"], c("n"), c("at")))
         met = apart.join(led, "gram").select("row", F.explode(met).alias("x")).select(F.least("row", "x.row").alias("a"), F.greatest("row", "x.row").alias("b"))
-        links = links.unionByName(_verified(met.distinct(), rows, words, paths))
+        links = links.unionByName(_verified(met.distinct(), odds, rows, words, paths))
     paths += gone
     pairs = written(_apart_pairs(apart, fits).distinct(), "open", paths)
-    return links.unionByName(_verified(pairs.join(stars, ["a", "b"], "left_anti"), rows, words, paths))
+    return links.unionByName(_verified(pairs.join(stars, ["a", "b"], "left_anti"), odds, rows, words, paths))
 
 
 def _apart_pairs(apart: DataFrame, fits) -> DataFrame:

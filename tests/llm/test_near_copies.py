@@ -107,3 +107,19 @@ def test_suffix_stage_s_rows(spark, tmp_path):
     out = c.suffix_array_dedup(spark, spark.createDataFrame(rows, SCHEMA), str(tmp_path))
     assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert sorted(map(tuple, out.collect()), key=str) == [rows[0], (3, "two three", None, "s", 9), rows[3], rows[4], rows[5], (7, "\x85", "x", "s", 1)]
+
+
+def test_parities_never_rule_out_near_copies():
+    """Sets differ in at least as many shingles as their parities in bits, and unlike texts of usual length are ruled out."""
+    import numpy as np
+
+    rows = planted(11)
+    sets = [near_copies.shingles((r[1] or "").encode()) for r in rows]
+    odds = [near_copies.parities(s) for s in sets]
+    ruled_out = 0
+    for i in range(len(rows)):
+        for j in range(i):
+            bits = int(np.bitwise_count((odds[i] ^ odds[j]).view(np.uint64)).sum())
+            assert bits <= len(np.setxor1d(sets[i], sets[j]))
+            ruled_out += 9 * bits > len(sets[i]) + len(sets[j])
+    assert ruled_out > 0.5 * len(rows) * (len(rows) - 1) / 2
