@@ -19,6 +19,15 @@ def sizes_table(spark, sizes: list[int], overlap: float) -> DataFrame:
     return spark.createDataFrame([(s, stride_of(s, overlap)) for s in sizes], "tile_size int, stride int")
 
 
+def exchanged(df: DataFrame) -> DataFrame:
+    """``df`` for a join that sorts and merges both sides: cuts and tiles are as many as the table has.
+
+    Spark takes exploded rows to be as few as those before, and compressed columns
+    to be as small as their file, so it would send a large table whole through the driver.
+    """
+    return df.hint("merge")
+
+
 def tile_grid(cuts: DataFrame, sizes: list[int], overlap: float = 0.2, stop_at_edge: bool = False) -> DataFrame:
     """Columns cut_name, width, height to one row for each tile, with its clipped box and padding.
 

@@ -23,7 +23,7 @@ BOX = ["x0", "y0", "x1", "y1"]
 def centred(points: DataFrame, cuts: DataFrame, size: int) -> DataFrame:
     """For each point (cut_name, id, cx, cy) the tile around it, moved into its cut, and clipped where the cut is smaller: cut_name, id, box."""
     at = lambda c, extent: F.least(F.greatest(F.bround(F.col(c) - size / 2).cast("long"), F.lit(0)), F.greatest(F.col(extent).cast("long") - size, F.lit(0)))
-    rows = points.join(cuts.select("cut_name", "width", "height"), "cut_name").withColumns({"x0": at("cx", "width"), "y0": at("cy", "height")})
+    rows = points.join(grid.exchanged(cuts.select("cut_name", "width", "height")), "cut_name").withColumns({"x0": at("cx", "width"), "y0": at("cy", "height")})
     rows = rows.withColumns({"x1": F.least(F.col("x0") + size, F.col("width").cast("long")), "y1": F.least(F.col("y0") + size, F.col("height").cast("long"))})
     return rows.select("cut_name", "id", *BOX)
 

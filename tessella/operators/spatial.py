@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from tessella.functions import rings
 from tessella.operators.geometry import even_odd_area
-from tessella.operators.grid import candidate_cells, stride_of
+from tessella.operators.grid import candidate_cells, exchanged, stride_of
 from tessella.operators.polygon_area import batch_areas, clip_ring, covered_area
 from tessella.session import can_checkpoint
 
@@ -38,8 +38,8 @@ def _cells(df: DataFrame, sizes: list[int], overlap: float, low: tuple[str, str]
 
 def points_in_tiles(tiles: DataFrame, points: DataFrame, cuts: DataFrame, sizes: list[int], overlap: float = 0.2) -> DataFrame:
     """Pairs of tiles and points (cut_name, cx, cy and more) inside or on the border of their box."""
-    at = _cells(points.join(cuts.select("cut_name", "width", "height"), "cut_name"), sizes, overlap, ("cx", "cy"), ("cx", "cy")).drop("width", "height")
-    found = tiles.join(at, CELL)
+    at = _cells(points.join(exchanged(cuts.select("cut_name", "width", "height")), "cut_name"), sizes, overlap, ("cx", "cy"), ("cx", "cy")).drop("width", "height")
+    found = exchanged(tiles).join(at, CELL)
     return found.filter(F.col("cx").between(F.col("x0"), F.col("x1")) & F.col("cy").between(F.col("y0"), F.col("y1")))
 
 
@@ -47,15 +47,15 @@ def tiles_with_points(tiles: DataFrame, points: DataFrame, cuts: DataFrame, size
     """Every tile with the number of points in it and their distinct stages."""
     found = points_in_tiles(tiles, points, cuts, sizes, overlap)
     counts = found.groupBy(*CELL).agg(F.count(F.lit(1)).alias("n_points"), F.sort_array(F.collect_set("stage")).alias("stages"))
-    return tiles.join(counts, CELL, "left").withColumn("n_points", F.coalesce("n_points", F.lit(0).cast("long")))
+    return exchanged(tiles).join(counts, CELL, "left").withColumn("n_points", F.coalesce("n_points", F.lit(0).cast("long")))
 
 
 def tiles_without_points(tiles: DataFrame, points: DataFrame, cuts: DataFrame, sizes: list[int], overlap: float, buffer: float) -> DataFrame:
     """Tiles that no point comes nearer than ``buffer``, in either direction, border included."""
-    wide = points.join(cuts.select("cut_name", "width", "height"), "cut_name").withColumns({"__x0": F.col("cx") - buffer, "__x1": F.col("cx") + buffer, "__y0": F.col("cy") - buffer, "__y1": F.col("cy") + buffer})
+    wide = points.join(exchanged(cuts.select("cut_name", "width", "height")), "cut_name").withColumns({"__x0": F.col("cx") - buffer, "__x1": F.col("cx") + buffer, "__y0": F.col("cy") - buffer, "__y1": F.col("cy") + buffer})
     at = _cells(wide, sizes, overlap, ("__x0", "__y0"), ("__x1", "__y1")).select(*CELL, "cx", "cy")
-    near = tiles.join(at, CELL).filter(F.col("cx").between(F.col("x0") - buffer, F.col("x1") + buffer) & F.col("cy").between(F.col("y0") - buffer, F.col("y1") + buffer))
-    return tiles.join(near.select(*CELL).distinct(), CELL, "left_anti")
+    near = exchanged(tiles).join(at, CELL).filter(F.col("cx").between(F.col("x0") - buffer, F.col("x1") + buffer) & F.col("cy").between(F.col("y0") - buffer, F.col("y1") + buffer))
+    return exchanged(tiles).join(near.select(*CELL).distinct(), CELL, "left_anti")
 
 
 #: Edges of a strip of a tile, about; a tile with more is cut into so many strips of equal height.
@@ -122,14 +122,14 @@ def tile_coverage(tiles: DataFrame, outlines: DataFrame, cuts: DataFrame, sizes:
     even-odd rule for each; a degenerate box is an error, as are holes, which a
     single ring can't have.
     """
-    marked = _marked(outlines, "cut_name").join(cuts.select("cut_name", "width", "height"), "cut_name")
+    marked = _marked(outlines, "cut_name").join(exchanged(cuts.select("cut_name", "width", "height")), "cut_name")
     at = _cells(marked, sizes, overlap, ("__x0", "__y0"), ("__x1", "__y1"))
     crowded = _cells(marked.drop("__ring"), sizes, overlap, ("__x0", "__y0"), ("__x1", "__y1")).groupBy(*CELL).agg(F.sum("__n").alias("__n")).filter(F.col("__n") > STRIP_EDGES)
     crowded = crowded.select(*CELL, F.ceil(F.col("__n") / STRIP_EDGES).cast("int").alias("__strips"))
-    near = at.drop("width", "height").join(tiles.select(*CELL, "x0", "y0", "x1", "y1"), CELL).filter("__x0 < x1 AND __x1 > x0 AND __y0 < y1 AND __y1 > y0")
+    near = at.drop("width", "height").join(exchanged(tiles.select(*CELL, "x0", "y0", "x1", "y1")), CELL).filter("__x0 < x1 AND __x1 > x0 AND __y0 < y1 AND __y1 > y0")
     box = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
     share = F.least(F.lit(1.0), F.coalesce("__area", F.lit(0.0)) / box)
-    return tiles.join(_covered(near, crowded, CELL), CELL, "left").withColumn("area_fraction", F.when(box <= 0, F.raise_error(F.lit("a tile without area")).cast("double")).otherwise(share)).drop("__area")
+    return exchanged(tiles).join(_covered(near, crowded, CELL), CELL, "left").withColumn("area_fraction", F.when(box <= 0, F.raise_error(F.lit("a tile without area")).cast("double")).otherwise(share)).drop("__area")
 
 
 def covered_share(outlines: DataFrame, cuts: DataFrame) -> DataFrame:
@@ -138,8 +138,8 @@ def covered_share(outlines: DataFrame, cuts: DataFrame) -> DataFrame:
     crowded = marked.groupBy("cut_name").agg(F.sum("__n").alias("__n")).filter(F.col("__n") > STRIP_EDGES).select("cut_name", F.ceil(F.col("__n") / STRIP_EDGES).cast("int").alias("__strips"))
     zero = F.lit(0.0)
     whole = cuts.select("cut_name", zero.alias("x0"), zero.alias("y0"), F.col("width").cast("double").alias("x1"), F.col("height").cast("double").alias("y1"))
-    near = marked.join(whole, "cut_name").filter("__x0 < x1 AND __x1 > x0 AND __y0 < y1 AND __y1 > y0")
-    full = cuts.join(_covered(near, crowded, ["cut_name"]), "cut_name", "left")
+    near = marked.join(exchanged(whole), "cut_name").filter("__x0 < x1 AND __x1 > x0 AND __y0 < y1 AND __y1 > y0")
+    full = exchanged(cuts).join(_covered(near, crowded, ["cut_name"]), "cut_name", "left")
     return full.select(*cuts.columns, (F.coalesce("__area", zero) / (F.col("width") * F.col("height"))).alias("covered_share"))
 
 
@@ -151,8 +151,8 @@ def clipped_instances(tiles: DataFrame, outlines: DataFrame, cuts: DataFrame, si
     others = [c for c in outlines.columns if c not in ("cut_name", "id", "ring")]
     b = rings.bounds(F.col("ring"))
     boxed = outlines.select("cut_name", "id", "ring", *others, b.alias("b")).select("cut_name", "id", "ring", *others, "b.*").withColumnsRenamed({"x0": "__x0", "y0": "__y0", "x1": "__x1", "y1": "__y1"})
-    at = _cells(boxed.join(cuts.select("cut_name", "width", "height"), "cut_name"), sizes, overlap, ("__x0", "__y0"), ("__x1", "__y1")).drop("width", "height")
-    found = tiles.join(at, CELL).filter("__x0 < x1 AND __x1 > x0 AND __y0 < y1 AND __y1 > y0")
+    at = _cells(boxed.join(exchanged(cuts.select("cut_name", "width", "height")), "cut_name"), sizes, overlap, ("__x0", "__y0"), ("__x1", "__y1")).drop("width", "height")
+    found = exchanged(tiles).join(at, CELL).filter("__x0 < x1 AND __x1 > x0 AND __y0 < y1 AND __y1 > y0")
     whole = (F.col("__x0") >= F.col("x0")) & (F.col("__x1") <= F.col("x1")) & (F.col("__y0") >= F.col("y0")) & (F.col("__y1") <= F.col("y1"))
     inner = found.filter(whole).withColumn("clip", F.col("ring"))
     found = inner.unionByName(found.filter(~whole).withColumn("clip", clip_ring("ring", "x0", "y0", "x1", "y1").cast(RING)))
