@@ -145,8 +145,21 @@ def in_both(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 
 
 def decimals(value: Column | str, places: int) -> Column:
-    """A number with so many places, rounded by its exact binary value, as Python and C do; ``format_string`` rounds its shortest decimal."""
-    return F.replace(F.format_number(value, places), F.lit(","), F.lit(""))
+    """A number with so many places, rounded by its exact binary value, as Python and C do.
+
+    ``format_string`` rounds its shortest decimal, and ``format_number`` does so too where the first digit decides, as in
+    0.0005: on which side of such a tie the binary value lies is computed here, in products that lose no bit.
+    """
+    x = (F.col(value) if isinstance(value, str) else value).cast("double")
+    twice = 2.0 * 10**places
+    size = F.abs(x)
+    half = F.rint(size * twice)
+    high = size.cast("float").cast("double")
+    off = (high * twice - half) + (size - high) * twice
+    side = F.when(off > 0, half + 1).otherwise(half - 1) / twice
+    tie = (size < 1e9) & (half % 2 == 1) & (size == half / twice) & (off != 0)
+    exact = F.when(tie, F.when(x < 0, -side).otherwise(side)).otherwise(x)
+    return F.replace(F.format_number(exact, places), F.lit(","), F.lit(""))
 
 
 def interval_text(value: str, low: str, high: str) -> Column:
