@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import labels as lab
@@ -33,6 +33,12 @@ def r6(*columns: str) -> list:
     return [F.round(c, 6).alias(c) for c in columns]
 
 
+def rounded(value: Column, places: int) -> Column:
+    """``value`` with so many places; what rounds to zero keeps its sign, which ``round`` drops."""
+    out = F.round(value, places)
+    return F.when(out == 0, value * F.lit(0)).otherwise(out)
+
+
 def of(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     return V.view(spark, sf_dir, text)
 
@@ -691,13 +697,13 @@ def json_fields(spark, sf_dir):
 @query("SELECT vec_id, [round((embedding[i]::DOUBLE + embedding[i + 16]::DOUBLE + embedding[i + 32]::DOUBLE + embedding[i + 48]::DOUBLE) / 4, 6) FOR i IN range(1, 17)] AS pooled FROM {embeddings}")
 def pool_mean(spark, sf_dir):
     e = of(spark, sf_dir, "SELECT vec_id, embedding FROM {embeddings}")
-    return e.select("vec_id", F.transform(embeddings.pooled(embeddings.sub_vectors(F.col("embedding"), 4, 16), 16), lambda v: F.round(v, 6)).alias("pooled"))
+    return e.select("vec_id", F.transform(embeddings.pooled(embeddings.sub_vectors(F.col("embedding"), 4, 16), 16), lambda v: rounded(v, 6)).alias("pooled"))
 
 
 @query("SELECT vec_id, [round(greatest(embedding[i], embedding[i + 16], embedding[i + 32], embedding[i + 48])::DOUBLE, 6) FOR i IN range(1, 17)] AS pooled FROM {embeddings}")
 def pool_max(spark, sf_dir):
     e = of(spark, sf_dir, "SELECT vec_id, embedding FROM {embeddings}")
-    return e.select("vec_id", F.transform(embeddings.pooled(embeddings.sub_vectors(F.col("embedding"), 4, 16), 16, "max"), lambda v: F.round(v, 6)).alias("pooled"))
+    return e.select("vec_id", F.transform(embeddings.pooled(embeddings.sub_vectors(F.col("embedding"), 4, 16), 16, "max"), lambda v: rounded(v, 6)).alias("pooled"))
 
 
 @query("SELECT concat('t', vec_id) AS tile_id, CASE WHEN vec_id % 5 = 0 THEN 'missing' ELSE 'other path' END AS reason FROM {embeddings} WHERE vec_id % 5 = 0 OR vec_id % 7 = 0")
