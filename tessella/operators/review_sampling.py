@@ -49,6 +49,7 @@ def passing(candidates: DataFrame, key: str, n: int, seed: int, measure: Callabl
     Each block that is measured is twice as large as what still lacks.
     """
     can_checkpoint(candidates.sparkSession)
+    candidates = candidates.checkpoint()  # a ranking reads it three times, and repeats the key's expression in its own
     order = ranked(candidates, [hash_order(seed, F.col(key)), F.col(key)], name="__k").checkpoint()
     found, have, done, total = None, 0, 0, order.count()
     while have < n and done < total:
@@ -83,8 +84,9 @@ def session_tiles(points: DataFrame, cuts: DataFrame, sizes: list[int], n_positi
     """
     if not sizes or min(sizes) < 1 or n_positive < 1 or n_negative < 1 or not 0 <= least <= 1 or buffer < 0:
         raise ValueError("a session needs sizes, tiles of both kinds, a tissue share in [0, 1] and a buffer that isn't negative")
-    points = points.select("cut_name", F.col("id").cast("string").alias("id"), "cx", "cy")
-    cuts = cuts.select("cut_name", "width", "height").join(points.select("cut_name").distinct(), "cut_name", "left_semi")
+    can_checkpoint(points.sparkSession)
+    points = points.select("cut_name", F.col("id").cast("string").alias("id"), "cx", "cy").checkpoint()  # every size and kind reads them
+    cuts = cuts.select("cut_name", "width", "height").join(points.select("cut_name").distinct(), "cut_name", "left_semi").checkpoint()
     out = None
     for k, size in enumerate(sizes):
         both = positives(points, cuts, size, n_positive, seed + 2 * k, measure, least).unionByName(negatives(points, cuts, size, n_negative, seed + 2 * k + 1, measure, least, buffer))

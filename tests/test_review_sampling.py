@@ -108,3 +108,19 @@ def test_embedding_table(spark, tmp_path):
             E.open_table(spark, path, "enc", 512, tiles)
     finally:
         E.VERSION = monkey
+
+
+def test_candidates_are_made_once(spark):
+    """A ranking reads its rows several times, and on a join's plan that took the driver's memory."""
+    from tessella.operators import review_sampling
+
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(50).selectExpr("CAST(id AS STRING) AS id").mapInArrow(counted, "id string")
+    found = review_sampling.passing(rows, "id", 5, 1, lambda some: some.selectExpr("*", "1.0D AS tissue_fraction"), 0.2)
+    assert found.count() == 5 and made.value == 50
