@@ -155,16 +155,20 @@ def display_order(tiles: DataFrame, key: str, size: str, label: str, tries: int
     one conflict, with ``twice`` two.
     """
     at = tiles.select(session, key, size, label, F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("try"))
-    order = Window.partitionBy(session, "try").orderBy(F.md5(F.concat_ws(":", F.col("try").cast("string"), F.col(key).cast("string"))), key)
+    at = at.repartition(session, "try")  # before the order's hashes are made, which would be most of what is exchanged
+    seeded = [F.md5(F.concat_ws(":", F.col("try").cast("string"), F.col(key).cast("string"))), F.col(key)]
+    order = Window.partitionBy(session, "try").orderBy(*seeded)
     if twice:
         clash = F.coalesce(sum((F.col(c) == F.lag(c).over(order)).cast("int") for c in (size, label)), F.lit(0))
     else:
         same = [F.col(c).eqNullSafe(F.lag(c).over(order)) for c in (size, label)]
         clash = ((F.row_number().over(order) > 1) & (same[0] | same[1])).cast("int")
-    at = at.withColumns({"position": F.row_number().over(order), "clash": clash})
+    at = at.withColumn("clash", clash)
     best = at.groupBy(session, "try").agg(F.sum("clash").alias("conflicts")).groupBy(session).agg(F.min(F.struct("conflicts", "try")).alias("b"))
     best = best.select(session, F.col("b.try").alias("try"), F.col("b.conflicts").alias("conflicts"))
-    return at.join(best, [session, "try"]).select(session, key, "position", "conflicts")
+    # only the order that was found is made again
+    chosen = tiles.select(session, key).join(best, session)
+    return chosen.select(session, key, F.row_number().over(Window.partitionBy(session).orderBy(*seeded)).alias("position"), "conflicts")
 
 
 def paired_sample(df: DataFrame, by: str, flag: str, most: int, seed: int, key: str) -> DataFrame:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.functions import rings
-from tessella.operators import grid, review_sampling, spatial
+from tessella.operators import grid, review, review_sampling, sampling, spatial
 
 
 def plan(df):
@@ -34,3 +34,23 @@ def test_tiles_and_cuts_are_exchanged(tables, what):
     }[what]()
     found = plan(made)
     assert "SortMergeJoin" in found and "BroadcastExchange" not in found
+
+
+def test_cuts_of_annotations_are_exchanged(tables):
+    cuts, _, _, outlines = tables
+    boxes = cuts.select(F.col("cut_name").alias("stem"), F.lit(0).alias("cut_index"), "cut_name", F.lit(0).alias("x0"), F.lit(0).alias("y0"), F.col("width").alias("x1"), F.col("height").alias("y1"))
+    found = plan(spatial.assign_to_cuts(outlines.withColumnRenamed("cut_name", "stem"), boxes))
+    assert "SortMergeJoin" in found and "BroadcastExchange" not in found
+
+
+def test_orders_are_tried_once(spark):
+    """Only tries are exchanged 512-fold, once, and without their hashes."""
+    tiles = spark.range(40).selectExpr("id AS tile_id", "id % 3 AS tile_size", "id % 2 AS label", "id % 4 AS session")
+    found = plan(sampling.display_order(tiles, "tile_id", "tile_size", "label"))
+    assert found.count("Generate explode") == 1
+
+
+def test_frames_end_at_the_row(spark):
+    """A frame that begins behind each row costs the square of a session."""
+    rows = spark.range(40).selectExpr("id % 4 AS session", "id AS display_index", "CASE WHEN id % 3 > 0 THEN true END AS collaborator_label")
+    assert "RowFrame, 1, unboundedfollowing" not in plan(review.next_unlabelled(rows))
