@@ -49,9 +49,10 @@ def session_summary(df: DataFrame) -> DataFrame:
 
 def next_unlabelled(df: DataFrame, session: str = "session") -> DataFrame:
     """For each row the display index of the next one without a label, from the start again behind the last; null if all have one."""
-    order = Window.partitionBy(session).orderBy("display_index")
+    # walked backwards: a frame that begins behind each row would be read again for every row
+    order = Window.partitionBy(session).orderBy(F.desc("display_index"))
     open_ = F.when(F.col("collaborator_label").isNull(), F.col("display_index"))
-    after = F.first(open_, ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    after = F.last(open_, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
     start = F.min(open_).over(Window.partitionBy(session))
     return df.withColumn("next_index", F.coalesce(after, start))
 
