@@ -172,7 +172,7 @@ def assign_to_cuts(annotations: DataFrame, cuts: DataFrame) -> DataFrame:
     c = rings.vertex_centroid(F.col("ring"))
     marked = annotations.select("stem", "id", "ring", c.alias("c"), rings.bounds(F.col("ring")).alias("b"))
     box = F.struct("x0", "y0", "x1", "y1")
-    pairs = marked.join(cuts.select("stem", "cut_index", "cut_name", box.alias("box")), "stem", "left")
+    pairs = marked.join(exchanged(cuts.select("stem", "cut_index", "cut_name", box.alias("box"))), "stem", "left")
     inside = rings.in_box(F.col("c.x"), F.col("c.y"), F.col("box"))
     vertices = F.size(F.filter("ring", lambda p: rings.in_box(p["x"], p["y"], F.col("box"))))
     pairs = pairs.withColumns({"inside": F.coalesce(inside, F.lit(False)), "shared": rings.overlap_area(F.col("b"), F.col("box")), "vertices": F.coalesce(vertices, F.lit(0))})
