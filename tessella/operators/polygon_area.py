@@ -159,13 +159,90 @@ def batch_areas(batch: pa.RecordBatch) -> np.ndarray:
     return out
 
 
-@F.pandas_udf(T.DoubleType())
-def _covered(xs: pd.Series, ys: pd.Series, x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series) -> pd.Series:
-    out = []
-    for x, y, *box in zip(xs, ys, x0, y0, x1, y1):
-        parts = [np.stack((a, b), axis=1) for a, b in zip(x, y)] if x is not None else []
-        out.append(union_area(parts, *map(float, box)))
-    return pd.Series(out, dtype="float64")
+#: Points of a lone ring at most that is measured together with others of as many.
+SMALL = 12
+
+
+def rings_area(points: np.ndarray, within: np.ndarray) -> np.ndarray:
+    """Of many boxes with one ring of equally many points each, (boxes, points, 2): the area inside it by the even-odd rule, inside the box.
+
+    The slabs are those of ``edges_area``, some of them without height.
+    """
+    n, k = points.shape[:2]
+    out, size = np.zeros(n), max(1, CELLS // (k * (k + 2) * (k + 2)))
+    for t in range(0, n, size):
+        p, box = points[t : t + size], within[t : t + size, :, None]
+        q = np.roll(p, -1, axis=1)
+        d, gap = q - p, p[:, None] - p[:, :, None]
+        level = d[..., 1] == 0
+        with np.errstate(divide="ignore", invalid="ignore"):
+            cross = d[:, :, None, 0] * d[:, None, :, 1] - d[:, :, None, 1] * d[:, None, :, 0]
+            a = (gap[..., 0] * d[:, None, :, 1] - gap[..., 1] * d[:, None, :, 0]) / cross
+            b = (gap[..., 0] * d[:, :, None, 1] - gap[..., 1] * d[:, :, None, 0]) / cross
+            meet = (cross != 0) & (a >= 0) & (a <= 1) & (b >= 0) & (b <= 1) & ~level[:, :, None] & ~level[:, None, :]
+            met = np.where(meet, p[:, :, None, 1] + a * d[:, :, None, 1], box[:, 1:2]).reshape(len(p), -1)
+            s = (box[:, 0::2] - p[:, None, :, 0]) / d[:, None, :, 0]
+            sides = np.where((s >= 0) & (s <= 1) & (d[:, None, :, 0] != 0), p[:, None, :, 1] + s * d[:, None, :, 1], box[:, 1:2]).reshape(len(p), -1)
+            ys = np.sort(np.clip(np.concatenate((box[:, 1], box[:, 3], p[..., 1], met, sides), axis=1), box[:, 1], box[:, 3]), axis=1)
+            mid = ((ys[:, :-1] + ys[:, 1:]) / 2)[..., None]
+            spans = (p[:, None, :, 1] > mid) != (q[:, None, :, 1] > mid)
+            x = np.where(spans, p[:, None, :, 0] + (mid - p[:, None, :, 1]) / d[:, None, :, 1] * d[:, None, :, 0], np.inf)
+        x = np.clip(np.sort(x, axis=2), box[:, 0:1], box[:, 2:3])  # a ring is crossed an even number of times
+        width = (x[..., 1::2] - x[..., 0 : k // 2 * 2 : 2]).sum(axis=2)
+        out[t : t + size] = np.where((box[:, 2, 0] > box[:, 0, 0]) & (box[:, 3, 0] > box[:, 1, 0]), (width * np.diff(ys, axis=1)).sum(axis=1), 0.0)
+    return out
+
+
+def _nested(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A column of lists of lists of numbers: the numbers, the inner lists' offsets, and the rows' offsets among these; null lists are empty."""
+    lists = pc.coalesce(lists, pa.scalar([], lists.type))
+    inner = lists.flatten()
+    inner = pc.coalesce(inner, pa.scalar([], inner.type))
+    offsets = lambda a: np.concatenate(([0], np.cumsum(pc.list_value_length(a).to_numpy(zero_copy_only=False)))).astype(int)
+    return inner.flatten().to_numpy(zero_copy_only=False).astype(float), offsets(inner), offsets(lists)
+
+
+def many_areas(xs: pa.Array, ys: pa.Array, within: np.ndarray) -> np.ndarray:
+    """For each row the area of its box x0, y0, x1, y1 that its rings cover.
+
+    Rows whose rings are all upright rectangles, and those with one small ring,
+    are measured many at a time; any other is swept by itself.
+    """
+    x, ends, rows = _nested(xs)
+    points = np.stack((x, _nested(ys)[0]), axis=1)
+    sizes, owner = np.diff(ends), np.repeat(np.arange(len(rows) - 1), np.diff(rows))
+    usable = np.flatnonzero(sizes >= 3)
+    # a rectangle's two turns, as in ``spatial``: each side is level or upright
+    corner = np.minimum(ends[usable][:, None] + np.arange(5), max(0, len(points) - 1))
+    p = points[corner] if len(usable) else np.zeros((0, 5, 2))
+    turns = lambda a, c: (p[:, 0, a] == p[:, 1, a]) & (p[:, 1, c] == p[:, 2, c]) & (p[:, 2, a] == p[:, 3, a]) & (p[:, 3, c] == p[:, 0, c])
+    closed = (sizes[usable] == 4) | (sizes[usable] == 5) & (p[:, 4] == p[:, 0]).all(axis=1)
+    upright = closed & (turns(0, 1) | turns(1, 0))
+    boxes = np.concatenate((p[:, :4].min(axis=1), p[:, :4].max(axis=1)), axis=1)
+    n = np.bincount(owner[usable], minlength=len(within))
+    first = np.concatenate(([0], np.cumsum(n)))[:-1]
+    known = ~np.isnan(within).any(axis=1)
+    plain = known & (n > 0) & (np.bincount(owner[usable], weights=~upright, minlength=len(within)) == 0)
+    out = np.zeros(len(within))
+    for k in np.unique(n[plain]):
+        at = np.flatnonzero(plain & (n == k))
+        out[at] = boxes_area(boxes[first[at][:, None] + np.arange(k)], within[at])
+    alone = np.zeros(len(within), dtype=int)
+    lone = np.flatnonzero(known & ~plain & (n == 1))
+    alone[lone] = sizes[usable[first[lone]]]
+    for k in np.unique(alone[(alone > 0) & (alone <= SMALL)]):
+        at = np.flatnonzero(alone == k)
+        out[at] = rings_area(points[ends[usable[first[at]]][:, None] + np.arange(k)], within[at])
+    for i in np.flatnonzero(~plain & (n > 0) & ((alone == 0) | (alone > SMALL))):
+        mine = usable[first[i] : first[i] + n[i]]
+        out[i] = union_area([points[ends[j] : ends[j + 1]] for j in mine], *within[i])
+    return out
+
+
+@F.arrow_udf(T.DoubleType())
+def _covered(xs: pa.Array, ys: pa.Array, x0: pa.Array, y0: pa.Array, x1: pa.Array, y1: pa.Array) -> pa.Array:
+    within = np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in (x0, y0, x1, y1)], axis=1)
+    return pa.array(many_areas(xs, ys, within))
 
 
 def covered_area(rings: str, x0, y0, x1, y1) -> Column:
