@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import os
 import re
@@ -56,6 +58,20 @@ def write(df: DataFrame, path: str) -> None:
         conf.set(CLEANUP, before)
 
 
+#: The list that gets the folders of tables that stay, while one is set.
+_STAYING: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def staying():
+    """A list of the folders that are written meanwhile and that nothing removes: what is returned may read them."""
+    _STAYING.append([])
+    try:
+        yield _STAYING[-1]
+    finally:
+        _STAYING.pop()
+
+
 def written(df: DataFrame, name: str, paths: list[str] | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again.
 
@@ -63,6 +79,8 @@ def written(df: DataFrame, name: str, paths: list[str] | None = None) -> DataFra
     ``paths`` gets the folder, for ``remove``.
     """
     path = new_path(df.sparkSession, name)
+    if paths is None and _STAYING:
+        paths = _STAYING[-1]
     if paths is not None:
         paths.append(path)
     write(df, path)
@@ -76,6 +94,22 @@ def remove(spark: SparkSession, *paths: str) -> None:
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def made_before(paths: list[str], df: DataFrame) -> list[str]:
+    """Those of some written tables' folders that stood before all files of ``df`` were written, and aren't among them."""
+    spark, files = df.sparkSession, df.inputFiles() if paths else []
+
+    def when(name: str) -> int | None:
+        target = spark._jvm.org.apache.hadoop.fs.Path(name)
+        store = target.getFileSystem(spark._jsc.hadoopConfiguration())
+        return store.getFileStatus(target).getModificationTime() if store.exists(target) else None
+
+    times = [when(f) for f in files]
+    if not times or None in times or any(p.rsplit("/", 1)[1] in f for p in paths for f in files):
+        return []
+    stood = {p: when(f"{p}/_SUCCESS") for p in paths}
+    return [p for p, t in stood.items() if t is not None and t < min(times)]
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Let batches to Python hold ``rows`` rows at most, unless the session has a number of its own.
 
@@ -197,12 +231,16 @@ def kept(owner: str) -> dict:
     """What an operator keeps in this Python worker from task to task; what others kept is let go.
 
     Workers live through all stages of an application, so without that every
-    operator's models and caches would add up.
+    operator's models and caches would add up.  What the C library has free goes
+    back to the system as well, where it can tell.
     """
     if owner not in _KEPT:
         _KEPT.clear()
         gc.collect()
         pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
     return _KEPT.setdefault(owner, {})
 
 

@@ -29,13 +29,14 @@ RUN = re.compile(r"[^\S ] [^\S ]| \Z|[\x1c-\x1f\x85\u180e]")
 FIRST = "\ud800"
 
 
-def encoder(path: str) -> "WordEncoder | ByteEncoder":
-    """The encoder of a tokenizer file, one for each Python worker."""
-    held = kept(f"encoding {path}")
+def encoder(path: str, word_bytes: int | None = None) -> "WordEncoder | ByteEncoder":
+    """The encoder of a tokenizer file, one for each Python worker; its cache of pre-tokens holds ``word_bytes``, or WORD_BYTES."""
+    word_bytes = word_bytes or WORD_BYTES
+    held = kept(f"encoding {path} {word_bytes}")
     if not held:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        held["encoder"] = (ByteEncoder if spec["pre_tokenizer"]["type"] == "ByteLevel" else WordEncoder)(path, spec)
+        held["encoder"] = (ByteEncoder if spec["pre_tokenizer"]["type"] == "ByteLevel" else WordEncoder)(path, spec, word_bytes)
     return held["encoder"]
 
 
@@ -43,14 +44,14 @@ class _Encoder:
     #: What of the file's settings is left out for pre-tokens.
     shortened: dict = {}
 
-    def __init__(self, path: str, spec: dict):
+    def __init__(self, path: str, spec: dict, word_bytes: int):
         quiet_tokenizers()
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
         self.plain_model = Tokenizer.from_str(json.dumps(spec | self.shortened))
         self.specials = [x["content"] for x in spec["added_tokens"]]
-        self.pieces, self.words = Cache(PIECE_BYTES), Cache(WORD_BYTES)
+        self.pieces, self.words = Cache(PIECE_BYTES), Cache(word_bytes)
 
     def whole(self, text: str) -> bytes:
         """What the library gives for the text as it is."""
@@ -131,8 +132,8 @@ class WordEncoder(_Encoder):
         "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
     }
 
-    def __init__(self, path: str, spec: dict):
-        super().__init__(path, spec)
+    def __init__(self, path: str, spec: dict, word_bytes: int):
+        super().__init__(path, spec, word_bytes)
         self.pattern = as_re(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         vocab = self.model.get_vocab(with_added_tokens=True)
         self.is_end = np.zeros(max(vocab.values()) + 1, dtype=bool)
@@ -156,8 +157,8 @@ class WordEncoder(_Encoder):
 class ByteEncoder(_Encoder):
     """Byte-level BPE whose pre-tokens take one leading space with them."""
 
-    def __init__(self, path: str, spec: dict):
-        super().__init__(path, spec)
+    def __init__(self, path: str, spec: dict, word_bytes: int):
+        super().__init__(path, spec, word_bytes)
         import public_tokenizers
 
         self.pattern = as_re(public_tokenizers.PATTERN)

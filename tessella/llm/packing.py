@@ -173,8 +173,8 @@ def _packed(examples: Iterator[Example], limits: Limits) -> Iterator[pa.RecordBa
     yield from _rows((x for s in sequences() for x in in_powers(s, limits.tokens)), TaskContext.get().partitionId() * PER_PARTITION)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode whole texts, append ``end_id`` and pack.  Every token but a document's first bears loss.
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "text", word_bytes: int | None = None) -> DataFrame:
+    """Encode whole texts, append ``end_id`` and pack.  Every token but a document's first bears loss.  ``word_bytes`` as in ``encoder``.
 
     Returns a row per piece: id, start and length in the document's ids,
     doc_tokens, loss_tokens, sequence_id, offset, ids (little-endian 32 bits).
@@ -185,7 +185,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, limits: Limits
 
         def examples():
             for part in slices(batches):
-                for doc, ids in zip(column(part, "id").to_pylist(), encoder(tokenizer).encode(strings(part, "text"))):
+                for doc, ids in zip(column(part, "id").to_pylist(), encoder(tokenizer, word_bytes).encode(strings(part, "text"))):
                     ids = np.frombuffer(ids + end, dtype="<u4")
                     yield Example(doc, ids, np.maximum(np.arange(-1, len(ids)), 0))
 
@@ -216,9 +216,9 @@ def pack_examples(examples: DataFrame, limits: Limits = Limits(), id_col: str =
     return examples.select(F.col(id_col).cast("long"), empty(ids_col, "array<bigint>").cast("array<bigint>"), empty(loss_col, "array<boolean>")).mapInArrow(run, PIECES)
 
 
-def packed_pieces(docs: DataFrame, tokenizer: str, end_id: int, limits: Limits = Limits()) -> DataFrame:
+def packed_pieces(docs: DataFrame, tokenizer: str, end_id: int, limits: Limits = Limits(), word_bytes: int | None = None) -> DataFrame:
     """``pack_documents`` with a checksum in place of the ids."""
-    return pack_documents(docs, tokenizer, end_id, limits).select(
+    return pack_documents(docs, tokenizer, end_id, limits, word_bytes=word_bytes).select(
         F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "loss_tokens"
     )
 
