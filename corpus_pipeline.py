@@ -21,7 +21,7 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import default_tokenizer, fresh, made_before, new_path, remove, small_batches, staying, table
+from tessella.llm.common import default_tokenizer, fresh, let_go, made_before, new_path, remove, small_batches, staying, table
 from tessella.llm.exact_dedup import without_copies
 from tessella.llm.near_copies import without_similar
 from tessella.llm.packing import packed_pieces
@@ -50,6 +50,7 @@ def _stage(f):
         for path in made_before(left, docs):
             remove(spark, path)
             left.remove(path)
+        let_go(spark)
         with staying() as paths:
             out = f(spark, docs, sf_dir)
         left += paths

@@ -94,6 +94,14 @@ def remove(spark: SparkSession, *paths: str) -> None:
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Have the driver, which idles between large steps, give back what nothing refers to: shuffle files and broadcasts, which
+    Spark deletes once their handles are collected, and free memory of Python and of the JVM."""
+    gc.collect()
+    trimmed()
+    spark._jvm.System.gc()
+
+
 def made_before(paths: list[str], df: DataFrame) -> list[str]:
     """Those of some written tables' folders that stood before all files of ``df`` were written, and aren't among them."""
     spark, files = df.sparkSession, df.inputFiles() if paths else []
@@ -224,6 +232,14 @@ class Cache:
             self.old, self.young, self.bytes = self.young, {}, 0
 
 
+def trimmed() -> None:
+    """Give free memory of Arrow and of the C library back to the system, where they can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 _KEPT: dict[str, dict] = {}
 
 
@@ -237,10 +253,7 @@ def kept(owner: str) -> dict:
     if owner not in _KEPT:
         _KEPT.clear()
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim:
-            trim(0)
+        trimmed()
     return _KEPT.setdefault(owner, {})
 
 

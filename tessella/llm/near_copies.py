@@ -10,8 +10,11 @@ every pair of that similarity, so what the trees leave apart is completed by
 prefix filtering: with all shingles in one order, two sets that reach the
 similarity share one among the first ``n - ceil(0.8 n) + 1`` shingles of each.
 Any order is right; frequent shingles, counted in a sample, come last, so that a
-common line is seldom a candidate.  The sample shapes the order, never the
-result.
+common line is seldom a candidate.  A sample of bounded size can't tell shingles
+that a small share of all rows have, so the lists of the first prefixes are
+counted exactly, and where they are long, their shingles and others of the same
+passages come late as well; the prefixes of rows that have any are made anew.
+Both shape the order, never the result.
 
 Members of a shingle's list that aren't in one group yet are compared with the
 list's least row, and, while many pairs of different groups are left, with a few
@@ -28,11 +31,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import binary, column, fresh, if_small, kept, numbered, remove, slices, written
+from tessella.llm.common import binary, column, fresh, if_small, kept, let_go, numbered, remove, slices, written
 from tessella.llm.components import connected_components
 from tessella.llm.simhash import fingerprints, linked
 
@@ -40,6 +44,8 @@ from tessella.llm.simhash import fingerprints, linked
 TENTHS, BITS = 8, 3
 #: Rows that are counted for the order, about, at any size; rows of the sample that make a shingle frequent; frequent shingles, at most.
 SAMPLE, FREQUENT, MOST = 20_000, 3, 500_000
+#: Rows of a list of first prefixes from which its shingle comes late; rows of each such list whose sets are looked at for others of its passage.
+LONG, LOOKED = 12, 8
 #: The share of the sample's rows from which a shingle is hot, and the parts of its list.
 HOT, PARTS = 0.01, 64
 #: Members of a list, about, that are compared with as many others in one group of the last join.
@@ -111,6 +117,50 @@ def _frequent(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray, np.n
     return keys[by], len(keys) - by, keys[found["c"].to_numpy() >= max(FREQUENT, HOT * share * n)]
 
 
+def _having(prefixes: DataFrame, some) -> DataFrame:
+    """Columns row, gram: the entries of prefixes that are among ``some``, a broadcast of ascending shingles."""
+
+    def run(batches):
+        keys = some.value
+        for batch in batches:
+            grams = column(batch, "grams")
+            flat, of = grams.flatten().to_numpy(), np.repeat(column(batch, "row").to_numpy(), pc.list_value_length(grams).to_numpy())
+            hit = keys[np.minimum(np.searchsorted(keys, flat), len(keys) - 1)] == flat
+            yield pa.RecordBatch.from_arrays([pa.array(of[hit]), pa.array(flat[hit])], names=["row", "gram"])
+
+    return prefixes.select("row", "grams").mapInArrow(run, "row long, gram long")
+
+
+def _late(prefixes: DataFrame, rows: DataFrame, words: int, keys: np.ndarray, paths: list[str]) -> np.ndarray:
+    """Shingles, ascending and not among ``keys``, that long lists of the prefixes have, or that some of those lists' rows share."""
+    most = lambda counts, least: counts.filter(F.col("c") >= least).orderBy(F.desc("c"), "gram").limit(MOST).select("gram").toArrow()["gram"].to_numpy()
+    counted = lambda grams: grams.groupBy("gram").agg(F.count(F.lit(1)).alias("c"))
+    long = np.setdiff1d(most(counted(prefixes.select(F.explode("grams").alias("gram"))), LONG), keys)
+    if not len(long):
+        return long
+    some = _having(prefixes, rows.sparkSession.sparkContext.broadcast(long))
+    looked = some.groupBy("gram").agg(F.array(*[F.min_by("row", F.xxhash64(F.lit(k), "row")) for k in range(LOOKED)]).alias("rows"))
+    looked = written(looked.select(F.explode("rows").alias("row")).distinct(), "looked", paths)
+    sets = shingle_sets(rows.join(if_small(looked), "row", "left_semi"), words)
+    return np.setdiff1d(np.union1d(long, most(counted(sets.select(F.explode("grams").alias("gram"))), FREQUENT)), keys)
+
+
+def _prefixes(rows: DataFrame, words: int, paths: list[str]) -> tuple[DataFrame, np.ndarray]:
+    """``shingle_sets`` with the prefix of every row, written, and the hot shingles."""
+    keys, ranks, often = _frequent(rows, words)
+    context = rows.sparkSession.sparkContext
+    first = written(shingle_sets(rows, words, context.broadcast((keys, ranks))), "begun", paths)  # MOST shingles at most
+    late = _late(first, rows, words, keys, paths)
+    if not len(late):
+        return first, often
+    # late ones go between the rare and the frequent, so that a prefix without any of them is as it was
+    both, ranked = np.concatenate((keys, late)), np.concatenate((ranks + 1, np.ones(len(late), dtype=ranks.dtype)))
+    by = np.argsort(both)
+    changed = written(_having(first, context.broadcast(late)).select("row").distinct(), "changed", paths)
+    again = shingle_sets(rows.join(if_small(changed), "row", "left_semi"), words, context.broadcast((both[by], ranked[by])))
+    return first.join(if_small(changed), "row", "left_anti").unionByName(written(again, "again", paths)), often
+
+
 def _enough(shared: Column, na: Column, nb: Column) -> Column:
     """shared / (na + nb - shared) >= TENTHS / 10, in whole numbers."""
     return (10 + TENTHS) * shared.cast("long") >= TENTHS * (na.cast("long") + nb)
@@ -166,13 +216,12 @@ def near_links(rows: DataFrame, words: int, paths: list[str]) -> DataFrame:
     ``rows`` has row (long, unique) and text, and should be a written table;
     ``paths`` gets the folders of the tables that are written on the way.
     """
-    keys, ranks, often = _frequent(rows, words)
-    last = rows.sparkSession.sparkContext.broadcast((keys, ranks))  # MOST shingles at most
     begun: list[str] = []
-    prefixes = written(shingle_sets(rows, words, last), "begun", begun)
+    prefixes, often = _prefixes(rows, words, begun)
     odds = written(prefixes.select("row", "n", "odd"), "odds", paths)
     sure = _verified(fingerprint_pairs(rows, words, paths), odds, rows, words, paths)
     groups = written(connected_components(sure), "groups", paths)
+    let_go(rows.sparkSession)
     root = lambda df, k: df.join(if_small(groups.select(F.col("node").alias(k), F.col("root").alias(f"root_{k}"))), k, "left").withColumn(f"root_{k}", F.coalesce(f"root_{k}", k))
     listed = prefixes.select("row", "n", F.posexplode("grams").alias("at", "gram"))
     # a hot shingle's list is dealt to parts, each with a first row of its own; what parts leave apart is compared below
@@ -183,6 +232,7 @@ def near_links(rows: DataFrame, words: int, paths: list[str]) -> DataFrame:
     listed = listed.select("row", "n", "at", "gram", "hot", led.alias("first"), F.count(F.lit(1)).over(of).alias("c")).filter("c > 1 OR hot")
     listed = written(listed.select("row", "n", "at", "gram", "first"), "listed", paths)
     remove(rows.sparkSession, *begun)
+    let_go(rows.sparkSession)
     # what follows a shared shingle bounds what two sets can share, if it is their first; at their first it always passes
     fits = lambda na, ia, nb, ib: _enough(F.least(na - ia, nb - ib), na, nb)
     c = F.col
@@ -196,6 +246,7 @@ def near_links(rows: DataFrame, words: int, paths: list[str]) -> DataFrame:
     for turn in range(TURNS + 1):
         of = share.join(connected_components(links).withColumnRenamed("node", "row"), "row", "left").select("row", "share", F.coalesce("root", "row").alias("root"))
         remove(rows.sparkSession, *gone)
+        let_go(rows.sparkSession)
         gone = []
         apart = written(listed.join(if_small(written(of, "roots", paths)), "row").select("gram", "row", "n", "at", "share", "root"), "apart", gone)
         left = _left(apart)
@@ -209,6 +260,7 @@ def near_links(rows: DataFrame, words: int, paths: list[str]) -> DataFrame:
         met = apart.join(led, "gram").select("row", F.explode(met).alias("x")).select(F.least("row", "x.row").alias("a"), F.greatest("row", "x.row").alias("b"))
         links = links.unionByName(_verified(met.distinct(), odds, rows, words, paths))
     paths += gone
+    let_go(rows.sparkSession)
     pairs = written(_apart_pairs(apart, fits).distinct(), "open", paths)
     return links.unionByName(_verified(pairs.join(stars, ["a", "b"], "left_anti"), odds, rows, words, paths))
 

@@ -98,6 +98,30 @@ def test_long_lists_are_compared_in_blocks(spark, tmp_path, monkeypatch):
     assert sorted((r.doc_id for r in out.collect()), key=str) == staying(rows)
 
 
+def test_passages_that_the_sample_misses(spark, tmp_path, monkeypatch):
+    """Unlike texts that share a passage are seldom compared, though no shingle of it is known to be frequent."""
+    rng, rows = random.Random(5), []
+    prose = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    for _ in range(5):
+        passage = prose(25)
+        rows += [(len(rows) + k, f"{prose(40)} {passage} {prose(40)}", "x", "s", 0) for k in range(40)]
+    rows += [(1000 + i, f"{t} end", *r) for i, t, *r in rows[:3]]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "t"))
+    monkeypatch.setattr(near_copies, "SAMPLE", 1)
+    monkeypatch.setattr(near_copies, "TURNS", 0)
+    made, pairs = [], near_copies._apart_pairs
+
+    def counted(*args):
+        out = pairs(*args)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_copies, "_apart_pairs", counted)
+    out = near_copies.without_similar(spark.read.parquet(str(tmp_path / "t")))
+    assert sorted((r.doc_id for r in out.collect()), key=str) == staying(rows)
+    assert sum(made) < 10 * len(rows)  # of 3,900 pairs, most of them in several lists
+
+
 def test_suffix_stage_s_rows(spark, tmp_path):
     """Each row that stays, with its whole text: what is left blank goes, nulls stay null, untouched rows stay as they are."""
     import corpus_pipeline as c
