@@ -140,6 +140,13 @@ def _fields(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.stack([values.field(i).to_numpy(zero_copy_only=False).astype(float) for i in range(values.type.num_fields)], axis=1) if len(values) else np.zeros((0, values.type.num_fields)), offsets
 
 
+def listed(lists: pa.Array, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Some fields of lists of structs, (entries, fields), and where each list begins and the last one ends."""
+    flat = lists.flatten()
+    fields = np.stack([flat.field(c).to_numpy(zero_copy_only=False).astype(float) for c in names], axis=1)
+    return fields, np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False)))
+
+
 def batch_areas(batch: pa.RecordBatch) -> np.ndarray:
     """Covered area of each row: a box x0, y0, x1, y1 with ``boxes`` and ``edges`` (of rings ``o``) that may reach into it."""
     within = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("x0", "y0", "x1", "y1")], axis=1)

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,13 +20,15 @@ from pyspark.sql import types as T
 from tessella.functions import rings
 from tessella.operators.geometry import even_odd_area
 from tessella.operators.grid import candidate_cells, exchanged, stride_of
-from tessella.operators.polygon_area import batch_areas, clip_ring, covered_area
+from tessella.operators.polygon_area import CELLS, batch_areas, boxes_area, clip_ring, covered_area, listed
 from tessella.session import can_checkpoint
 
 RING = f"array<{rings.POINT}>"
 CELL = ["cut_name", "tile_size", "row", "col"]
-#: Different boxes of a cell whose union is taken at once.
+#: Different boxes of a cell whose union is taken at once, and boxes of a group that is settled at once.
 DENSE = 256
+#: Fuller groups whose names are broadcast at most.
+MOST_FULL = 100_000
 
 
 def _cells(df: DataFrame, sizes: list[int], overlap: float, low: tuple[str, str], high: tuple[str, str]) -> DataFrame:
@@ -184,6 +187,32 @@ def assign_to_cuts(annotations: DataFrame, cuts: DataFrame) -> DataFrame:
     return pairs.select("stem", "id", F.when(ok, F.col("cut_index")).alias("cut_index"), F.when(ok, F.col("cut_name")).alias("cut_name"), method.alias("method"))
 
 
+def _dealt(boxes: DataFrame, group: str) -> tuple[DataFrame, DataFrame | None]:
+    """Boxes of groups of at most DENSE, which are settled many groups at a time, and those of fuller ones, if there are any."""
+    can_checkpoint(boxes.sparkSession)
+    full = boxes.groupBy(F.col(group).alias("__full")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > DENSE).select("__full").checkpoint()
+    n = full.count()
+    if not n:
+        return boxes, None
+    side = F.broadcast(full) if n <= MOST_FULL else exchanged(full)
+    of = lambda how: boxes.join(side, F.col(group).eqNullSafe(F.col("__full")), how)
+    return of("left_anti"), of("left_semi")
+
+
+def _united_few(names: list[str], schema: pa.Schema):
+    def run(batches):
+        for batch in batches:
+            sides, at = listed(batch.column("boxes"), ["x0", "y0", "x1", "y1"])
+            out, sizes = np.zeros(len(at) - 1), np.diff(at)
+            for k in np.unique(sizes[sizes > 0]):
+                rows = np.flatnonzero(sizes == k)
+                mine = sides[at[rows][:, None] + np.arange(k)]
+                out[rows] = boxes_area(mine, np.concatenate((mine[..., :2].min(axis=1), mine[..., 2:].max(axis=1)), axis=1))
+            yield pa.RecordBatch.from_arrays([batch.column(c).cast(schema.field(c).type) for c in names] + [pa.array(out)], schema=schema)
+
+    return run
+
+
 def _united(boxes: DataFrame, group: str) -> DataFrame:
     """For each group the area of its boxes' union, as summed over disjoint cells of at most DENSE different clipped boxes.
 
@@ -222,8 +251,18 @@ def _united(boxes: DataFrame, group: str) -> DataFrame:
 
 def box_overlap(boxes: DataFrame, group: str) -> DataFrame:
     """For each group: summed box area, area of their union, and the share that overlaps."""
-    per = boxes.groupBy(group).agg(F.sum((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).cast("double").alias("total"))
-    per = per.join(_united(boxes, group), F.col(group).eqNullSafe(F.col("__g")), "left").withColumn("united", F.coalesce("united", F.lit(0.0)))
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    total = F.sum((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).cast("double").alias("total")
+    few, many = _dealt(boxes.select(group, "x0", "y0", "x1", "y1"), group)
+    low, high = [F.least(f"{a}0", f"{a}1").cast("double") for a in "xy"], [F.greatest(f"{a}0", f"{a}1").cast("double") for a in "xy"]
+    box = F.struct(*[c.alias(k) for c, k in zip((*low, *high), ("x0", "y0", "x1", "y1"))])
+    rows = few.groupBy(group).agg(total, F.collect_list(F.when((low[0] < high[0]) & (low[1] < high[1]), box)).alias("boxes"))
+    kind = T.StructType([rows.schema[group], rows.schema["total"], T.StructField("united", T.DoubleType())])
+    per = rows.mapInArrow(_united_few([group, "total"], to_arrow_schema(kind)), kind)
+    if many is not None:
+        full = many.groupBy(group).agg(total).join(_united(many, group), F.col(group).eqNullSafe(F.col("__g")), "left")
+        per = per.unionByName(full.select(group, "total", F.coalesce("united", F.lit(0.0)).alias("united")))
     return per.select(group, "total", "united", (1 - F.col("united") / F.nullif(F.col("total"), F.lit(0.0))).alias("overlap_fraction"))
 
 
@@ -255,6 +294,47 @@ def _suppressed(small: DataFrame, big: DataFrame, most: float, larger: float, to
     return small.join(found, "n", how)
 
 
+def _staying_few(most: float, larger: float, schema: pa.Schema):
+    """Of each group's boxes those that stay; their order is that of the list, where sizes are equal."""
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column("boxes")
+            sides, at = listed(lists, ["x0", "y0", "x1", "y1"])
+            stays, sizes = np.ones(len(sides), dtype=bool), np.diff(at)
+            for k in np.unique(sizes[sizes > 1]):
+                rows = np.flatnonzero(sizes == k)
+                step = max(1, CELLS // int(k * k))
+                for t in range(0, len(rows), step):
+                    where = at[rows[t : t + step]][:, None] + np.arange(k)
+                    stays[where] = _settled(sides[where], most, larger)
+            of = np.repeat(np.arange(len(sizes)), sizes)[stays]
+            ids = lists.flatten().field("id").take(pa.array(np.flatnonzero(stays)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)).cast(schema.field(0).type), ids.cast(schema.field(1).type)], schema=schema)
+
+    return run
+
+
+def _settled(boxes: np.ndarray, most: float, larger: float) -> np.ndarray:
+    """For groups of equally many boxes, (groups, boxes, 4), which stay; settled in rounds as in ``suppress_boxes``."""
+    x0, y0, x1, y1 = np.moveaxis(boxes, -1, 0)
+    size, open_ = (x1 - x0) * (y1 - y0), (x1 > x0) & (y1 > y0)
+    mine, other = (slice(None), slice(None), None), (slice(None), None, slice(None))
+    dx = np.minimum(x1[mine], x1[other]) - np.maximum(x0[mine], x0[other])
+    dy = np.minimum(y1[mine], y1[other]) - np.maximum(y0[mine], y0[other])
+    before = np.tri(boxes.shape[1], k=-1, dtype=bool)
+    first = (size[other] > size[mine]) | (size[other] == size[mine]) & before
+    with np.errstate(divide="ignore", invalid="ignore"):
+        inside = first & (dx > 0) & (dy > 0) & (size[other] >= larger * size[mine]) & (dx * dy / size[mine] >= most)
+    inside &= open_[mine] & open_[other]
+    left, stays = open_.copy(), ~open_
+    while left.any():
+        stay = left & ~(inside & left[other]).any(axis=2)
+        stays |= stay
+        left &= ~stay & ~(inside & stay[other]).any(axis=2)
+    return stays
+
+
 def suppress_boxes(boxes: DataFrame, group: str, most: float, larger: float = 2.0) -> DataFrame:
     """Boxes that stay when, from the largest down, a box goes whose area lies by ``most`` or more in one that stayed and
     is ``larger`` times as large at least.
@@ -263,14 +343,23 @@ def suppress_boxes(boxes: DataFrame, group: str, most: float, larger: float = 2.
     equals), so boxes settle in rounds: those in a kept box go, those in no
     undecided one stay.  Rounds are as many as the longest chain of boxes in
     each other; areas grow by ``larger`` along it, so they are few unless that
-    is near 1.  No group is walked through, and a crowded one is cut by cells.
+    is near 1.  Groups of at most DENSE boxes are settled many at a time, each in a
+    table of its pairs.  No fuller group is walked through; they are cut by cells.
     Boxes without area stay.
     """
     if not 0 < most <= 1:
         raise ValueError("a share lies in (0, 1]")
-    can_checkpoint(boxes.sparkSession)
+    from pyspark.sql.pandas.types import to_arrow_schema
+
     sides = {c: F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")}
-    all_ = boxes.select(F.col(group).alias("g"), "id", *sides.values()).withColumn("size", (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")))
+    few, many = _dealt(boxes.select(group, "id", *sides.values()), group)
+    entries = F.collect_list(F.struct("id", "x0", "y0", "x1", "y1"))
+    lists = few.groupBy(group).agg((entries if larger > 1 else F.array_sort(entries)).alias("boxes"))  # equal sizes go by id
+    kind = T.StructType([few.schema[group], few.schema["id"]])
+    small = lists.mapInArrow(_staying_few(most, larger, to_arrow_schema(kind)), kind)
+    if many is None:
+        return small
+    all_ = many.select(F.col(group).alias("g"), "id", *sides).withColumn("size", (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")))
     longer = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
     all_ = all_.withColumns({"level": F.ceil(F.log2(F.greatest(longer, F.lit(2.0**-20)))).cast("int"), "n": F.monotonically_increasing_id()}).checkpoint()
     flat = all_.filter("NOT coalesce(x1 > x0 AND y1 > y0, false)")
@@ -288,4 +377,4 @@ def suppress_boxes(boxes: DataFrame, group: str, most: float, larger: float = 2.
         open_ = _suppressed(inside, stay, most, larger, top, "left_anti").checkpoint()
         if open_.isEmpty():
             break
-    return kept.select(F.col("g").alias(group), "id")
+    return small.unionByName(kept.select(F.col("g").alias(group), "id"))
