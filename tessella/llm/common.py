@@ -207,10 +207,10 @@ class Cache:
     #: Bytes of an entry besides its key and value, about.
     ENTRY = 200
 
-    def __init__(self, most: int = 64_000_000):
-        self.most, self.bytes = most, 0
-        self.young: dict = {}
-        self.old: dict = {}
+    def __init__(self, most: int = 64_000_000, kind: type[dict] = dict):
+        self.most, self.bytes, self.kind = most, 0, kind
+        self.young: dict = kind()
+        self.old: dict = kind()
 
     def recall(self, keys) -> list:
         """Take up those of ``keys`` that the old generation holds; gives the others, each once."""
@@ -226,10 +226,15 @@ class Cache:
         self.bytes += self.ENTRY + len(key) + size
         self.young[key] = value
 
+    def add_all(self, new: dict) -> None:
+        """Several entries at once; their values' lengths are their sizes."""
+        self.bytes += self.ENTRY * len(new) + sum(map(len, new)) + sum(map(len, new.values()))
+        self.young.update(new)
+
     def turn(self) -> None:
         """Between two slices: let the older generation go if the younger one is full."""
         if self.bytes > self.most // 2:
-            self.old, self.young, self.bytes = self.young, {}, 0
+            self.old, self.young, self.bytes = self.young, self.kind(), 0
 
 
 def trimmed() -> None:

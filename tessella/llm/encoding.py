@@ -1,9 +1,9 @@
 """Exact token ids from the tokenizers library through bounded worker caches.
 
 Both vocabularies split a text into pre-tokens that are encoded one by one.  A
-text of common characters is split here, by the vocabulary's own pattern; known
-pre-tokens are looked up, and new ones are encoded by the library in one call
-per slice of rows.  Of any other text the library gets whole white-space pieces
+text of common characters is split here, by the vocabulary's own pattern; each
+pre-token is looked up once, and new ones are encoded by the library in one call
+per slice of rows, through a pipeline without the steps that were done here.  Of any other text the library gets whole white-space pieces
 where a cut there is proven safe, and else the whole text.
 """
 
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections import defaultdict
 
 import numpy as np
 
@@ -40,6 +41,17 @@ def encoder(path: str, word_bytes: int | None = None) -> "WordEncoder | ByteEnco
     return held["encoder"]
 
 
+class Known(dict):
+    """Byte strings by key; a key it lacks gets an empty one in ``lacking``, the same each time, to be filled later."""
+
+    def __init__(self):
+        super().__init__()
+        self.lacking: dict = defaultdict(bytearray)
+
+    def __missing__(self, key):
+        return self.lacking[key]
+
+
 class _Encoder:
     #: What of the file's settings is left out for pre-tokens.
     shortened: dict = {}
@@ -51,7 +63,7 @@ class _Encoder:
         self.model = Tokenizer.from_file(path)
         self.plain_model = Tokenizer.from_str(json.dumps(spec | self.shortened))
         self.specials = [x["content"] for x in spec["added_tokens"]]
-        self.pieces, self.words = Cache(PIECE_BYTES), Cache(word_bytes)
+        self.pieces, self.words = Cache(PIECE_BYTES), Cache(word_bytes, Known)
 
     def whole(self, text: str) -> bytes:
         """What the library gives for the text as it is."""
@@ -64,29 +76,25 @@ class _Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian unsigned 32-bit integers."""
         out: list = [None] * len(texts)
-        waiting: list[tuple[int, list[str]]] = []
-        missing: list[str] = []
+        waiting: list[tuple[int, list]] = []
         self.words.turn()
         self.pieces.turn()
-        get = self.words.young.get
+        known = self.words.young
+        get, lacking = known.__getitem__, known.lacking
         for i, text in enumerate(texts):
             if not SIMPLE.fullmatch(text) or any(s in text for s in self.specials):
                 out[i] = self._by_pieces(text)
-                continue
-            words = self.pre_tokens(text)
-            found = list(map(get, words))
-            if None in found:
-                missing += [w for w, x in zip(words, found) if x is None]
-                waiting.append((i, words))
             else:
-                out[i] = b"".join(found)
-        if waiting:
-            if new := self.words.recall(missing):
-                for w, ids in self.encode_words(new).items():
-                    self.words.add(w, ids, len(ids))
-            known = self.words.young.__getitem__
-            for i, words in waiting:
-                out[i] = b"".join(map(known, words))
+                waiting.append((i, list(map(get, self.pre_tokens(text)))))
+        try:
+            if new := self.words.recall(lacking):
+                self.words.add_all(self.encode_words(new))
+            for w, ids in lacking.items():
+                ids += known.get(w)
+        finally:
+            lacking.clear()
+        for i, found in waiting:
+            out[i] = b"".join(found)
         return out
 
     def _by_pieces(self, text: str) -> bytes:
@@ -154,9 +162,23 @@ class WordEncoder(_Encoder):
         return self._apart(words, ids, np.flatnonzero(self.is_end[ids]))
 
 
+def signs() -> dict[str, int]:
+    """The byte of each sign that byte-level vocabularies write: printable ones stand for themselves, others for 256 and on."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+    others = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
+
+
+#: The sign that byte-level vocabularies write for each byte.
+SIGNS = np.array([ord(c) for c, _ in sorted(signs().items(), key=lambda x: x[1])], dtype="<u2")
+
+
 class ByteEncoder(_Encoder):
     """Byte-level BPE whose pre-tokens take one leading space with them."""
 
+    #: Pre-tokens are cut already, and ``in_signs`` writes their bytes.
+    shortened = {"pre_tokenizer": {"type": "WhitespaceSplit"}}
+
     def __init__(self, path: str, spec: dict, word_bytes: int):
         super().__init__(path, spec, word_bytes)
         import public_tokenizers
@@ -183,17 +205,23 @@ class ByteEncoder(_Encoder):
     def pre_tokens(self, text: str) -> list[str]:
         return self.pattern.findall(text)
 
+    @staticmethod
+    def in_signs(text: str) -> str:
+        """A text's bytes as the vocabulary writes them, without white space."""
+        return SIGNS[np.frombuffer(text.encode(), np.uint8)].tobytes().decode("utf-16-le")
+
     def encode_words(self, words: list[str]) -> dict[str, bytes]:
-        plain = [w for w in words if self.plain.fullmatch(w)]
-        rest = [w for w in words if not self.plain.fullmatch(w)]
+        plain, rest, is_plain = [], [], self.plain.fullmatch
+        for w in words:
+            (plain if is_plain(w) else rest).append(w)
         out: dict[str, bytes] = {}
         if plain:
-            ids = self._ids("".join(plain))
+            ids = self._ids(self.in_signs("".join(plain)).replace("Ġ", " Ġ"))
             begins = np.flatnonzero(self.starts[ids])
-            out |= self._apart(plain, ids, np.append(begins[1:], len(ids)) - 1)
+            out = self._apart(plain, ids, np.append(begins[1:], len(ids)) - 1)
         if rest:
-            between = self.specials[0]
-            ids = self._ids("".join(w + between for w in rest))
+            # no text of SIMPLE characters holds a zero
+            ids = self._ids(self.in_signs("".join(w + "\0" for w in rest)).replace(self.in_signs("\0"), self.specials[0]))
             marks = np.flatnonzero(ids == self.sentinel)
             if len(marks) == len(rest):
                 raw, begin = ids.tobytes(), 0

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tessella.llm.common import Cache, column, id_and_text, kept, quiet_tokenizers, slices, strings
-from tessella.llm.encoding import SIMPLE, as_re
+from tessella.llm.encoding import SIMPLE, as_re, signs
 
 #: Characters of a text that are read at a time, and of a pre-token from which it is encoded while it is read.
 CHUNK_CHARS, LONG_CHARS = 65_536, 4096
@@ -49,13 +49,6 @@ HEAP_FROM = 40
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-def signs() -> dict[str, int]:
-    """The byte of each sign that byte-level vocabularies write: printable ones stand for themselves, others for 256 and on."""
-    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
-    others = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
-
-
 class Merges:
     """A merge list over tokens: pairs by rank, the lowest merged first and from left to right."""
 
