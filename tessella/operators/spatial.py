@@ -75,6 +75,12 @@ def _upright(r: Column) -> Column:
     return F.coalesce(closed & (turns("x", "y") | turns("y", "x")), F.lit(False))
 
 
+def _corners(r: Column) -> Column:
+    """The bounds of an upright rectangle, from two points that face each other."""
+    p, q = F.get(r, F.lit(0)), F.get(r, F.lit(2))
+    return F.struct(F.least(p["x"], q["x"]).alias("x0"), F.least(p["y"], q["y"]).alias("y0"), F.greatest(p["x"], q["x"]).alias("x1"), F.greatest(p["y"], q["y"]).alias("y1"))
+
+
 def _marked(outlines: DataFrame, key: str) -> DataFrame:
     """Usable outlines with their bounds, how many edges they have, and their points: none for an upright rectangle, which its bounds tell."""
     r = F.col("ring")
@@ -146,23 +152,56 @@ def covered_share(outlines: DataFrame, cuts: DataFrame) -> DataFrame:
     return full.select(*cuts.columns, (F.coalesce("__area", zero) / (F.col("width") * F.col("height"))).alias("covered_share"))
 
 
+def _touching(outlines: DataFrame, tiles: DataFrame, side: int, most: tuple[float, float]) -> DataFrame:
+    """Pairs of outlines with bounds __x0 to __y1 and tiles of their cut whose boxes share some area.
+
+    Both sides meet in square blocks that hold a few dozen tiles, so an outline is
+    exchanged once, and not for each tile; a pair counts in the block that
+    holds the low corner of what it shares.  ``most`` ends the blocks of
+    outlines that reach beyond any cut.
+    """
+    block = lambda c: F.floor(c / side).cast("int")
+    span = lambda low, high, end: F.when(low <= end, F.sequence(block(F.greatest(low, F.lit(0))), block(F.least(F.greatest(high, low, F.lit(0)), F.lit(end))))).otherwise(F.array().cast("array<int>"))
+    placed = lambda df, pre: df.select("*", F.explode(span(F.col(f"{pre}x0"), F.col(f"{pre}x1"), most[0])).alias("__bx")).select("*", F.explode(span(F.col(f"{pre}y0"), F.col(f"{pre}y1"), most[1])).alias("__by"))
+    there = exchanged(placed(tiles, "").withColumnsRenamed({"cut_name": "__cut", "__bx": "__tx", "__by": "__ty"}))
+    same = (F.col("cut_name") == F.col("__cut")) & (F.col("__bx") == F.col("__tx")) & (F.col("__by") == F.col("__ty"))
+    shared = (F.col("__x0") < F.col("x1")) & (F.col("__x1") > F.col("x0")) & (F.col("__y0") < F.col("y1")) & (F.col("__y1") > F.col("y0"))
+    here = (F.col("__bx") == block(F.greatest("__x0", "x0"))) & (F.col("__by") == block(F.greatest("__y0", "y0")))
+    return placed(outlines, "__").join(there, same & shared & here).drop("__cut", "__bx", "__by", "__tx", "__ty")
+
+
 def clipped_instances(tiles: DataFrame, outlines: DataFrame, cuts: DataFrame, sizes: list[int], overlap: float = 0.2, least: float = 0.3) -> DataFrame:
     """Outlines cut to the tiles that show at least a share of their area: columns of the tile, id, ring, visible, and others of theirs.
 
-    Areas go by the even-odd rule, so that outlines that cross themselves count in full.
+    Areas go by the even-odd rule, so that outlines that cross themselves count in
+    full; an upright rectangle's share follows from its bounds, so its points are
+    only moved where the result's ring is read.  The tiles' own boxes are compared,
+    whatever their ``overlap``; of the cuts only the largest sides matter.
     """
     others = [c for c in outlines.columns if c not in ("cut_name", "id", "ring")]
-    b = rings.bounds(F.col("ring"))
-    boxed = outlines.select("cut_name", "id", "ring", *others, b.alias("b")).select("cut_name", "id", "ring", *others, "b.*").withColumnsRenamed({"x0": "__x0", "y0": "__y0", "x1": "__x1", "y1": "__y1"})
-    at = _cells(boxed.join(exchanged(cuts.select("cut_name", "width", "height")), "cut_name"), sizes, overlap, ("__x0", "__y0"), ("__x1", "__y1")).drop("width", "height")
-    found = exchanged(tiles).join(at, CELL).filter("__x0 < x1 AND __x1 > x0 AND __y0 < y1 AND __y1 > y0")
+    most = cuts.agg(F.max("width"), F.max("height")).first()
+    most = tuple(float(m or 0) for m in most)
+    tiles = tiles.filter(F.col("tile_size").isin(sizes))
     whole = (F.col("__x0") >= F.col("x0")) & (F.col("__x1") <= F.col("x1")) & (F.col("__y0") >= F.col("y0")) & (F.col("__y1") <= F.col("y1"))
-    inner = found.filter(whole).withColumn("clip", F.col("ring"))
-    found = inner.unionByName(found.filter(~whole).withColumn("clip", clip_ring("ring", "x0", "y0", "x1", "y1").cast(RING)))
+    side = lambda c: F.least(f"__{c}1", f"{c}1") - F.greatest(f"__{c}0", f"{c}0")
+    own = (F.col("__x1") - F.col("__x0")) * (F.col("__y1") - F.col("__y0"))
+
+    def bounded(kind: Column, bounds: Column) -> DataFrame:
+        """Outlines of a kind; they are chosen by ``explode``, as Spark would repeat a filter's test, point by point, in the joins before it."""
+        named = F.struct(*[bounds[c].alias(f"__{c}") for c in ("x0", "y0", "x1", "y1")])
+        some = outlines.select("cut_name", "id", "ring", *others, F.explode(F.when(kind, F.array(F.lit(0)))))
+        return some.select("cut_name", "id", "ring", *others, F.inline(F.array(named)))
+
+    def found(some: DataFrame) -> DataFrame:
+        pairs = _touching(some, tiles, 2 * max(sizes), most).withColumn("__cross", F.when(~whole, F.col("ring")))
+        return pairs.withColumn("clip", F.when(whole, F.col("ring")).otherwise(clip_ring("__cross", "x0", "y0", "x1", "y1").cast(RING)))
+
     box = _upright(F.col("ring"))
-    plain = found.filter(box).withColumn("visible", rings.area(F.col("clip")) / F.nullif(rings.area(F.col("ring")), F.lit(0.0)))
-    odd = found.filter(~box).withColumn("visible", even_odd_area("clip") / F.nullif(even_odd_area("ring"), F.lit(0.0)))
-    return plain.unionByName(odd).filter(F.col("visible") >= least).select(*tiles.columns, "id", F.col("clip").alias("ring"), "visible", *others)
+    plain = found(bounded(box, _corners(F.col("ring")))).withColumn("visible", side("x") * side("y") / F.nullif(own, F.lit(0.0)))
+    odd = found(bounded(~box, rings.bounds(F.col("ring"))).withColumn("__own", even_odd_area("ring")))
+    odd = odd.withColumn("visible", even_odd_area("clip") / F.nullif(F.col("__own"), F.lit(0.0)))
+    columns = [*tiles.columns, "id", F.col("clip").alias("ring"), "visible", *others]
+    return plain.filter(F.col("visible") >= least).select(*columns).unionByName(odd.filter(F.col("visible") >= least).select(*columns))
 
 
 def assign_to_cuts(annotations: DataFrame, cuts: DataFrame) -> DataFrame:
