@@ -69,7 +69,8 @@ def tile_id(cut_name: Column, size: Column, row: Column, col: Column) -> Column:
 
 def tile_id_at(cut_name: Column, size: Column, x: Column, y: Column) -> Column:
     """The form that names a tile by its pixel origin."""
-    return F.format_string("%s_s%04d_x%06d_y%06d", cut_name, size, x, y)
+    number = lambda c, n: F.when((c >= 0) & (c < 10**n), F.lpad(c.cast("string"), n, "0")).otherwise(F.format_string(f"%0{n}d", c))  # noqa: E731  # formatting is dear
+    return F.concat(F.coalesce(cut_name, F.lit("null")), F.lit("_s"), number(size, 4), F.lit("_x"), number(x, 6), F.lit("_y"), number(y, 6))
 
 
 def annotation_id(given: Column, stem: Column, position: Column, separator: str = ":") -> Column:

@@ -1,23 +1,27 @@
 """Whole review sessions: tiles around annotations and tiles far from any, in seeded order, through a tissue gate.
 
-The gate needs pixels, which are dear: candidates are ranked first, and only the
-next block of them is measured, until exactly as many as asked for have passed.
+The gate needs pixels, which are dear: candidates are put in order first, and only
+the next block of them is measured, until exactly as many as asked for have passed.
+So few are asked for that the first POOL of the order nearly always have them; joins
+that tell which candidates count are made for those alone, and for the rest, ranked
+whole, only where they don't suffice.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import names
 from tessella.operators import grid, images, sampling, spatial
 from tessella.operators.ranking import ranked
-from tessella.operators.splits import hash_order
 from tessella.session import can_checkpoint
 
 BOX = ["x0", "y0", "x1", "y1"]
+#: Candidates, first in order, that are tried before all are ranked.
+POOL = 4096
 
 
 def centred(points: DataFrame, cuts: DataFrame, size: int) -> DataFrame:
@@ -43,37 +47,65 @@ def points_in_boxes(boxes: DataFrame, points: DataFrame, size: int, key: str = "
     return boxes.join(found, key, "left").withColumns({"n_points": F.coalesce("n_points", F.lit(0).cast("long")), "annotation_ids": F.coalesce("annotation_ids", none)})
 
 
-def passing(candidates: DataFrame, key: str, n: int, seed: int, measure: Callable[[DataFrame], DataFrame], least: float, what: str = "tiles") -> DataFrame:
+def passing(candidates: DataFrame, key: str, n: int, seed: int, measure: Callable[[DataFrame], DataFrame], least: float, what: str = "tiles", usable: Callable[[DataFrame, bool], DataFrame] | None = None) -> DataFrame:
     """The first ``n`` candidates in a seeded order whose tissue share, which ``measure`` adds as tissue_fraction, is enough; fewer are an error.
 
-    Each block that is measured is twice as large as what still lacks.
+    ``usable`` makes of some candidates those that count, and learns whether these
+    are few (at most POOL).  Each block that is measured is twice as large as what
+    still lacks.
     """
     can_checkpoint(candidates.sparkSession)
-    candidates = candidates.checkpoint()  # a ranking reads it three times, and repeats the key's expression in its own
-    order = ranked(candidates, [hash_order(seed, F.col(key)), F.col(key)], name="__k").checkpoint()
-    found, have, done, total = None, 0, 0, order.count()
-    while have < n and done < total:
-        block = 2 * (n - have)
-        some = measure(order.filter((F.col("__k") > done) & (F.col("__k") <= done + block))).filter(F.col("tissue_fraction") >= least).checkpoint()
-        found = some if found is None else found.unionByName(some)
-        have, done = have + some.count(), done + block
+    place = F.struct("__h", key)
+    hashed = F.substr(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), F.lit(1), F.lit(8))  # in the order of its number, and made faster
+    marked = candidates.withColumn("__h", hashed)
+    first = marked.orderBy("__h", key).limit(POOL).checkpoint()
+    last = first.agg(F.count(F.lit(1)).alias("n"), F.max(place).alias("place")).first()
+    more, rest = last.n == POOL, None
+    if more:  # the last one's equals, if any, stay together in the rest
+        at = F.struct(F.lit(last.place["__h"]).alias("__h"), F.lit(last.place[key]).cast(marked.schema[key].dataType).alias(key))
+        first, rest = first.filter(place < at), marked.filter(place >= at)
+    found, have = None, 0
+    for some, few in ((first, True), (rest, False)):
+        if have >= n or some is None:
+            break
+        some = (usable(some.drop("__h"), few) if usable else some.drop("__h")).withColumn("__h", hashed).checkpoint()
+        order = some.withColumn("__k", F.row_number().over(Window.orderBy("__h", key))) if few else ranked(some, [F.col("__h"), F.col(key)], name="__k")
+        order = order.checkpoint()
+        done, total = 0, order.count()
+        while have < n and done < total:
+            block = 2 * (n - have)
+            passed = measure(order.filter((F.col("__k") > done) & (F.col("__k") <= done + block))).filter(F.col("tissue_fraction") >= least).checkpoint()
+            found = passed if found is None else found.unionByName(passed)
+            have, done = have + passed.count(), done + block
     if have < n:
         raise ValueError(f"only {have} {what} pass; {n} are asked for")
-    return found.orderBy("__k").limit(n).drop("__k")
+    return found.orderBy("__h", key).limit(n).drop("__h", "__k")
+
+
+def _of_cuts(df: DataFrame, some: DataFrame) -> DataFrame:
+    """What belongs to the cuts of a few tiles."""
+    return df.join(F.broadcast(some.select("cut_name").distinct()), "cut_name", "left_semi")  # POOL names at most
 
 
 def positives(points: DataFrame, cuts: DataFrame, size: int, n: int, seed: int, measure: Callable[[DataFrame], DataFrame], least: float) -> DataFrame:
     """``n`` tiles around different points, with all points that each shows."""
-    some = passing(centred(points.dropDuplicates(["id"]), cuts, size), "id", n, seed, measure, least, f"positive tiles of {size}")
-    return points_in_boxes(some, points, size).withColumn("ground_truth", F.lit(True))
+    around = lambda some, few: centred(some.dropDuplicates(["id"]), _of_cuts(cuts, some) if few else cuts, size)
+    some = passing(points, "id", n, seed, measure, least, f"positive tiles of {size}", around).checkpoint()
+    return points_in_boxes(some, _of_cuts(points, some) if n <= POOL else points, size).withColumn("ground_truth", F.lit(True))
 
 
-def negatives(points: DataFrame, cuts: DataFrame, size: int, n: int, seed: int, measure: Callable[[DataFrame], DataFrame], least: float, buffer: float) -> DataFrame:
-    """``n`` tiles of a grid without overlap that no point comes nearer than a share of their size."""
+def negatives(points: DataFrame, cuts: DataFrame, size: int, n: int, seed: int, measure: Callable[[DataFrame], DataFrame], least: float, buffer: float, with_points: bool = False) -> DataFrame:
+    """``n`` tiles of a grid without overlap that no point comes nearer than a share of their size, of all cuts or those with a point."""
     tiles = grid.tile_grid(cuts, [size], 0.0)
-    free = spatial.tiles_without_points(tiles, points, cuts, [size], 0.0, size * buffer)
-    free = free.withColumn("id", names.tile_id_at(F.col("cut_name"), F.lit(size), F.col("x0"), F.col("y0"))).select("cut_name", "id", *BOX)
-    some = passing(free, "id", n, seed, measure, least, f"negative tiles of {size}")
+    tiles = tiles.withColumn("id", names.tile_id_at(F.col("cut_name"), F.lit(size), F.col("x0"), F.col("y0"))).select(*spatial.CELL, "id", *BOX)
+
+    def free(some: DataFrame, few: bool) -> DataFrame:
+        near, its = (_of_cuts(points, some).checkpoint(), _of_cuts(cuts, some)) if few else (points, cuts)
+        alone = spatial.tiles_without_points(some, near, its, [size], 0.0, size * buffer)
+        alone = alone.join(near.select("cut_name").distinct(), "cut_name", "left_semi") if with_points else alone
+        return alone.select("cut_name", "id", *BOX)
+
+    some = passing(tiles, "id", n, seed, measure, least, f"negative tiles of {size}", free)
     return some.withColumns({"n_points": F.lit(0).cast("long"), "annotation_ids": F.array().cast("array<string>"), "ground_truth": F.lit(False)})
 
 
@@ -86,10 +118,10 @@ def session_tiles(points: DataFrame, cuts: DataFrame, sizes: list[int], n_positi
         raise ValueError("a session needs sizes, tiles of both kinds, a tissue share in [0, 1] and a buffer that isn't negative")
     can_checkpoint(points.sparkSession)
     points = points.select("cut_name", F.col("id").cast("string").alias("id"), "cx", "cy").checkpoint()  # every size and kind reads them
-    cuts = cuts.select("cut_name", "width", "height").join(points.select("cut_name").distinct(), "cut_name", "left_semi").checkpoint()
+    cuts = cuts.select("cut_name", "width", "height").repartition("cut_name").checkpoint()  # a small file is read by few tasks, and its tiles are many
     out = None
     for k, size in enumerate(sizes):
-        both = positives(points, cuts, size, n_positive, seed + 2 * k, measure, least).unionByName(negatives(points, cuts, size, n_negative, seed + 2 * k + 1, measure, least, buffer))
+        both = positives(points, cuts, size, n_positive, seed + 2 * k, measure, least).unionByName(negatives(points, cuts, size, n_negative, seed + 2 * k + 1, measure, least, buffer, True))
         both = both.withColumn("tile_size", F.lit(size))
         out = both if out is None else out.unionByName(both)
     tile = names.tile_id_at(F.col("cut_name"), F.col("tile_size"), F.col("x0"), F.col("y0"))
