@@ -4,6 +4,7 @@ Rows meet their unit's vector and are summed up by probability in their batch, s
 no row is repeated for each replicate.  Probabilities are cut into bands.  A
 band's rows are walked from the highest probability down for all replicates at
 once, on top of what the bands above hold, which is summed up exactly before.
+They come sorted, so a task holds ROWS of them at a time, however full a band is.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from tessella.session import can_checkpoint
 
 #: Units whose draws are counted together; draws that a task makes at a time, about.
 UNITS, DRAWS = 1024, 500_000
-#: Rows of a band, about, while bands are fewer than BANDS; rows that a task sums up at a time; replicates that it walks at a time.
-BAND_ROWS, ROWS, CHUNK = 4096, 2000, 125
+#: Rows of a band, about, while bands are fewer than BANDS; rows that a task unpacks at a time; replicates whose sums over bands are run up at a time.
+BAND_ROWS, ROWS, CHUNK = 4096, 500, 125
 
 KINDS = "band int, prob double, kind int, weights binary"
 
@@ -82,7 +83,8 @@ def _summed(replicates: int):
                 band, prob, kind, hit, c = (part.column(part.schema.get_field_index(x)).to_numpy(zero_copy_only=False) for x in ("band", "prob", "kind", "hit", "c"))
                 times = np.stack([unpacked(t, replicates) for t in part.column(part.schema.get_field_index("times")).to_pylist()]).astype(np.int64)
                 by = np.lexsort((hit, kind, prob, band))
-                band, prob, kind, hit, times = band[by], prob[by], kind[by], hit[by], times[by] * c[by][:, None]
+                band, prob, kind, hit, times = band[by], prob[by], kind[by], hit[by], times[by]
+                times *= c[by][:, None]
                 new = (np.diff(band) != 0) | (np.diff(prob) != 0) | (np.diff(kind) != 0)
                 starts = np.append(0, np.flatnonzero(new) + 1)
                 weights = np.add.reduceat(times, starts, axis=0)
@@ -98,6 +100,49 @@ def _summed(replicates: int):
     return run
 
 
+def _walked(replicates: int):
+    """Bands' rows from the highest probability down to a task's part of each replicate's average precision.
+
+    Before a band come rows without a probability, whose kind is the first
+    replicate that they hold sums of.
+    """
+
+    def run(batches):
+        score, here, at_prob = np.zeros(replicates), None, None
+        sums, tie = np.zeros((6, replicates), dtype=np.int64), np.zeros((2, replicates), dtype=np.int64)  # so far; of the last probability, by kind
+
+        def add():
+            """The last probability has no more rows."""
+            if at_prob is not None:
+                sums[:2] += tie
+                score[:] += tie[1] / np.maximum(1, sums[4]) * sums[1] / np.maximum(1, sums[0] + sums[1])
+                tie[:] = 0
+
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                part = whole.slice(at, ROWS)
+                band, prob, kind = (part.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+                weights = part.column(3).to_pylist()
+                head = np.isnan(prob)
+                ends = np.flatnonzero((np.diff(band) != 0) | (np.diff(prob) != 0) | head[1:] | head[:-1]) + 1
+                for i, j in zip([0, *ends.tolist()], [*ends.tolist(), len(band)]):
+                    if band[i] != here or head[i] or prob[i] != at_prob:
+                        add()
+                        here, at_prob = band[i], None
+                    if head[i]:
+                        s = np.frombuffer(weights[i], dtype=np.int64).reshape(6, -1)
+                        sums[:, kind[i] : kind[i] + s.shape[1]] = s
+                        continue
+                    at_prob = prob[i]
+                    for k, w in zip(kind[i:j].tolist(), weights[i:j]):
+                        if k < 2:
+                            tie[k] += unpacked(w, replicates)
+        add()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(replicates)), pa.array(score)], names=["rep", "score"])
+
+    return run
+
+
 def unit_scores(ties: DataFrame, units: DataFrame, unit: str, replicates: int, seed: int) -> DataFrame:
     """Columns rep, average_precision, n_tp, n_fp, n_fn, n_tn of each replicate.
 
@@ -134,21 +179,6 @@ def unit_scores(ties: DataFrame, units: DataFrame, unit: str, replicates: int, s
     sums = weighted.filter("prob IS NULL").groupBy("band").applyInArrow(added, "first int, band int, sums binary")
     sums = sums.groupBy("first").applyInArrow(above, "first int, band int, sums binary").checkpoint()  # a row for each band and chunk
 
-    def walked(left, right):
-        by = left.sort_by([("prob", "descending")])
-        prob, kind = by.column("prob").to_numpy(), by.column("kind").to_numpy()
-        weights = [unpacked(w, replicates) for w in by.column("weights").to_pylist()]
-        starts = np.append(0, np.flatnonzero(np.diff(prob)) + 1)
-        reps, scores = [], []
-        for first, s in zip(right.column("first").to_pylist(), right.column("sums").to_pylist()):
-            tp0, fp0, p = (np.frombuffer(s, dtype=np.int64).reshape(6, -1)[i] for i in (1, 0, 4))
-            here = np.stack([w[first : first + len(p)] for w in weights]).astype(np.int64)
-            tp, fp = (np.add.reduceat(here * (kind == k)[:, None], starts, axis=0) for k in (1, 0))
-            ctp, cfp = tp0 + np.cumsum(tp, axis=0), fp0 + np.cumsum(fp, axis=0)
-            reps.append(np.arange(first, first + len(p)))
-            scores.append((tp / np.maximum(1, p) * ctp / np.maximum(1, ctp + cfp)).sum(axis=0))
-        return pa.table({"rep": pa.array(np.concatenate(reps)), "score": pa.array(np.concatenate(scores))})
-
     def points(batches):
         for batch in batches:
             for first, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -157,7 +187,9 @@ def unit_scores(ties: DataFrame, units: DataFrame, unit: str, replicates: int, s
                 found = [np.arange(first, first + hit.shape[1]), hit[1], hit[0] + hit[2], miss[1], miss[0] + miss[2]]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["rep", "n_tp", "n_fp", "n_fn", "n_tn"])
 
-    walk = weighted.filter("prob IS NOT NULL").select("band", "prob", "kind", "weights").groupBy("band").cogroup(sums.filter("band >= 0").groupBy("band"))
-    scores = walk.applyInArrow(walked, "rep long, score double").groupBy("rep").agg(F.sum("score").alias("average_precision"))
+    rows = weighted.filter("prob IS NOT NULL").select("band", "prob", "kind", "weights")
+    heads = sums.filter("band >= 0").select("band", F.lit(None).cast("double").alias("prob"), F.col("first").alias("kind"), F.col("sums").alias("weights"))
+    walk = rows.unionByName(heads).repartition("band").sortWithinPartitions("band", F.col("prob").desc_nulls_first())
+    scores = walk.mapInArrow(_walked(replicates), "rep long, score double").groupBy("rep").agg(F.sum("score").alias("average_precision"))
     counts = sums.filter("band = -1").select("first", "sums").mapInArrow(points, "rep long, n_tp long, n_fp long, n_fn long, n_tn long")
     return counts.join(scores, "rep")
